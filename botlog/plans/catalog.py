@@ -129,3 +129,76 @@ def _suspicious_ua_requests(spark, sf):
 @query("suspicious_ua_sample")
 def _suspicious_ua_sample(spark, sf):
     return finish(reports.suspicious_ua_sample(requests(spark, sf)))
+
+
+# --- row-level traits ---------------------------------------------------------
+
+from botlog.operators import features  # noqa: E402
+
+
+@query("minute_bucket")
+def _minute_bucket(spark, sf):
+    return finish(features.with_minute(requests_n(spark, sf)).select("ip", "timestamp", "minute"))
+
+
+@query("status_class_flags")
+def _status_class_flags(spark, sf):
+    r = features.with_status_flags(requests_n(spark, sf))
+    return r.select("ip", "status", *[F.col(c).cast("int").alias(c) for c in ("is_4xx", "is_5xx", "is_3xx")])
+
+
+@query("ua_bot_flag")
+def _ua_bot_flag(spark, sf):
+    return features.with_ua_bot_flag(requests_n(spark, sf)).select("ip", "user_agent", "ua_bot_flag")
+
+
+@query("login_api_flag")
+def _login_api_flag(spark, sf):
+    return features.with_login_api_flag(requests_n(spark, sf)).select("ip", "path", "is_login_api")
+
+
+@query("time_bin_10min")
+def _time_bin(spark, sf):
+    return finish(features.with_time_bin(requests_n(spark, sf)).select("ip", "timestamp", "time_bin"))
+
+
+@query("ua_category")
+def _ua_category(spark, sf):
+    return features.with_ua_category(requests_n(spark, sf)).select("ip", "user_agent", "ua_category")
+
+
+# --- per-IP features ----------------------------------------------------------
+
+@query("requests_per_minute")
+def _requests_per_minute(spark, sf):
+    return finish(features.requests_per_minute(requests_n(spark, sf)))
+
+
+@query("ip_rpm_stats")
+def _ip_rpm_stats(spark, sf):
+    return finish(features.ip_rpm_stats(requests_n(spark, sf)))
+
+
+@query("ip_intervals")
+def _ip_intervals(spark, sf):
+    return finish(features.ip_intervals(requests_n(spark, sf)))
+
+
+@query("ip_interval_stats")
+def _ip_interval_stats(spark, sf):
+    return finish(features.ip_interval_stats(requests_n(spark, sf)))
+
+
+@query("ip_path_entropy")
+def _ip_path_entropy(spark, sf):
+    return finish(features.ip_path_entropy(requests_n(spark, sf)))
+
+
+@query("ip_features_v1")
+def _ip_features_v1(spark, sf):
+    return finish(features.ip_features_v1(requests_n(spark, sf)))
+
+
+@query("ip_features_v2")
+def _ip_features_v2(spark, sf):
+    return finish(features.ip_features_v2(requests_n(spark, sf)))

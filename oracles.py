@@ -188,3 +188,37 @@ FROM req WHERE {UA_FLAG} = 1""")
 oracle("suspicious_ua_sample", f"""
 SELECT user_agent, MIN("timestamp") AS first_seen FROM req WHERE {UA_FLAG} = 1
 GROUP BY user_agent ORDER BY first_seen NULLS LAST, user_agent LIMIT 10""")
+
+# --- row-level traits -----------------------------------------------------------
+_MIN = "MAKE_TIMESTAMP((ts - ts % 60) * 1000000)"
+_BIN = "MAKE_TIMESTAMP((ts - ts % 600) * 1000000)"
+oracle("minute_bucket", f'SELECT ip, "timestamp", {_MIN} AS minute FROM reqn')
+oracle("status_class_flags", f"""
+SELECT ip, status, CAST({_flag(400, 500)} AS INTEGER) AS is_4xx, CAST({_flag(500, 600)} AS INTEGER) AS is_5xx,
+  CAST({_flag(300, 400)} AS INTEGER) AS is_3xx FROM reqn""")
+oracle("ua_bot_flag", f"SELECT ip, user_agent, {UA_FLAG} AS ua_bot_flag FROM reqn")
+oracle("login_api_flag", f"SELECT ip, path, {LOGIN_FLAG} AS is_login_api FROM reqn")
+oracle("time_bin_10min", f'SELECT ip, "timestamp", {_BIN} AS time_bin FROM reqn')
+oracle("ua_category", f"SELECT ip, user_agent, {UA_CATEGORY} AS ua_category FROM reqn")
+
+# --- per-IP features --------------------------------------------------------------
+oracle("requests_per_minute", "SELECT ip, MAKE_TIMESTAMP(minute_s * 1000000) AS minute, req_count FROM rpm")
+oracle("ip_rpm_stats", f"""
+SELECT ip, {_r('avg_requests_per_minute')} AS avg_requests_per_minute, max_requests_per_minute FROM rpm_ip""")
+oracle("ip_intervals", """
+SELECT ip, "timestamp", LAG("timestamp") OVER (PARTITION BY ip ORDER BY ts) AS prev_timestamp,
+  ROUND(CAST(ts - LAG(ts) OVER (PARTITION BY ip ORDER BY ts) AS DOUBLE), 6) AS interval_sec
+FROM t WHERE ts IS NOT NULL""")
+oracle("ip_interval_stats", f"""
+SELECT ip, {_r('mean_interval_sec')} AS mean_interval_sec, {_r('std_interval_sec')} AS std_interval_sec FROM iv_ip""")
+oracle("ip_path_entropy", f"""
+SELECT b.ip, {_r('COALESCE(e.path_entropy, 0.0)')} AS path_entropy FROM base_ip b LEFT JOIN ent e USING (ip)""")
+_F1 = ("ip, total_requests, unique_paths, {e4}, ua_bot_flag, {avg}, max_requests_per_minute, {rpr}").format(
+    e4=_r("error_rate_4xx") + " AS error_rate_4xx", avg=_r("avg_requests_per_minute") + " AS avg_requests_per_minute",
+    rpr=_r("repeated_path_ratio") + " AS repeated_path_ratio")
+oracle("ip_features_v1", f"SELECT {_F1} FROM f2")
+_F2_DOUBLES = ("error_rate_4xx", "rate_5xx", "rate_3xx", "login_api_ratio", "avg_requests_per_minute",
+               "mean_interval_sec", "std_interval_sec", "path_entropy", "repeated_path_ratio", "burstiness")
+_F2 = "ip, total_requests, unique_paths, ua_bot_flag, max_requests_per_minute, " + ", ".join(
+    f"{_r(c)} AS {c}" for c in _F2_DOUBLES)
+oracle("ip_features_v2", f"SELECT {_F2} FROM f2")
