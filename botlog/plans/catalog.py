@@ -202,3 +202,178 @@ def _ip_features_v1(spark, sf):
 @query("ip_features_v2")
 def _ip_features_v2(spark, sf):
     return finish(features.ip_features_v2(requests_n(spark, sf)))
+
+
+# --- scores, marts and evaluation on the deterministic stand-in score ------------
+#
+# The SQL-checked mart and evaluation keys run on a score that both engines
+# can compute exactly: round(0.5 - 0.1 * max_requests_per_minute -
+# error_rate_4xx, 6), with is_anomaly = score below the rounded 5 % cut.
+# The model-backed keys further down use the isolation forest.
+
+from botlog.operators import evaluate, marts, scaling  # noqa: E402
+from botlog.operators.ranking import exact_percentiles  # noqa: E402
+
+DRILLDOWN_IP = "10.0.0.10"
+LEVELS = (0.01, 0.02, 0.05, 0.10)
+
+
+def deterministic_scores(spark, sf, contamination: float = 0.05) -> DataFrame:
+    f = features.ip_features_v2(requests_n(spark, sf))
+    det = f.withColumn("anomaly_score", F.round(
+        F.lit(0.5) - F.lit(0.1) * F.col("max_requests_per_minute") - F.col("error_rate_4xx"), 6))
+    cut = exact_percentiles(det, "anomaly_score", [contamination])[0]
+    return det.withColumn("is_anomaly", (F.col("anomaly_score") < F.lit(round(cut, 6))).cast("int"))
+
+
+def _sus(spark, sf):
+    scores = deterministic_scores(spark, sf)
+    return scores, marts.suspicious_ips(scores)
+
+
+_SUS_COLS = ("ip", "total_requests", "max_requests_per_minute", "error_rate_4xx", "ua_bot_flag",
+             "anomaly_score", "is_anomaly")
+
+
+@query("suspicious_ips")
+def _suspicious_ips(spark, sf):
+    _, sus = _sus(spark, sf)
+    return finish(sus.select(*_SUS_COLS))
+
+
+@query("drilldown_candidates")
+def _drilldown_candidates(spark, sf):
+    _, sus = _sus(spark, sf)
+    return finish(marts.drilldown_candidates(sus).select("ip", "anomaly_score"))
+
+
+@query("ip_drilldown_timeline")
+def _ip_drilldown_timeline(spark, sf):
+    return finish(marts.ip_drilldown_timeline(requests_n(spark, sf), DRILLDOWN_IP))
+
+
+@query("ip_drilldown_paths")
+def _ip_drilldown_paths(spark, sf):
+    return marts.ip_drilldown_paths(requests_n(spark, sf), DRILLDOWN_IP)
+
+
+@query("overview_metrics")
+def _overview_metrics(spark, sf):
+    scores, sus = _sus(spark, sf)
+    return finish(marts.overview_metrics(requests_n(spark, sf), scores, sus))
+
+
+@query("suspicious_requests")
+def _suspicious_requests(spark, sf):
+    _, sus = _sus(spark, sf)
+    r = marts.suspicious_requests(requests_n(spark, sf), sus)
+    return finish(r.select("ip", "timestamp", "path", "status", "user_agent"))
+
+
+@query("request_suspicious_flag")
+def _request_suspicious_flag(spark, sf):
+    _, sus = _sus(spark, sf)
+    r = marts.request_suspicious_flag(requests_n(spark, sf), sus)
+    return finish(r.select("ip", "timestamp", "path", F.col("is_suspicious").cast("int").alias("is_suspicious")))
+
+
+@query("traffic_over_time")
+def _traffic_over_time(spark, sf):
+    _, sus = _sus(spark, sf)
+    return finish(marts.traffic_over_time(requests_n(spark, sf), sus))
+
+
+@query("ua_stats")
+def _ua_stats(spark, sf):
+    _, sus = _sus(spark, sf)
+    return marts.ua_stats(requests_n(spark, sf), sus)
+
+
+@query("top_user_agents")
+def _top_user_agents(spark, sf):
+    _, sus = _sus(spark, sf)
+    return marts.top_user_agents(marts.ua_stats(requests_n(spark, sf), sus))
+
+
+@query("ua_category_counts")
+def _ua_category_counts(spark, sf):
+    return marts.ua_category_counts(requests_n(spark, sf))
+
+
+@query("path_abuse")
+def _path_abuse(spark, sf):
+    _, sus = _sus(spark, sf)
+    return marts.path_abuse(requests_n(spark, sf), sus)
+
+
+@query("score_range")
+def _score_range(spark, sf):
+    return finish(marts.score_range(deterministic_scores(spark, sf)))
+
+
+@query("top_anomalies")
+def _top_anomalies(spark, sf):
+    return finish(marts.top_anomalies(deterministic_scores(spark, sf)))
+
+
+@query("top20_flagged_count")
+def _top20_flagged_count(spark, sf):
+    return marts.top20_flagged_count(deterministic_scores(spark, sf))
+
+
+def _ev(spark, sf) -> DataFrame:
+    s = deterministic_scores(spark, sf)
+    return s.select(F.col("ua_bot_flag").alias("y_true"), F.col("is_anomaly").alias("y_pred"),
+                    (-F.col("anomaly_score")).alias("score"))
+
+
+@query("confusion_matrix")
+def _confusion_matrix(spark, sf):
+    return evaluate.confusion_matrix(_ev(spark, sf))
+
+
+@query("classification_report")
+def _classification_report(spark, sf):
+    return finish(evaluate.classification_report(_ev(spark, sf)))
+
+
+@query("roc_auc")
+def _roc_auc(spark, sf):
+    return finish(evaluate.roc_auc(_ev(spark, sf)))
+
+
+@query("roc_curve")
+def _roc_curve(spark, sf):
+    return finish(evaluate.roc_curve(_ev(spark, sf)))
+
+
+@query("label_balance")
+def _label_balance(spark, sf):
+    return evaluate.label_balance(features.ip_features_v2(requests_n(spark, sf)))
+
+
+@query("scaled_features")
+def _scaled_features(spark, sf):
+    f = features.ip_features_v2(requests_n(spark, sf))
+    return finish(scaling.standardize(f, features.V2_FEATURES).select("ip", *features.V2_FEATURES))
+
+
+def _det_sweep(spark, sf) -> DataFrame:
+    det = deterministic_scores(spark, sf)
+    return evaluate.contamination_sweep(det, "anomaly_score", "ua_bot_flag", LEVELS, cut_digits=6)
+
+
+@query("contamination_cut")
+def _contamination_cut(spark, sf):
+    det = deterministic_scores(spark, sf)
+    return finish(evaluate.contamination_cuts(det, "anomaly_score", LEVELS, cut_digits=6))
+
+
+@query("contamination_sweep")
+def _contamination_sweep(spark, sf):
+    return finish(_det_sweep(spark, sf))
+
+
+@query("best_contamination")
+def _best_contamination(spark, sf):
+    return finish(evaluate.best_contamination(_det_sweep(spark, sf)))

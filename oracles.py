@@ -143,7 +143,10 @@ sus AS (
 
 
 def _q(body: str) -> str:
-    return "WITH " + BASE_CTES.strip() + "\n" + body.strip()
+    body = body.strip()
+    if body.startswith(","):
+        return "WITH " + BASE_CTES.strip() + body
+    return "WITH " + BASE_CTES.strip() + "\n" + body
 
 
 def _r(x: str) -> str:
@@ -222,3 +225,113 @@ _F2_DOUBLES = ("error_rate_4xx", "rate_5xx", "rate_3xx", "login_api_ratio", "avg
 _F2 = "ip, total_requests, unique_paths, ua_bot_flag, max_requests_per_minute, " + ", ".join(
     f"{_r(c)} AS {c}" for c in _F2_DOUBLES)
 oracle("ip_features_v2", f"SELECT {_F2} FROM f2")
+
+# --- marts on the deterministic score --------------------------------------------
+_SUS = ("ip, total_requests, max_requests_per_minute, " + _r("error_rate_4xx") + " AS error_rate_4xx, "
+        "ua_bot_flag, " + _r("anomaly_score") + " AS anomaly_score, is_anomaly")
+oracle("suspicious_ips", f"SELECT {_SUS} FROM sus")
+oracle("drilldown_candidates", f"""
+SELECT ip, {_r('anomaly_score')} AS anomaly_score FROM sus ORDER BY anomaly_score, ip LIMIT 50""")
+oracle("ip_drilldown_timeline", f"""
+, b AS (SELECT ts - ts % 600 AS b FROM reqn WHERE ip = '{DRILLDOWN_IP}' AND ts IS NOT NULL),
+g AS (SELECT UNNEST(RANGE(MIN(b), MAX(b) + 1, 600)) AS b FROM b),
+c AS (SELECT b, COUNT(*) AS n FROM b GROUP BY b)
+SELECT MAKE_TIMESTAMP(g.b * 1000000) AS time_bin, COALESCE(c.n, 0) AS requests FROM g LEFT JOIN c USING (b)""")
+oracle("ip_drilldown_paths", f"""
+SELECT path, COUNT(*) AS count FROM reqn WHERE ip = '{DRILLDOWN_IP}' AND path IS NOT NULL
+GROUP BY path ORDER BY count DESC, path LIMIT 10""")
+oracle("overview_metrics", """
+, m AS (SELECT (SELECT COUNT(*) FROM reqn) AS total_requests,
+  (SELECT COUNT(DISTINCT ip) FROM scores) AS total_ips,
+  (SELECT COUNT(*) FROM sus) AS suspicious_ips,
+  (SELECT COUNT(*) FROM reqn WHERE ip IN (SELECT ip FROM sus)) AS suspicious_requests)
+SELECT total_requests, total_ips, suspicious_ips, suspicious_requests,
+  ROUND(COALESCE(100.0 * suspicious_requests / NULLIF(total_requests, 0), 0.0), 6) AS suspicious_traffic_pct FROM m""")
+oracle("suspicious_requests", """
+SELECT ip, "timestamp", path, status, user_agent FROM reqn WHERE ip IN (SELECT ip FROM sus)""")
+oracle("request_suspicious_flag", """
+SELECT ip, "timestamp", path, CAST(COALESCE(ip IN (SELECT ip FROM sus), FALSE) AS INTEGER) AS is_suspicious FROM reqn""")
+oracle("traffic_over_time", """
+SELECT MAKE_TIMESTAMP((ts - ts % 600) * 1000000) AS time_bin, COUNT(*) AS total_requests,
+  COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS suspicious_requests
+FROM reqn WHERE ts IS NOT NULL GROUP BY 1""")
+_UA_STATS = f"""
+, us AS (SELECT user_agent, COUNT(*) AS total_requests, {UA_CATEGORY} AS ua_category,
+  COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS requests_from_anomalous_ips
+  FROM reqn WHERE user_agent IS NOT NULL GROUP BY user_agent)"""
+oracle("ua_stats", _UA_STATS + " SELECT * FROM us")
+oracle("top_user_agents", _UA_STATS + " SELECT * FROM us ORDER BY total_requests DESC, user_agent LIMIT 20")
+oracle("ua_category_counts", f"SELECT {UA_CATEGORY} AS ua_category, COUNT(*) AS count FROM reqn GROUP BY 1")
+oracle("path_abuse", """
+SELECT path, COUNT(*) AS total_requests_from_suspicious_ips, COUNT(DISTINCT ip) AS number_of_unique_suspicious_ips
+FROM reqn WHERE path IS NOT NULL AND ip IN (SELECT ip FROM sus)
+GROUP BY path ORDER BY total_requests_from_suspicious_ips DESC, path LIMIT 20""")
+oracle("score_range", f"""
+SELECT {_r('MIN(anomaly_score)')} AS min_score, {_r('MAX(anomaly_score)')} AS max_score FROM scores""")
+oracle("top_anomalies", f"""
+SELECT ip, total_requests, max_requests_per_minute, {_r('repeated_path_ratio')} AS repeated_path_ratio, ua_bot_flag,
+  {_r('anomaly_score')} AS anomaly_score, is_anomaly FROM scores ORDER BY anomaly_score, ip LIMIT 20""")
+oracle("top20_flagged_count", """
+SELECT COUNT(*) FILTER (WHERE ua_bot_flag = 1) AS flagged
+FROM (SELECT * FROM scores ORDER BY anomaly_score, ip LIMIT 20)""")
+
+# --- evaluation -------------------------------------------------------------------
+_EV = """
+, ev AS (SELECT ua_bot_flag AS y, is_anomaly AS p, -anomaly_score AS s FROM scores),
+cm AS (SELECT COUNT(*) FILTER (WHERE y = 0 AND p = 0) AS tn, COUNT(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+              COUNT(*) FILTER (WHERE y = 1 AND p = 0) AS fn, COUNT(*) FILTER (WHERE y = 1 AND p = 1) AS tp FROM ev),
+sg AS (SELECT s, SUM(y) AS pos, SUM(1 - y) AS neg FROM ev GROUP BY s),
+sc AS (SELECT s, pos, neg,
+  SUM(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+  SUM(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM sg),
+tot AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM sg),
+auc AS (SELECT CASE WHEN MIN(P) > 0 AND MIN(N) > 0
+  THEN SUM(neg * (cp - pos / 2.0)) / (MIN(P) * MIN(N)) END AS auc FROM sc, tot)"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"COALESCE(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+oracle("confusion_matrix", _EV + " SELECT tn, fp, fn, tp FROM cm")
+_P1, _R1, _F1S = _div("tp", "tp + fp"), _div("tp", "tp + fn"), _div("2 * tp", "2 * tp + fp + fn")
+_P0, _R0, _F0S = _div("tn", "tn + fn"), _div("tn", "tn + fp"), _div("2 * tn", "2 * tn + fn + fp")
+_W0, _W1 = _div("tn + fp", "tn + fp + fn + tp"), _div("tp + fn", "tn + fp + fn + tp")
+oracle("classification_report", _EV + f"""
+, rep AS (
+  SELECT 'Likely Human' AS label, {_P0} AS precision, {_R0} AS recall, {_F0S} AS f1_score, tn + fp AS support FROM cm
+  UNION ALL SELECT 'Likely Bot', {_P1}, {_R1}, {_F1S}, tp + fn FROM cm
+  UNION ALL SELECT 'accuracy', NULL, NULL, {_div('tp + tn', 'tn + fp + fn + tp')}, tn + fp + fn + tp FROM cm
+  UNION ALL SELECT 'macro avg', ({_P0} + {_P1}) / 2, ({_R0} + {_R1}) / 2, ({_F0S} + {_F1S}) / 2, tn + fp + fn + tp FROM cm
+  UNION ALL SELECT 'weighted avg', {_P0} * {_W0} + {_P1} * {_W1}, {_R0} * {_W0} + {_R1} * {_W1},
+    {_F0S} * {_W0} + {_F1S} * {_W1}, tn + fp + fn + tp FROM cm)
+SELECT label, {_r('precision')} AS precision, {_r('recall')} AS recall, {_r('f1_score')} AS f1_score, support FROM rep""")
+oracle("roc_auc", _EV + f" SELECT {_r('auc')} AS auc FROM auc")
+oracle("roc_curve", _EV + f"""
+SELECT CASE WHEN N > 0 THEN 0.0 END AS fpr, CASE WHEN P > 0 THEN 0.0 END AS tpr, CAST('inf' AS DOUBLE) AS threshold FROM tot
+UNION ALL
+SELECT {_r('cn / NULLIF(CAST(N AS DOUBLE), 0)')}, {_r('cp / NULLIF(CAST(P AS DOUBLE), 0)')}, {_r('s')} FROM sc, tot""")
+oracle("label_balance", "SELECT ua_bot_flag AS label, COUNT(*) AS count FROM f2 GROUP BY 1")
+_SCALED = ", ".join(
+    f"{_r(f'COALESCE((CAST({c} AS DOUBLE) - AVG(CAST({c} AS DOUBLE)) OVER ()) / NULLIF(STDDEV_POP(CAST({c} AS DOUBLE)) OVER (), 0), 0.0)')} AS {c}"
+    for c in ("total_requests", "unique_paths", "repeated_path_ratio", "avg_requests_per_minute",
+              "max_requests_per_minute", "error_rate_4xx", "rate_5xx", "rate_3xx", "mean_interval_sec",
+              "std_interval_sec", "burstiness", "path_entropy", "login_api_ratio"))
+oracle("scaled_features", f"SELECT ip, {_SCALED} FROM f2")
+_LV = " UNION ALL ".join(
+    f"SELECT CAST({lv} AS DOUBLE) AS contamination, ROUND(QUANTILE_CONT(anomaly_score, {lv}), 6) AS cut FROM det"
+    for lv in LEVELS)
+_SWEEP = _EV + f"""
+, lv AS ({_LV}),
+lc AS (SELECT contamination, cut,
+  COUNT(*) FILTER (WHERE anomaly_score < cut AND ua_bot_flag = 1) AS tp,
+  COUNT(*) FILTER (WHERE anomaly_score < cut AND ua_bot_flag = 0) AS fp,
+  COUNT(*) FILTER (WHERE NOT (anomaly_score < cut) AND ua_bot_flag = 1) AS fn,
+  COUNT(*) FILTER (WHERE anomaly_score < cut) AS flagged
+  FROM lv, det GROUP BY contamination, cut),
+sweep AS (SELECT contamination, {_P1} AS precision, {_R1} AS recall, {_F1S} AS f1, (SELECT auc FROM auc) AS auc FROM lc)"""
+oracle("contamination_cut", _SWEEP + f" SELECT contamination, {_r('cut')} AS cut, flagged FROM lc")
+_SW_SEL = (f"contamination, {_r('precision')} AS precision, {_r('recall')} AS recall, {_r('f1')} AS f1, "
+           f"{_r('auc')} AS auc")
+oracle("contamination_sweep", _SWEEP + f" SELECT {_SW_SEL} FROM sweep")
+oracle("best_contamination", _SWEEP + f" SELECT {_SW_SEL} FROM sweep ORDER BY f1 DESC, contamination LIMIT 1")
