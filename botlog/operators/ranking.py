@@ -72,29 +72,30 @@ def exact_percentiles(df: DataFrame, value: str, probs, n_buckets: int | None =
     column, nulls ignored. Returns one float per probability (None when the
     column has no values). Only the few order statistics needed reach the
     driver."""
-    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets).cache()
-    try:
-        n = pc.agg(F.sum("c")).first()[0]
-        if not n:
-            return [None for _ in probs]
-        ranks = set()
-        plan = []
-        for p in probs:
-            pos = float(p) * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            ranks.update((lo, hi))
-            plan.append((lo, hi, pos - lo))
-        cond = None
-        for r in sorted(ranks):
-            term = (F.col("cum_c") - F.col("c") <= r) & (F.lit(r) < F.col("cum_c"))
-            cond = term if cond is None else cond | term
-        rows = pc.filter(cond).select(value, "c", "cum_c").collect()
-        at = {}
-        for r in ranks:
-            for row in rows:
-                if row["cum_c"] - row["c"] <= r < row["cum_c"]:
-                    at[r] = float(row[value])
-                    break
-        return [_lerp(at[lo], at[hi], t) for lo, hi, t in plan]
-    finally:
-        pc.unpersist()
+    n = df.filter(F.col(value).isNotNull()).count()
+    if not n:
+        return [None for _ in probs]
+    plan = []
+    for p in probs:
+        pos = float(p) * (n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        plan.append((lo, hi, pos - lo))
+    ranks = sorted({r for lo, hi, _ in plan for r in (lo, hi)})
+    at = dict(zip(ranks, order_statistics(df, value, ranks, n_buckets)))
+    return [_lerp(float(at[lo]), float(at[hi]), t) for lo, hi, t in plan]
+
+
+def order_statistics(df: DataFrame, value: str, ranks, n_buckets: int | None = None) -> list:
+    """The values at 0-based ``ranks`` of ``value`` in ascending order (nulls
+    ignored); None for a rank past the end."""
+    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
+    cond = None
+    for r in ranks:
+        term = (F.col("cum_c") - F.col("c") <= r) & (F.lit(r) < F.col("cum_c"))
+        cond = term if cond is None else cond | term
+    rows = pc.filter(cond).select(value, "c", "cum_c").collect()
+    out = []
+    for r in ranks:
+        hit = [row[value] for row in rows if row["cum_c"] - row["c"] <= r < row["cum_c"]]
+        out.append(hit[0] if hit else None)
+    return out

@@ -377,3 +377,121 @@ def _contamination_sweep(spark, sf):
 @query("best_contamination")
 def _best_contamination(spark, sf):
     return finish(evaluate.best_contamination(_det_sweep(spark, sf)))
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+from botlog import sources  # noqa: E402
+from botlog.session import scratch_path  # noqa: E402
+
+
+@query("scan_raw_log")
+def _scan_raw_log(spark, sf):
+    """Derived lines written as a text file in the shared folder, then
+    scanned back with the raw-log reader."""
+    path = scratch_path(spark, "rawlog")
+    lines(spark, sf).write.mode("overwrite").text(path)
+    return sources.read_log_text(spark, path)
+
+
+@query("sink_parsed_log")
+def _sink_parsed_log(spark, sf):
+    """Request table written as date-partitioned Parquet, read back."""
+    path = scratch_path(spark, "parsed")
+    sources.write_parsed_log(requests(spark, sf), path)
+    return finish(sources.read_parsed_log(spark, path))
+
+
+@query("scan_parsed_log")
+def _scan_parsed_log(spark, sf):
+    """Typed scan of a stored request table, as features and marts read it."""
+    path = scratch_path(spark, "parsed")
+    sources.write_parsed_log(requests(spark, sf), path)
+    return finish(parse.with_null_tokens(sources.read_parsed_log(spark, path)))
+
+
+# --- models (rows-only checks; properties are covered by tests) --------------------
+
+from botlog.operators import forest, iforest  # noqa: E402
+from botlog.plans import jobs  # noqa: E402
+
+
+def _features(spark, sf):
+    return jobs.feature_table(requests(spark, sf))
+
+
+def _iforest(spark, sf):
+    return jobs.anomaly_job(_features(spark, sf))
+
+
+@query("iforest_fit")
+def _iforest_fit(spark, sf):
+    return _iforest(spark, sf).model.node_table(spark)
+
+
+@query("iforest_scores")
+def _iforest_scores(spark, sf):
+    s = _iforest(spark, sf).scores
+    return s.select("ip", "score_samples", "anomaly_score")
+
+
+@query("iforest_labels")
+def _iforest_labels(spark, sf):
+    s = _iforest(spark, sf).scores
+    return s.select("ip", "ua_bot_flag", "anomaly_score", "is_anomaly")
+
+
+@query("iforest_sweep")
+def _iforest_sweep(spark, sf):
+    return _iforest(spark, sf).sweep
+
+
+@query("stratified_split")
+def _stratified_split(spark, sf):
+    return forest.stratified_split(_features(spark, sf)).select("ip", "ua_bot_flag", "is_test")
+
+
+def _supervised(spark, sf):
+    return jobs.supervised_job(_features(spark, sf))
+
+
+@query("rf_fit")
+def _rf_fit(spark, sf):
+    return _supervised(spark, sf).test_metrics
+
+
+@query("rf_predictions")
+def _rf_predictions(spark, sf):
+    return _supervised(spark, sf).predictions.select("ip", "ua_bot_flag", "bot_probability", "predicted_bot")
+
+
+@query("feature_importance")
+def _feature_importance(spark, sf):
+    return forest.top_importances(_supervised(spark, sf).importances)
+
+
+@query("sink_scores")
+def _sink_scores(spark, sf):
+    path = scratch_path(spark, "scores")
+    sources.write_scores(_iforest(spark, sf).scores, path)
+    return sources.read_scores(spark, path)
+
+
+@query("scan_scores")
+def _scan_scores(spark, sf):
+    path = scratch_path(spark, "scores")
+    sources.write_scores(_iforest(spark, sf).scores, path, fmt="csv")
+    return sources.read_scores(spark, path, fmt="csv")
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Access log -> requests -> per-IP features -> isolation forest (best
+    contamination by F1 against the user-agent flag) -> the 20 most
+    anomalous addresses."""
+    ensure_utc(spark)
+    return marts.top_anomalies(jobs.anomaly_job(_features(spark, sf)).scores)
+
+
+@query("top_suspicious_ips")
+def _top_suspicious_ips(spark, sf):
+    return flagship(spark, sf)
