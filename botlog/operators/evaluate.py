@@ -96,8 +96,7 @@ def roc_curve(ev: DataFrame, n_buckets=None) -> DataFrame:
     one point per distinct score in descending order (rates null when a
     class is absent)."""
     st = _score_table(ev, n_buckets)
-    tot = ev.agg(F.count_if(F.col("y_true") == 1).alias("P"), F.count_if(F.col("y_true") == 0).alias("N"))
-    P_N = tot.first()
+    P_N = st.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N")).first()
     P, N = P_N["P"], P_N["N"]
 
     def rate(c, d):

@@ -23,33 +23,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int) -> int:
     if n_buckets:
         return max(1, n_buckets)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(100_000, math.ceil(n_distinct / rows_per_bucket)))
 
 
 def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                  n_buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
+                  n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                  rel_error: float = 0.001) -> DataFrame:
     """One row per distinct ``value`` with its summed ``counts`` (name ->
     column expression) and ``cum_<name>``: the running total over all rows
-    whose value comes before or equals this one in the chosen order."""
+    whose value comes before or equals this one in the chosen order.
+
+    The distinct-value table is checkpointed (it is read for its size, the
+    cut points and the prefix pass). Without an explicit ``n_buckets`` the
+    number of buckets is its measured row count / ``rows_per_bucket``, so a
+    small table takes one bucket and a large one is spread over many."""
     names = list(counts)
     g = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         *[F.sum(expr).alias(n) for n, expr in counts.items()])
-    nb = _n_buckets(df, n_buckets)
+    g = g.checkpoint(eager=True)
+    nb = _n_buckets(g.count(), n_buckets, rows_per_bucket)
     cuts: list[float] = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
         cuts = sorted({float(c) for c in g.approxQuantile(value, probs, rel_error) if c is not None
                        and not math.isnan(c)})
     splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    g = g.withColumn("_v", F.col(value).cast("double"))
-    g = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(g)
-    g = g.withColumn("_b", F.col("_b").cast("int")).drop("_v")
+    if len(splits) > 2:
+        g = g.withColumn("_v", F.col(value).cast("double"))
+        g = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(g)
+        g = g.withColumn("_b", F.col("_b").cast("int")).drop("_v")
+    else:
+        g = g.withColumn("_b", F.lit(0))
     if descending:
         g = g.withColumn("_b", -F.col("_b"))
     totals = g.groupBy("_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    # the bucket-totals table has at most `nb` rows
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
                                     for n in names])
@@ -72,7 +86,8 @@ def exact_percentiles(df: DataFrame, value: str, probs, n_buckets: int | None =
     column, nulls ignored. Returns one float per probability (None when the
     column has no values). Only the few order statistics needed reach the
     driver."""
-    n = df.filter(F.col(value).isNotNull()).count()
+    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
+    n = pc.agg(F.sum("c")).first()[0]
     if not n:
         return [None for _ in probs]
     plan = []
@@ -81,14 +96,11 @@ def exact_percentiles(df: DataFrame, value: str, probs, n_buckets: int | None =
         lo, hi = math.floor(pos), math.ceil(pos)
         plan.append((lo, hi, pos - lo))
     ranks = sorted({r for lo, hi, _ in plan for r in (lo, hi)})
-    at = dict(zip(ranks, order_statistics(df, value, ranks, n_buckets)))
+    at = dict(zip(ranks, _pick_ranks(pc, value, ranks)))
     return [_lerp(float(at[lo]), float(at[hi]), t) for lo, hi, t in plan]
 
 
-def order_statistics(df: DataFrame, value: str, ranks, n_buckets: int | None = None) -> list:
-    """The values at 0-based ``ranks`` of ``value`` in ascending order (nulls
-    ignored); None for a rank past the end."""
-    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
+def _pick_ranks(pc: DataFrame, value: str, ranks) -> list:
     cond = None
     for r in ranks:
         term = (F.col("cum_c") - F.col("c") <= r) & (F.lit(r) < F.col("cum_c"))
@@ -99,3 +111,10 @@ def order_statistics(df: DataFrame, value: str, ranks, n_buckets: int | None = N
         hit = [row[value] for row in rows if row["cum_c"] - row["c"] <= r < row["cum_c"]]
         out.append(hit[0] if hit else None)
     return out
+
+
+def order_statistics(df: DataFrame, value: str, ranks, n_buckets: int | None = None) -> list:
+    """The values at 0-based ``ranks`` of ``value`` in ascending order (nulls
+    ignored); None for a rank past the end."""
+    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
+    return _pick_ranks(pc, value, list(ranks))

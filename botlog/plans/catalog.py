@@ -219,7 +219,8 @@ LEVELS = (0.01, 0.02, 0.05, 0.10)
 
 
 def deterministic_scores(spark, sf, contamination: float = 0.05) -> DataFrame:
-    f = features.ip_features_v2(requests_n(spark, sf))
+    from botlog.plans import jobs
+    f = jobs.feature_table(requests(spark, sf))  # checkpointed: read by the cut and the query
     det = f.withColumn("anomaly_score", F.round(
         F.lit(0.5) - F.lit(0.1) * F.col("max_requests_per_minute") - F.col("error_rate_4xx"), 6))
     cut = exact_percentiles(det, "anomaly_score", [contamination])[0]

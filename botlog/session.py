@@ -57,3 +57,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df):
+    """Round-robin a scan that has fewer splits than the cluster has cores
+    (a single small or unsplittable file, e.g. one gzip log) so the
+    per-line work runs in parallel. Scans that are already split are
+    returned unchanged (no shuffle)."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from botlog.session import ensure_utc
+from botlog.session import ensure_utc, spread
 
 _STAGE1 = [
     "event_id",
@@ -67,6 +67,6 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def access_log_lines(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
     """Raw access-log lines (``value string``) derived from ``events``."""
     ensure_utc(spark)  # DATE_FORMAT / CAST(ts AS TIMESTAMP) use the session zone
-    events = read_events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", "value", "props")
+    events = spread(read_events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", "value", "props"))
     lines = events.selectExpr(*_STAGE1).selectExpr(*_STAGE2).selectExpr("event_id", _LINE)
     return lines if with_event_id else lines.select("value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botlog.functions import logformat as lf
+from botlog.session import spread
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("ip", T.StringType()),
@@ -26,7 +27,7 @@ REQUEST_SCHEMA = T.StructType([
 def read_log_text(spark: SparkSession, path: str) -> DataFrame:
     """Raw log lines (``value string``); lines split on \\n, \\r\\n or \\r and
     invalid UTF-8 bytes dropped."""
-    return spark.read.text(path).select(lf.drop_invalid_utf8(F.col("value")).alias("value"))
+    return spread(spark.read.text(path)).select(lf.drop_invalid_utf8(F.col("value")).alias("value"))
 
 
 def write_parsed_log(requests: DataFrame, path: str, partition_by_date: bool = True,
