@@ -1,0 +1,110 @@
+"""Per-IP features: small frames with known answers, and the skew-safe
+aggregation plan against a brute-force pandas computation."""
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from botlog.operators import features
+from botlog.plans import catalog
+from conftest import SF_MID, make_requests
+
+
+def _row(df, ip):
+    return [r for r in df.collect() if r.ip == ip][0]
+
+
+def test_single_request(spark):
+    req = make_requests(spark, [("a", "2024-01-01 00:00:00", "/x", 200, "Mozilla")])
+    r = _row(features.ip_features_v2(req), "a")
+    assert r.total_requests == 1 and r.unique_paths == 1
+    assert r.mean_interval_sec == 0 and r.std_interval_sec == 0 and r.path_entropy == 0
+    assert r.repeated_path_ratio == 0 and r.max_requests_per_minute == 1
+
+
+def test_two_requests_std_zero_mean_gap(spark):
+    req = make_requests(spark, [("a", "2024-01-01 00:00:00", "/x", 200, "x"),
+                                ("a", "2024-01-01 00:02:30", "/x", 200, "x")])
+    r = _row(features.ip_features_v2(req), "a")
+    assert r.mean_interval_sec == 150.0 and r.std_interval_sec == 0.0
+    assert r.avg_requests_per_minute == 1.0 and r.repeated_path_ratio == 0.5
+
+
+def test_null_status_counts_in_denominator(spark):
+    req = make_requests(spark, [("a", "2024-01-01 00:00:00", "/x", None, "x"),
+                                ("a", "2024-01-01 00:00:01", "/x", 404, "x")])
+    r = _row(features.ip_features_v1(req), "a")
+    assert r.error_rate_4xx == 0.5
+
+
+def test_bot_flag_and_login(spark):
+    req = make_requests(spark, [("a", "2024-01-01 00:00:00", "/API/v1", 200, "My-CRAWLER"),
+                                ("a", "2024-01-01 00:00:01", "/username", 200, None),
+                                ("b", "2024-01-01 00:00:01", "/", 200, None)])
+    f = {r.ip: r for r in features.ip_features_v2(req).collect()}
+    assert f["a"].ua_bot_flag == 1 and f["b"].ua_bot_flag == 0
+    assert f["a"].login_api_ratio == 1.0 and f["b"].login_api_ratio == 0.0
+
+
+def test_ties_and_gaps_across_minutes(spark):
+    ts = ["2024-01-01 00:00:10", "2024-01-01 00:00:10", "2024-01-01 00:00:50", "2024-01-01 00:01:05",
+          "2024-01-01 00:05:00", "2024-01-01 00:05:00", "2024-01-01 00:05:59"]
+    req = make_requests(spark, [("a", t, "/p", 200, "x") for t in ts])
+    r = _row(features.ip_features_v2(req), "a")
+    secs = np.array([pd.Timestamp(t).value // 10**9 for t in ts])
+    d = np.diff(np.sort(secs)).astype(float)
+    assert r.mean_interval_sec == pytest.approx(d.mean())
+    assert r.std_interval_sec == pytest.approx(d.std(ddof=1))
+    assert r.max_requests_per_minute == 3 and r.avg_requests_per_minute == pytest.approx(7 / 3)
+
+
+def _brute_force_v2(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.copy()
+    pdf["ts"] = pdf["timestamp"].astype("int64") // 10**6 if str(pdf["timestamp"].dtype).startswith("datetime64[us") \
+        else pdf["timestamp"].astype("int64") // 10**9
+    out = {}
+    for ip, g in pdf.groupby("ip"):
+        s = np.sort(g["ts"].dropna().to_numpy())
+        d = np.diff(s).astype(float)
+        minutes = pd.Series(s - s % 60).value_counts()
+        vc = g["path"].dropna().value_counts()
+        p = vc / vc.sum()
+        out[ip] = dict(total_requests=len(g), unique_paths=g["path"].nunique(),
+                       mean_interval_sec=d.mean() if len(d) else 0.0,
+                       std_interval_sec=d.std(ddof=1) if len(d) > 1 else 0.0,
+                       max_requests_per_minute=int(minutes.max()), avg_requests_per_minute=minutes.mean(),
+                       path_entropy=float(-(p * np.log(p)).sum()) if len(p) else 0.0)
+    return pd.DataFrame.from_dict(out, orient="index")
+
+
+def test_v2_matches_brute_force_on_fixture(spark):
+    req = catalog.requests_n(spark, SF_MID)
+    got = features.ip_features_v2(req).toPandas().set_index("ip")
+    pdf = req.select("ip", "timestamp", "path").toPandas()
+    pdf["timestamp"] = pd.to_datetime(pdf["timestamp"])
+    exp = _brute_force_v2(pdf)
+    assert set(got.index) == set(exp.index)
+    for c in exp.columns:
+        np.testing.assert_allclose(got.loc[exp.index, c].astype(float), exp[c].astype(float), rtol=1e-9, atol=1e-9,
+                                   err_msg=c)
+
+
+def test_entropy_bounds_and_ratio_range(spark):
+    f = features.ip_features_v2(catalog.requests_n(spark, SF_MID)).collect()
+    for r in f:
+        assert -1e-12 <= r.path_entropy <= math.log(max(r.unique_paths, 1)) + 1e-9
+        assert 0.0 <= r.repeated_path_ratio <= 1.0
+
+
+def test_hot_ip_is_spread_not_single_task(spark):
+    """One address with most rows: results stay exact (partial aggregation)."""
+    from pyspark.sql import functions as F
+    base = spark.range(200000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("ip"), (F.col("id") % 500).cast("string"))).alias("ip"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 86400).alias("timestamp"),
+        F.concat(F.lit("/p"), (F.col("id") % 37).cast("string")).alias("path"),
+        F.lit(200).cast("bigint").alias("status"), F.lit("x").alias("user_agent"))
+    r = [x for x in features.ip_features_v2(base).collect() if x.ip == "hot"][0]
+    assert r.total_requests == 66667
+    assert r.unique_paths == 37
