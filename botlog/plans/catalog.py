@@ -496,3 +496,30 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query("top_suspicious_ips")
 def _top_suspicious_ips(spark, sf):
     return flagship(spark, sf)
+
+
+@query("iforest_v1_scores")
+def _iforest_v1_scores(spark, sf):
+    """The first detector: v1 features, forest at contamination 0.05."""
+    f = jobs.feature_table(requests(spark, sf), version=1)
+    return jobs.anomaly_job_v1(f).select("ip", "ua_bot_flag", "anomaly_score", "is_anomaly")
+
+
+@query("iforest_v1_report")
+def _iforest_v1_report(spark, sf):
+    """Classification report of the first detector against the UA flag."""
+    f = jobs.feature_table(requests(spark, sf), version=1)
+    s = jobs.anomaly_job_v1(f)
+    ev = s.select(F.col("ua_bot_flag").alias("y_true"), F.col("is_anomaly").alias("y_pred"),
+                  (-F.col("anomaly_score")).alias("score"))
+    return evaluate.classification_report(ev)
+
+
+@query("rf_test_report")
+def _rf_test_report(spark, sf):
+    return _supervised(spark, sf).test_report
+
+
+@query("rf_test_confusion")
+def _rf_test_confusion(spark, sf):
+    return _supervised(spark, sf).test_confusion

@@ -73,7 +73,8 @@ def anomaly_job(feats: DataFrame, feature_cols=features.V2_FEATURES, levels=CONT
 
 
 def anomaly_job_v1(feats: DataFrame, contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """The first detector: six features, one contamination level."""
+    """The first detector: six v1 features, one contamination level.
+    ``feats`` is a v1 (or v2) feature table."""
     cols = list(features.V1_FEATURES)
     scaled = scaling.standardize(feats, cols, suffix="__z")
     zcols = [f"{c}__z" for c in cols]
@@ -86,6 +87,8 @@ class SupervisedResult:
     fit: forest.ForestFit
     split: DataFrame
     test_metrics: DataFrame      # one row: n_train, n_test, precision, recall, f1, auc
+    test_report: DataFrame       # classification report on the test set (Human / Bot)
+    test_confusion: DataFrame    # tn, fp, fn, tp on the test set
     importances: DataFrame
     predictions: DataFrame       # all rows + bot_probability, predicted_bot
 
@@ -107,4 +110,6 @@ def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: s
     k = F.lit(1)
     metrics = (sizes.withColumn("_k", k).join(prf.withColumn("_k", k), "_k")
                .withColumn("auc", F.lit(auc).cast("double")).drop("_k"))
-    return SupervisedResult(fit, split, metrics, fit.importances(feats.sparkSession), fit.predict(feats))
+    report = evaluate.classification_report(ev, names=("Human", "Bot"))
+    return SupervisedResult(fit, split, metrics, report, evaluate.confusion_matrix(ev),
+                            fit.importances(feats.sparkSession), fit.predict(feats))
