@@ -149,7 +149,7 @@ def contamination_cuts(df: DataFrame, score: str, levels, cut_digits: int | None
 
 def contamination_sweep(df: DataFrame, score: str, label: str, levels, cut_digits: int | None = None,
                         n_buckets=None) -> DataFrame:
-    """(contamination, precision, recall, f1, auc) per level; a row is
+    """(contamination, cut, precision, recall, f1, auc) per level; a row is
     predicted positive when ``score`` is strictly below the level's cut."""
     cuts = _cuts(df, score, levels, cut_digits)
     s, y = F.col(score), F.col(label)
@@ -161,10 +161,11 @@ def contamination_sweep(df: DataFrame, score: str, label: str, levels, cut_digit
     counts = df.agg(*aggs)
     auc = roc_auc_value(df.select(y.alias("y_true"), (-s).alias("score")), n_buckets)
     rows = []
-    for i, lv in enumerate(levels):
+    for i, (lv, c) in enumerate(zip(levels, cuts)):
         p, r, f = _prf(F.col(f"tp{i}"), F.col(f"fp{i}"), F.col(f"fn{i}"))
-        rows.append(F.struct(F.lit(float(lv)).alias("contamination"), p.alias("precision"), r.alias("recall"),
-                             f.alias("f1"), F.lit(auc).cast("double").alias("auc")))
+        rows.append(F.struct(F.lit(float(lv)).alias("contamination"), F.lit(c).cast("double").alias("cut"),
+                             p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                             F.lit(auc).cast("double").alias("auc")))
     return counts.select(F.inline(F.array(*rows)))
 
 

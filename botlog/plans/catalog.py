@@ -370,14 +370,17 @@ def _contamination_cut(spark, sf):
     return finish(evaluate.contamination_cuts(det, "anomaly_score", LEVELS, cut_digits=6))
 
 
+_SWEEP_COLS = ("contamination", "precision", "recall", "f1", "auc")
+
+
 @query("contamination_sweep")
 def _contamination_sweep(spark, sf):
-    return finish(_det_sweep(spark, sf))
+    return finish(_det_sweep(spark, sf).select(*_SWEEP_COLS))
 
 
 @query("best_contamination")
 def _best_contamination(spark, sf):
-    return finish(evaluate.best_contamination(_det_sweep(spark, sf)))
+    return finish(evaluate.best_contamination(_det_sweep(spark, sf)).select(*_SWEEP_COLS))
 
 
 # --- sources and sinks ------------------------------------------------------------
@@ -444,7 +447,7 @@ def _iforest_labels(spark, sf):
 
 @query("iforest_sweep")
 def _iforest_sweep(spark, sf):
-    return _iforest(spark, sf).sweep
+    return _iforest(spark, sf).sweep.select(*_SWEEP_COLS)
 
 
 @query("stratified_split")

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botlog.operators import evaluate, features, forest, iforest, parse, scaling
-from botlog.operators.ranking import exact_percentiles
 from botlog.session import checkpoint_root
 
 CONTAMINATION_LEVELS = (0.01, 0.02, 0.05, 0.10)
@@ -65,11 +64,12 @@ def anomaly_job(feats: DataFrame, feature_cols=features.V2_FEATURES, levels=CONT
     model = iforest.fit_isolation_forest(scaled.select("ip", *zcols), zcols, n_trees=n_trees,
                                          max_samples=max_samples, seed=seed)
     raw = model.score_samples(scaled, "score_samples").drop(*zcols).checkpoint(eager=True)
-    sweep = evaluate.contamination_sweep(raw, "score_samples", "ua_bot_flag", levels).cache()
-    best = evaluate.best_contamination(sweep).first()["contamination"]
-    offset = exact_percentiles(raw, "score_samples", [best])[0]
-    scores = iforest.apply_offset(raw, offset)
-    return AnomalyResult(model, scores, sweep, best)
+    sweep = evaluate.contamination_sweep(raw, "score_samples", "ua_bot_flag", levels)
+    rows = sweep.collect()  # one row per level
+    sweep = sweep.sparkSession.createDataFrame(rows, sweep.schema)
+    best = min(rows, key=lambda r: (-r["f1"], r["contamination"]))
+    scores = iforest.apply_offset(raw, best["cut"])
+    return AnomalyResult(model, scores, sweep, best["contamination"])
 
 
 def anomaly_job_v1(feats: DataFrame, contamination: float = 0.05, seed: int = 42) -> DataFrame:
@@ -85,12 +85,45 @@ def anomaly_job_v1(feats: DataFrame, contamination: float = 0.05, seed: int = 42
 @dataclass
 class SupervisedResult:
     fit: forest.ForestFit
-    split: DataFrame
-    test_metrics: DataFrame      # one row: n_train, n_test, precision, recall, f1, auc
-    test_report: DataFrame       # classification report on the test set (Human / Bot)
-    test_confusion: DataFrame    # tn, fp, fn, tp on the test set
-    importances: DataFrame
-    predictions: DataFrame       # all rows + bot_probability, predicted_bot
+    split: DataFrame             # features + is_test
+    feats: DataFrame
+
+    @property
+    def test_evaluation(self) -> DataFrame:
+        """(y_true, y_pred, score) on the held-out rows."""
+        label = self.fit.label
+        pred = self.fit.predict(self.split.filter(F.col("is_test") == 1))
+        return pred.select(F.col(label).alias("y_true"), F.col("predicted_bot").alias("y_pred"),
+                           F.col("bot_probability").alias("score"))
+
+    @property
+    def test_metrics(self) -> DataFrame:
+        """One row: n_train, n_test, precision, recall, f1, auc (test set)."""
+        ev = self.test_evaluation
+        auc = evaluate.roc_auc_value(ev)
+        sizes = self.split.agg(F.count_if(F.col("is_test") == 0).alias("n_train"),
+                               F.count_if(F.col("is_test") == 1).alias("n_test"))
+        k = F.lit(1)
+        prf = evaluate.precision_recall_f1(ev)
+        return (sizes.withColumn("_k", k).join(prf.withColumn("_k", k), "_k")
+                .withColumn("auc", F.lit(auc).cast("double")).drop("_k"))
+
+    @property
+    def test_report(self) -> DataFrame:
+        return evaluate.classification_report(self.test_evaluation, names=("Human", "Bot"))
+
+    @property
+    def test_confusion(self) -> DataFrame:
+        return evaluate.confusion_matrix(self.test_evaluation)
+
+    @property
+    def importances(self) -> DataFrame:
+        return self.fit.importances(self.feats.sparkSession)
+
+    @property
+    def predictions(self) -> DataFrame:
+        """All rows (train rows included) + bot_probability, predicted_bot."""
+        return self.fit.predict(self.feats)
 
 
 def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: str = "ua_bot_flag",
@@ -98,18 +131,5 @@ def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: s
     evaluate.require_positive_labels(feats, label)
     split = forest.stratified_split(feats, label, seed=seed).checkpoint(eager=True)
     train = split.filter(F.col("is_test") == 0)
-    test = split.filter(F.col("is_test") == 1)
     fit = forest.fit_random_forest(train, feature_cols, label, n_trees=n_trees, seed=seed, max_depth=max_depth)
-    pred_test = fit.predict(test)
-    ev = pred_test.select(F.col(label).alias("y_true"), F.col("predicted_bot").alias("y_pred"),
-                          F.col("bot_probability").alias("score"))
-    auc = evaluate.roc_auc_value(ev)
-    prf = evaluate.precision_recall_f1(ev)
-    sizes = split.agg(F.count_if(F.col("is_test") == 0).alias("n_train"),
-                      F.count_if(F.col("is_test") == 1).alias("n_test"))
-    k = F.lit(1)
-    metrics = (sizes.withColumn("_k", k).join(prf.withColumn("_k", k), "_k")
-               .withColumn("auc", F.lit(auc).cast("double")).drop("_k"))
-    report = evaluate.classification_report(ev, names=("Human", "Bot"))
-    return SupervisedResult(fit, split, metrics, report, evaluate.confusion_matrix(ev),
-                            fit.importances(feats.sparkSession), fit.predict(feats))
+    return SupervisedResult(fit, split, feats)
