@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botlog.operators.ranking import order_statistics
+from botlog.session import checkpoint_root
 
 
 def stratified_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "ip",
@@ -71,6 +72,7 @@ def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_
                       seed: int = 42, max_depth: int = 30, max_bins: int = 128) -> ForestFit:
     """Train on ``train`` with balanced class weights."""
     features = list(features)
+    checkpoint_root(train.sparkSession)
     if train.filter(F.col(label) == 1).limit(1).count() == 0:
         raise ValueError(f"no positive {label} in the training data: cannot train a supervised model")
     w = balanced_weights(train, label)
@@ -81,7 +83,10 @@ def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_
         train.fillna(0, subset=features)).select("_x", F.col(label).cast("double").alias("_y"), wcol.alias("_w"))
     rf = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=n_trees, seed=seed,
                                 featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=max_bins,
-                                bootstrap=True, impurity="gini")
+                                bootstrap=True, impurity="gini",
+                                # node ids cached (and checkpointed every 10 levels) instead of
+                                # shipping the growing trees each level; bigger node groups per pass
+                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     return ForestFit(rf.fit(data), features, label)
 
 
