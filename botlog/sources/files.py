@@ -45,9 +45,16 @@ def write_parsed_log(requests: DataFrame, path: str, partition_by_date: bool = T
     w.parquet(path)
 
 
-def read_parsed_log(spark: SparkSession, path: str) -> DataFrame:
-    """Typed scan of a request table written by :func:`write_parsed_log`."""
+def read_parsed_log(spark: SparkSession, path: str, start_date=None, end_date=None) -> DataFrame:
+    """Typed scan of a request table written by :func:`write_parsed_log`.
+
+    ``start_date`` / ``end_date`` (inclusive, UTC) filter the ``date``
+    partition column, so only the matching directories are listed and read."""
     df = spark.read.parquet(path)
+    if start_date is not None:
+        df = df.filter(F.col("date") >= F.lit(start_date).cast("date"))
+    if end_date is not None:
+        df = df.filter(F.col("date") <= F.lit(end_date).cast("date"))
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REQUEST_SCHEMA.fields])
 
 
