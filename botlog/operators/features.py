@@ -12,8 +12,9 @@ from partial aggregates whose keys include more than the address:
   address to one row per (task, path) before each shuffle.
 * chain T  (ip, minute) -> ip : requests per minute (mean over non-empty
   minutes, max) and inter-arrival intervals. Each (ip, minute) group keeps
-  its sorted distinct seconds (at most 60), so within-minute gaps are
-  computed locally; the gaps between minutes come from a ``lag`` over the
+  its distinct seconds as a 60-bit mask (a fixed-width hash-aggregate
+  buffer), so within-minute gaps are computed locally; the gaps between
+  minutes come from a ``lag`` over the
   per-minute rows of an address, which holds at most one row per minute of
   the log's time span whatever the request volume. Mean and sample standard
   deviation of the intervals then follow from exact integer sums:
@@ -98,21 +99,34 @@ def requests_per_minute(requests: DataFrame) -> DataFrame:
 
 
 def _minute_groups(t: DataFrame, with_seconds: bool) -> DataFrame:
+    """One row per (ip, minute): request count ``c`` and, for intervals, the
+    first and last second used and the sum of squared gaps between
+    consecutive distinct seconds inside the minute.
+
+    The distinct seconds of a minute are kept as a 60-bit mask built with
+    ``bit_or``, a fixed-width buffer, so the partial aggregation over the raw
+    rows is a plain codegen'd hash aggregate."""
     t = t.filter(F.col("ts").isNotNull()).withColumn("minute", F.col("ts") - F.pmod(F.col("ts"), F.lit(60)))
     aggs = [F.count(F.lit(1)).alias("c")]
     if with_seconds:
-        aggs.append(F.array_sort(F.collect_set("ts")).alias("secs"))
+        aggs.append(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(ts - minute AS INT))")).alias("mask"))
     g = t.groupBy("ip", "minute").agg(*aggs)
     if not with_seconds:
         return g
-    secs, k = F.col("secs"), F.size(F.col("secs"))
-    gaps = F.zip_with(F.slice(secs, 2, k - 1), F.slice(secs, 1, k - 1), lambda a, b: a - b)
-    return g.select(
-        "ip", "minute", "c",
-        F.element_at(secs, 1).alias("first"),
-        F.element_at(secs, -1).alias("last"),
-        F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, d: acc + d * d).alias("sq"),
-    )
+    mask = F.col("mask")
+    low = mask.bitwiseAND(-mask)                    # lowest set bit
+    first_off = F.bit_count(low - 1)                # its index
+    bits = F.bin(mask)                              # binary text, most significant bit first
+    last_off = F.length(bits) - 1
+    # zero runs between consecutive ones: each inner run of k zeros is a gap of k + 1 seconds
+    runs = F.split(bits, "1")
+    inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
+    sq = F.aggregate(inner, F.lit(0).cast("long"),
+                     lambda acc, r: acc + (F.length(r) + 1).cast("long") * (F.length(r) + 1).cast("long"))
+    return g.select("ip", "minute", "c",
+                    (F.col("minute") + first_off).alias("first"),
+                    (F.col("minute") + last_off).alias("last"),
+                    sq.alias("sq"))
 
 
 def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:

@@ -108,3 +108,24 @@ def test_hot_ip_is_spread_not_single_task(spark):
     r = [x for x in features.ip_features_v2(base).collect() if x.ip == "hot"][0]
     assert r.total_requests == 66667
     assert r.unique_paths == 37
+
+
+def test_interval_stats_random_property(spark):
+    """Mean/std of intervals from the minute masks equal numpy on random
+    time stamps with ties, dense minutes and long gaps."""
+    rng = np.random.default_rng(123)
+    rows = []
+    expected = {}
+    for k in range(40):
+        n = int(rng.integers(1, 400))
+        base = 1704067200 + int(rng.integers(0, 10**6))
+        spread = int(rng.choice([30, 300, 86400]))
+        secs = base + rng.integers(0, spread, n)
+        ip = f"ip{k}"
+        rows += [(ip, pd.Timestamp(int(s), unit="s").strftime("%Y-%m-%d %H:%M:%S"), "/p", 200, "x") for s in secs]
+        d = np.diff(np.sort(secs)).astype(float)
+        expected[ip] = (d.mean() if len(d) else 0.0, d.std(ddof=1) if len(d) > 1 else 0.0)
+    got = {r.ip: r for r in features.ip_features_v2(make_requests(spark, rows)).collect()}
+    for ip, (m, sd) in expected.items():
+        assert got[ip].mean_interval_sec == pytest.approx(m, rel=1e-12, abs=1e-12)
+        assert got[ip].std_interval_sec == pytest.approx(sd, rel=1e-9, abs=1e-9)
