@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botlog.operators.ranking import exact_percentiles, prefix_counts
+from botlog.operators.ranking import exact_percentiles, prefix_counts_with_totals
 
 
 def confusion_matrix(ev: DataFrame) -> DataFrame:
@@ -71,20 +71,24 @@ def precision_recall_f1(ev: DataFrame) -> DataFrame:
 
 
 def _score_table(ev: DataFrame, n_buckets=None) -> DataFrame:
+    return _score_table_with_totals(ev, n_buckets)[0]
+
+
+def _score_table_with_totals(ev: DataFrame, n_buckets=None):
     y = F.col("y_true")
-    return prefix_counts(ev, "score", {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")},
-                         descending=True, n_buckets=n_buckets)
+    return prefix_counts_with_totals(ev, "score", {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")},
+                                     descending=True, n_buckets=n_buckets)
 
 
 def roc_auc(ev: DataFrame, n_buckets=None) -> DataFrame:
     """One row ``auc``: area under the ROC curve of ``score`` (ties count
     half); null when only one class is present."""
-    st = _score_table(ev, n_buckets)
-    agg = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                 F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("area"))
-    P, N = F.col("P"), F.col("N")
-    return agg.select(F.when((P > 0) & (N > 0), F.col("area") / (P.cast("double") * N.cast("double")))
-                      .alias("auc"))
+    st, tot = _score_table_with_totals(ev, n_buckets)
+    P, N = tot["pos"], tot["neg"]
+    area = st.agg(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("area"))
+    if P > 0 and N > 0:
+        return area.select((F.col("area") / F.lit(float(P) * float(N))).alias("auc"))
+    return area.select(F.lit(None).cast("double").alias("auc"))
 
 
 def roc_auc_value(ev: DataFrame, n_buckets=None) -> float | None:
@@ -95,9 +99,8 @@ def roc_curve(ev: DataFrame, n_buckets=None) -> DataFrame:
     """ROC points (fpr, tpr, threshold): the origin with threshold +inf, then
     one point per distinct score in descending order (rates null when a
     class is absent)."""
-    st = _score_table(ev, n_buckets)
-    P_N = st.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N")).first()
-    P, N = P_N["P"], P_N["N"]
+    st, tot = _score_table_with_totals(ev, n_buckets)
+    P, N = tot["pos"], tot["neg"]
 
     def rate(c, d):
         return (F.col(c) / F.lit(float(d))) if d else F.lit(None).cast("double")

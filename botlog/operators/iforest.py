@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botlog.operators.ranking import exact_percentiles
+from botlog.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -129,8 +130,8 @@ class IsolationForestModel:
         """Adds ``output``: minus the anomaly score of the paper (higher =
         more normal), computed by a vectorised pandas UDF."""
         spark = df.sparkSession
+        ship_package(spark)
         bc = spark.sparkContext.broadcast(self._arrays())
-        k = len(self.features)
 
         @F.pandas_udf(T.DoubleType())
         def _score(*cols: pd.Series) -> pd.Series:
@@ -154,7 +155,6 @@ class IsolationForestModel:
             mean_h = total / a["feature"].shape[0]
             return pd.Series(-np.power(2.0, -mean_h / a["c_psi"]) if a["c_psi"] > 0 else -np.ones(n))
 
-        assert k == len(self.features)
         return df.withColumn(output, _score(*[F.col(c).cast("double") for c in self.features]))
 
 
@@ -179,6 +179,7 @@ def fit_isolation_forest(df: DataFrame, features, id_col: str = "ip", n_trees: i
     ``df`` is read several times (count, sample); materialise it first
     (checkpoint or a written table) when it is expensive to recompute."""
     features = list(features)
+    ship_package(df.sparkSession)
     n = df.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on an empty table")

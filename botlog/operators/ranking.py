@@ -35,6 +35,12 @@ def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int) ->
 def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
                   n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
                   rel_error: float = 0.001) -> DataFrame:
+    return prefix_counts_with_totals(df, value, counts, descending, n_buckets, rows_per_bucket, rel_error)[0]
+
+
+def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
+                              n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                              rel_error: float = 0.001) -> tuple[DataFrame, dict]:
     """One row per distinct ``value`` with its summed ``counts`` (name ->
     column expression) and ``cum_<name>``: the running total over all rows
     whose value comes before or equals this one in the chosen order.
@@ -47,7 +53,9 @@ def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descendi
     g = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         *[F.sum(expr).alias(n) for n, expr in counts.items()])
     g = g.checkpoint(eager=True)
-    nb = _n_buckets(g.count(), n_buckets, rows_per_bucket)
+    tot = g.agg(F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names]).first().asDict()
+    grand = {k: (v or 0) for k, v in tot.items()}
+    nb = _n_buckets(grand["_distinct"], n_buckets, rows_per_bucket)
     cuts: list[float] = []
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
@@ -71,7 +79,8 @@ def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descendi
     within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*", *[F.sum(n).over(within).alias(f"_w_{n}") for n in names])
     j = g.join(F.broadcast(offsets), "_b")
-    return j.select(value, *names, *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
+    pc = j.select(value, *names, *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
+    return pc, grand
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -86,8 +95,8 @@ def exact_percentiles(df: DataFrame, value: str, probs, n_buckets: int | None =
     column, nulls ignored. Returns one float per probability (None when the
     column has no values). Only the few order statistics needed reach the
     driver."""
-    pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
-    n = pc.agg(F.sum("c")).first()[0]
+    pc, totals = prefix_counts_with_totals(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
+    n = totals["c"]
     if not n:
         return [None for _ in probs]
     plan = []

@@ -3,8 +3,10 @@ checkpoint folder, and the UTC session time zone the operators assume."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -68,3 +70,30 @@ def spread(df):
     if df.rdd.getNumPartitions() < parallelism:
         return df.repartition(parallelism)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``botlog`` importable in the executors' Python workers.
+
+    Pandas UDFs defined in this package are pickled by module reference, so
+    the workers must be able to import it. When the package is not installed
+    on the cluster, a zip of it is added with ``addPyFile`` (what
+    ``--py-files`` does), once per application."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="botlog-pyfiles-")  # read by the driver only; Spark ships it
+    zpath = os.path.join(out_dir, "botlog.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
