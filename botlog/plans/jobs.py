@@ -22,15 +22,30 @@ from pyspark.sql import functions as F
 
 from botlog.operators import evaluate, features, forest, iforest, parse, scaling
 from botlog.session import checkpoint_root
+from botlog.sources.files import read_parsed_log, write_parsed_log
 
 CONTAMINATION_LEVELS = (0.01, 0.02, 0.05, 0.10)
 
 
 def parse_job(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests, rejected lines)."""
+    """(requests, rejected lines), both lazy."""
     return parse.parse_log_lines(lines), parse.rejected_lines(lines)
 
 
+def ingest(lines: DataFrame, path: str, partition_by_date: bool = True) -> DataFrame:
+    """Parse once and store the request table as Parquet (partitioned by UTC
+    date); returns the typed scan of the stored table.
+
+    This is the production entry point: the regex runs once per line, and
+    every later job (features run two aggregation chains over it, marts
+    re-read it) scans only the columns it needs, with date pruning. No
+    shuffle: each task writes the dates its split covers (log files are
+    time-ordered, so a split covers few dates)."""
+    spark = lines.sparkSession
+    write_parsed_log(parse.parse_log_lines(lines), path, partition_by_date=partition_by_date)
+    return read_parsed_log(spark, path)
+
+
 def feature_table(requests: DataFrame, version: int = 2, materialize: bool = True) -> DataFrame:
     """Per-IP features from a request table in its post-CSV form."""
     r = parse.with_null_tokens(requests)

@@ -45,3 +45,15 @@ def test_scores_sink_puts_ip_first(spark, tmp_path):
         write_scores(s, out, fmt=fmt)
         back = read_scores(spark, out, fmt=fmt)
         assert back.columns[0] == "ip" and back.count() == 1
+
+
+def test_ingest_then_features(spark, tmp_path):
+    from botlog.plans import catalog, jobs
+    from conftest import SF_SMALL
+    stored = jobs.ingest(catalog.lines(spark, SF_SMALL), str(tmp_path / "req"))
+    direct = catalog.requests(spark, SF_SMALL)
+    assert stored.count() == direct.count()
+    a = jobs.feature_table(stored).orderBy("ip").toPandas()
+    b = jobs.feature_table(direct).orderBy("ip").toPandas()
+    # identical up to float summation order
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
