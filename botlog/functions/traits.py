@@ -28,19 +28,26 @@ TIME_BIN_SECONDS = 600
 
 
 def contains_any(col: Column, keywords) -> Column:
-    """Case-insensitive substring test; null -> null."""
+    """Lower-cased substring test (``kw in ua.lower()``); null -> null."""
     low = F.lower(col)
     return reduce(lambda a, b: a | b, [low.contains(k) for k in keywords])
 
 
+def matches_any(col: Column, keywords) -> Column:
+    """Case-insensitive keyword alternation as a regex search with Unicode
+    case folding (``(?iu)``), the semantics of a case-insensitive
+    ``str.contains`` on a joined pattern; null -> null."""
+    return col.rlike("(?iu)" + "|".join(keywords))
+
+
 def ua_bot_flag(user_agent: Column) -> Column:
     """1 when the user agent contains a bot keyword, 0 otherwise (null -> 0)."""
-    return F.coalesce(contains_any(user_agent, BOT_KEYWORDS), F.lit(False)).cast("int")
+    return F.coalesce(matches_any(user_agent, BOT_KEYWORDS), F.lit(False)).cast("int")
 
 
 def login_api_flag(path: Column) -> Column:
     """1 when the path contains a login/API keyword, 0 otherwise (null -> 0)."""
-    return F.coalesce(contains_any(path, LOGIN_API_KEYWORDS), F.lit(False)).cast("int")
+    return F.coalesce(matches_any(path, LOGIN_API_KEYWORDS), F.lit(False)).cast("int")
 
 
 def _status_between(status: Column, lo: int, hi: int) -> Column:

@@ -129,3 +129,11 @@ def test_interval_stats_random_property(spark):
     for ip, (m, sd) in expected.items():
         assert got[ip].mean_interval_sec == pytest.approx(m, rel=1e-12, abs=1e-12)
         assert got[ip].std_interval_sec == pytest.approx(sd, rel=1e-9, abs=1e-9)
+
+
+def test_keyword_flags_fold_unicode_case(spark):
+    from pyspark.sql import functions as F
+    from botlog.functions import traits
+    df = spark.createDataFrame([("ſpider x",), ("Kurl",), ("BOT",), ("human",), (None,)], "ua string")
+    got = [r[0] for r in df.select(traits.ua_bot_flag(F.col("ua"))).collect()]
+    assert got == [1, 1, 1, 0, 0]
