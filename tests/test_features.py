@@ -134,6 +134,6 @@ def test_interval_stats_random_property(spark):
 def test_keyword_flags_fold_unicode_case(spark):
     from pyspark.sql import functions as F
     from botlog.functions import traits
-    df = spark.createDataFrame([("ſpider x",), ("Kurl",), ("BOT",), ("human",), (None,)], "ua string")
+    df = spark.createDataFrame([("ſpider x",), ("CuRl/8",), ("BOT",), ("human",), (None,)], "ua string")
     got = [r[0] for r in df.select(traits.ua_bot_flag(F.col("ua"))).collect()]
     assert got == [1, 1, 1, 0, 0]
