@@ -57,3 +57,16 @@ def test_ingest_then_features(spark, tmp_path):
     b = jobs.feature_table(direct).orderBy("ip").toPandas()
     # identical up to float summation order
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
+
+
+def test_drilldown_filter_and_columns_reach_the_scan(spark, tmp_path):
+    from botlog.operators import marts
+    req = make_requests(spark, [("a", "2024-01-01 00:00:00", "/x", 200, "u"), ("b", "2024-01-02 10:00:00", "/y", 200, "v")])
+    out = str(tmp_path / "req")
+    write_parsed_log(req, out)
+    df = marts.ip_drilldown_paths(read_parsed_log(spark, out), "a")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(ip,a)" in plan
+    scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
+    assert "ReadSchema: struct<ip:string,path:string>" in scan
+    assert [(r.path, r["count"]) for r in df.collect()] == [("/x", 1)]
