@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botlog.operators.ranking import exact_percentiles, prefix_counts_with_totals
+from botlog.operators.ranking import exact_percentiles, percentiles_from_prefix, prefix_counts_with_totals
 
 
 def confusion_matrix(ev: DataFrame) -> DataFrame:
@@ -153,22 +153,35 @@ def contamination_cuts(df: DataFrame, score: str, levels, cut_digits: int | None
 def contamination_sweep(df: DataFrame, score: str, label: str, levels, cut_digits: int | None = None,
                         n_buckets=None) -> DataFrame:
     """(contamination, cut, precision, recall, f1, auc) per level; a row is
-    predicted positive when ``score`` is strictly below the level's cut."""
-    cuts = _cuts(df, score, levels, cut_digits)
-    s, y = F.col(score), F.col(label)
-    aggs = []
+    predicted positive when ``score`` is strictly below the level's cut, and
+    AUC ranks rows by ``-score``.
+
+    Everything comes from one ascending distinct-score table with counts
+    (rows, positives, negatives) and their prefix sums: the cuts are order
+    statistics of it, and below a score s lie cum_pos(s) - pos(s) positives,
+    which gives both the confusion counts at each cut and the AUC."""
+    y = F.col(label)
+    pc, tot = prefix_counts_with_totals(
+        df, score, {"c": F.lit(1).cast("long"), "pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")},
+        n_buckets=n_buckets)
+    cuts = percentiles_from_prefix(pc, score, tot["c"], levels)
+    if cut_digits is not None:
+        cuts = [None if c is None else round(c, cut_digits) for c in cuts]
+    s, pos, neg = F.col(score), F.col("pos"), F.col("neg")
+    P, N = tot["pos"], tot["neg"]
+    aggs = [F.sum(neg * (F.col("cum_pos") - pos / 2.0)).alias("area")]
     for i, c in enumerate(cuts):
-        pred = s < F.lit(c)
-        aggs += [F.count_if(pred & (y == 1)).alias(f"tp{i}"), F.count_if(pred & (y == 0)).alias(f"fp{i}"),
-                 F.count_if(~pred & (y == 1)).alias(f"fn{i}")]
-    counts = df.agg(*aggs)
-    auc = roc_auc_value(df.select(y.alias("y_true"), (-s).alias("score")), n_buckets)
+        below = s < F.lit(c)
+        aggs += [F.coalesce(F.sum(F.when(below, pos)), F.lit(0)).alias(f"tp{i}"),
+                 F.coalesce(F.sum(F.when(below, neg)), F.lit(0)).alias(f"fp{i}")]
+    counts = pc.agg(*aggs)
+    auc = (F.col("area") / F.lit(float(P) * float(N))) if P > 0 and N > 0 else F.lit(None).cast("double")
     rows = []
     for i, (lv, c) in enumerate(zip(levels, cuts)):
-        p, r, f = _prf(F.col(f"tp{i}"), F.col(f"fp{i}"), F.col(f"fn{i}"))
+        tp, fp = F.col(f"tp{i}"), F.col(f"fp{i}")
+        p, r, f = _prf(tp, fp, F.lit(P) - tp)
         rows.append(F.struct(F.lit(float(lv)).alias("contamination"), F.lit(c).cast("double").alias("cut"),
-                             p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                             F.lit(auc).cast("double").alias("auc")))
+                             p.alias("precision"), r.alias("recall"), f.alias("f1"), auc.alias("auc")))
     return counts.select(F.inline(F.array(*rows)))
 
 

@@ -96,7 +96,12 @@ def exact_percentiles(df: DataFrame, value: str, probs, n_buckets: int | None =
     column has no values). Only the few order statistics needed reach the
     driver."""
     pc, totals = prefix_counts_with_totals(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
-    n = totals["c"]
+    return percentiles_from_prefix(pc, value, totals["c"], probs)
+
+
+def percentiles_from_prefix(pc: DataFrame, value: str, n: int, probs) -> list[float | None]:
+    """Percentiles from a prefix table with ``c`` / ``cum_c`` (ascending)
+    over ``n`` rows."""
     if not n:
         return [None for _ in probs]
     plan = []
