@@ -20,24 +20,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botlog.operators.ranking import order_statistics
+from botlog.operators.ranking import order_statistics_by
 from botlog.session import checkpoint_root
 
 
 def stratified_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "ip",
                      test_fraction: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds ``is_test`` (int): an exact per-class ``test_fraction`` share."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    x = df.withColumn("_h", h)
-    counts = {r[0]: r[1] for r in x.groupBy(label).count().collect()}
-    cond = F.lit(False)
-    for cls, n in counts.items():
+    """Adds ``is_test`` (int): inside each class, the round(test_fraction *
+    n_class) rows with the smallest ``xxhash64(id, seed)``. The per-class
+    cut hashes come from one grouped order-statistics pass."""
+    x = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+
+    def ranks(_cls, n):
         k = int(round(test_fraction * n))
-        if k <= 0:
-            continue
-        part = x.filter(F.col(label) == cls)
-        kth = order_statistics(part, "_h", [k - 1])[0]
-        cond = cond | ((F.col(label) == cls) & (F.col("_h") <= F.lit(kth)))
+        return [k - 1] if k > 0 else []
+
+    kth = order_statistics_by(x, label, "_h", ranks)
+    cond = F.lit(False)
+    for cls, vals in kth.items():
+        if vals and vals[0] is not None:
+            cond = cond | ((F.col(label) == F.lit(cls)) & (F.col("_h") <= F.lit(vals[0])))
     return x.withColumn("is_test", cond.cast("int")).drop("_h")
 
 

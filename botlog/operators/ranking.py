@@ -34,27 +34,39 @@ def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int) ->
 
 def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
                   n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                  rel_error: float = 0.001) -> DataFrame:
-    return prefix_counts_with_totals(df, value, counts, descending, n_buckets, rows_per_bucket, rel_error)[0]
+                  rel_error: float = 0.001, by=()) -> DataFrame:
+    return prefix_counts_with_totals(df, value, counts, descending, n_buckets, rows_per_bucket, rel_error, by)[0]
 
 
 def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
                               n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-                              rel_error: float = 0.001) -> tuple[DataFrame, dict]:
-    """One row per distinct ``value`` with its summed ``counts`` (name ->
-    column expression) and ``cum_<name>``: the running total over all rows
-    whose value comes before or equals this one in the chosen order.
+                              rel_error: float = 0.001, by=()) -> tuple[DataFrame, dict]:
+    """One row per distinct (``by``..., ``value``) with its summed ``counts``
+    (name -> column expression) and ``cum_<name>``: the running total over
+    the rows of the same ``by`` group whose value comes before or equals this
+    one in the chosen order.
+
+    Returns the prefix table and the grand totals (``_distinct`` and each
+    count; with ``by``, also ``_groups``: group key tuple -> totals).
 
     The distinct-value table is checkpointed (it is read for its size, the
     cut points and the prefix pass). Without an explicit ``n_buckets`` the
     number of buckets is its measured row count / ``rows_per_bucket``, so a
     small table takes one bucket and a large one is spread over many."""
     names = list(counts)
-    g = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
+    by = list(by)
+    g = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[F.sum(expr).alias(n) for n, expr in counts.items()])
     g = g.checkpoint(eager=True)
-    tot = g.agg(F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names]).first().asDict()
-    grand = {k: (v or 0) for k, v in tot.items()}
+    sums = [F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names]]
+    if by:
+        rows = g.groupBy(*by).agg(*sums).collect()  # one row per group
+        groups = {tuple(r[b] for b in by): {k: (r[k] or 0) for k in ["_distinct", *names]} for r in rows}
+        grand = {k: sum(t[k] for t in groups.values()) for k in ["_distinct", *names]}
+        grand["_groups"] = groups
+    else:
+        tot = g.agg(*sums).first().asDict()
+        grand = {k: (v or 0) for k, v in tot.items()}
     nb = _n_buckets(grand["_distinct"], n_buckets, rows_per_bucket)
     cuts: list[float] = []
     if nb > 1:
@@ -70,16 +82,17 @@ def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, objec
         g = g.withColumn("_b", F.lit(0))
     if descending:
         g = g.withColumn("_b", -F.col("_b"))
-    totals = g.groupBy("_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    # the bucket-totals table has at most `nb` rows
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                    for n in names])
+    totals = g.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    # the bucket-totals table has at most `nb` rows per group
+    before = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
+                                         for n in names])
     order = F.col(value).desc() if descending else F.col(value).asc()
-    within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*", *[F.sum(n).over(within).alias(f"_w_{n}") for n in names])
-    j = g.join(F.broadcast(offsets), "_b")
-    pc = j.select(value, *names, *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
+    j = g.join(F.broadcast(offsets), [*by, "_b"])
+    pc = j.select(*by, value, *names,
+                  *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
     return pc, grand
 
 
@@ -132,3 +145,25 @@ def order_statistics(df: DataFrame, value: str, ranks, n_buckets: int | None = N
     ignored); None for a rank past the end."""
     pc = prefix_counts(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets)
     return _pick_ranks(pc, value, list(ranks))
+
+
+def order_statistics_by(df: DataFrame, by: str, value: str, ranks_for, n_buckets: int | None = None) -> dict:
+    """Per group of ``by``: the values at 0-based ranks of ``value``
+    (ascending). ``ranks_for(group_value, n_rows)`` gives the ranks of a
+    group from its size. One pass for all groups."""
+    pc, grand = prefix_counts_with_totals(df, value, {"c": F.lit(1).cast("long")}, n_buckets=n_buckets, by=[by])
+    wanted = {key[0]: list(ranks_for(key[0], t["c"])) for key, t in grand["_groups"].items()}
+    cond = F.lit(False)
+    for grp, ranks in wanted.items():
+        for r in ranks:
+            cond = cond | ((F.col(by) == F.lit(grp)) & (F.col("cum_c") - F.col("c") <= r) & (F.lit(r) < F.col("cum_c")))
+    rows = pc.filter(cond).select(by, value, "c", "cum_c").collect()
+    out = {}
+    for grp, ranks in wanted.items():
+        vals = []
+        for r in ranks:
+            hit = [row[value] for row in rows
+                   if row[by] == grp and row["cum_c"] - row["c"] <= r < row["cum_c"]]
+            vals.append(hit[0] if hit else None)
+        out[grp] = vals
+    return out

@@ -80,3 +80,15 @@ def test_sweep_recall_monotone(spark):
     assert len({r.auc for r in sw}) == 1
     cuts = evaluate.contamination_cuts(df, "s", (0.01, 0.10)).collect()
     assert [c.flagged for c in cuts] == [20, 200]
+
+
+def test_grouped_order_statistics(spark):
+    from botlog.operators.ranking import order_statistics_by
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), np.round(rng.normal(size=3000), 3))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for nb in (None, 6):
+        got = order_statistics_by(df, "g", "v", lambda grp, n: [0, n // 2, n - 1], n_buckets=nb)
+        for grp in (0, 1, 2):
+            vals = np.sort([v for g, v in rows if g == grp])
+            assert got[grp] == [vals[0], vals[len(vals) // 2], vals[-1]]
