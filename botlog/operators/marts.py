@@ -104,9 +104,9 @@ def ip_drilldown_paths(requests: DataFrame, ip: str, n: int = 10) -> DataFrame:
 
 
 def ua_stats(requests: DataFrame, suspicious: DataFrame) -> DataFrame:
-    """Per user agent (nulls dropped): total_requests, ua_category,
-    requests_from_anomalous_ips."""
-    r = requests.filter(F.col("user_agent").isNotNull())
+    """Per user agent (nulls dropped): total_requests (requests with a known
+    address), ua_category, requests_from_anomalous_ips."""
+    r = requests.filter(F.col("user_agent").isNotNull() & F.col("ip").isNotNull())
     t = _counts_by(r, suspicious, "user_agent", F.col("user_agent"))
     return t.select("user_agent", "total_requests", traits.ua_category(F.col("user_agent")).alias("ua_category"),
                     F.col("suspicious_requests").alias("requests_from_anomalous_ips"))

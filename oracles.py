@@ -256,9 +256,9 @@ SELECT MAKE_TIMESTAMP((ts - ts % 600) * 1000000) AS time_bin, COUNT(*) AS total_
   COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS suspicious_requests
 FROM reqn WHERE ts IS NOT NULL GROUP BY 1""")
 _UA_STATS = f"""
-, us AS (SELECT user_agent, COUNT(*) AS total_requests, {UA_CATEGORY} AS ua_category,
+, us AS (SELECT user_agent, COUNT(ip) AS total_requests, {UA_CATEGORY} AS ua_category,
   COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS requests_from_anomalous_ips
-  FROM reqn WHERE user_agent IS NOT NULL GROUP BY user_agent)"""
+  FROM reqn WHERE user_agent IS NOT NULL GROUP BY user_agent HAVING COUNT(ip) > 0)"""
 oracle("ua_stats", _UA_STATS + " SELECT * FROM us")
 oracle("top_user_agents", _UA_STATS + " SELECT * FROM us ORDER BY total_requests DESC, user_agent LIMIT 20")
 oracle("ua_category_counts", f"SELECT {UA_CATEGORY} AS ua_category, COUNT(*) AS count FROM reqn GROUP BY 1")

@@ -39,3 +39,14 @@ def test_filters(spark):
     assert [r.ip for r in marts.suspicious_ips(s).collect()] == ["a", "c"]
     assert [r.ip for r in marts.suspicious_ips(s, only_anomalies=True).collect()] == ["a"]
     assert [r.ip for r in marts.suspicious_ips(s, min_requests=1, threshold=-0.2).collect()] == ["b"]
+
+
+def test_ua_stats_counts_known_addresses(spark):
+    req = make_requests(spark, [("a", "2024-01-01 00:03:00", "/x", 200, "bot"),
+                                (None, "2024-01-01 00:04:00", "/x", 200, "bot"),
+                                ("b", "2024-01-01 00:05:00", "/x", 200, None)])
+    s = spark.createDataFrame([("a", 10, -1.0, 1)], "ip string, total_requests bigint, anomaly_score double, is_anomaly int")
+    got = {r.user_agent: r for r in marts.ua_stats(req, marts.suspicious_ips(s, min_requests=1)).collect()}
+    assert list(got) == ["bot"]
+    assert got["bot"].total_requests == 1 and got["bot"].requests_from_anomalous_ips == 1
+    assert got["bot"].ua_category == "Known Bot"
