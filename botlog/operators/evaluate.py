@@ -63,6 +63,12 @@ def classification_report(ev: DataFrame, names=("Likely Human", "Likely Bot")) -
     return cm.select(F.inline(rows))
 
 
+def precision_recall_f1_from_counts(tp, fp, fn):
+    """(precision, recall, f1) column expressions from count columns (zero
+    division -> 0)."""
+    return _prf(tp, fp, fn)
+
+
 def precision_recall_f1(ev: DataFrame) -> DataFrame:
     cm = confusion_matrix(ev)
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))

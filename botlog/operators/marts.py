@@ -67,16 +67,22 @@ def traffic_over_time(requests: DataFrame, suspicious: DataFrame,
 
 def overview_metrics(requests: DataFrame, scores: DataFrame, suspicious: DataFrame) -> DataFrame:
     """One row: total_requests, total_ips (of the unfiltered score table),
-    suspicious_ips, suspicious_requests, suspicious_traffic_pct."""
+    suspicious_ips, suspicious_requests, suspicious_traffic_pct.
+
+    The three sources are reduced to one-row partials, stacked with a union
+    and summed, so no join is needed."""
     per_ip = requests.groupBy("ip").agg(F.count(F.lit(1)).alias("_c"))
     j = per_ip.join(_flagged(suspicious), "ip", "left")
-    req = j.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("total_requests"),
-                F.coalesce(F.sum(F.when(F.col("_sus"), F.col("_c"))), F.lit(0)).alias("suspicious_requests"))
-    ips = scores.agg(F.count_distinct("ip").alias("total_ips"))
-    sus = suspicious.agg(F.count(F.lit(1)).alias("suspicious_ips"))
-    # three one-row aggregates side by side
-    k = F.lit(1)
-    out = req.withColumn("_k", k).join(ips.withColumn("_k", k), "_k").join(sus.withColumn("_k", k), "_k")
+    zero = F.lit(0).cast("long")
+    req = j.agg(F.coalesce(F.sum("_c"), zero).alias("total_requests"),
+                F.coalesce(F.sum(F.when(F.col("_sus"), F.col("_c"))), zero).alias("suspicious_requests"),
+                zero.alias("total_ips"), zero.alias("suspicious_ips"))
+    ips = scores.agg(zero.alias("total_requests"), zero.alias("suspicious_requests"),
+                     F.count_distinct("ip").alias("total_ips"), zero.alias("suspicious_ips"))
+    sus = suspicious.agg(zero.alias("total_requests"), zero.alias("suspicious_requests"),
+                         zero.alias("total_ips"), F.count(F.lit(1)).alias("suspicious_ips"))
+    out = req.unionByName(ips).unionByName(sus).agg(
+        *[F.sum(c).alias(c) for c in ("total_requests", "total_ips", "suspicious_ips", "suspicious_requests")])
     pct = F.coalesce(F.try_divide(F.col("suspicious_requests").cast("double"),
                                   F.col("total_requests").cast("double")) * 100, F.lit(0.0))
     return out.select("total_requests", "total_ips", "suspicious_ips", "suspicious_requests",

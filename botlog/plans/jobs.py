@@ -113,15 +113,19 @@ class SupervisedResult:
 
     @property
     def test_metrics(self) -> DataFrame:
-        """One row: n_train, n_test, precision, recall, f1, auc (test set)."""
-        ev = self.test_evaluation
-        auc = evaluate.roc_auc_value(ev)
-        sizes = self.split.agg(F.count_if(F.col("is_test") == 0).alias("n_train"),
-                               F.count_if(F.col("is_test") == 1).alias("n_test"))
-        k = F.lit(1)
-        prf = evaluate.precision_recall_f1(ev)
-        return (sizes.withColumn("_k", k).join(prf.withColumn("_k", k), "_k")
-                .withColumn("auc", F.lit(auc).cast("double")).drop("_k"))
+        """One row: n_train, n_test, precision, recall, f1, auc (test set),
+        from a single aggregate over the predicted split."""
+        auc = evaluate.roc_auc_value(self.test_evaluation)
+        label = self.fit.label
+        pred = self.fit.predict(self.split)
+        test, y, p = F.col("is_test") == 1, F.col(label), F.col("predicted_bot")
+        counts = pred.agg(F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"),
+                          F.count_if(test & (y == 1) & (p == 1)).alias("tp"),
+                          F.count_if(test & (y == 0) & (p == 1)).alias("fp"),
+                          F.count_if(test & (y == 1) & (p == 0)).alias("fn"))
+        prec, rec, f1 = evaluate.precision_recall_f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))
+        return counts.select("n_train", "n_test", prec.alias("precision"), rec.alias("recall"), f1.alias("f1"),
+                             F.lit(auc).cast("double").alias("auc"))
 
     @property
     def test_report(self) -> DataFrame:
