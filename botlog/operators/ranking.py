@@ -74,12 +74,17 @@ def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, objec
         cuts = sorted({float(c) for c in g.approxQuantile(value, probs, rel_error) if c is not None
                        and not math.isnan(c)})
     splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    if len(splits) > 2:
-        g = g.withColumn("_v", F.col(value).cast("double"))
-        g = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(g)
-        g = g.withColumn("_b", F.col("_b").cast("int")).drop("_v")
-    else:
-        g = g.withColumn("_b", F.lit(0))
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    if len(splits) == 2:
+        # one bucket (at most rows_per_bucket distinct values): a plain
+        # running sum per group, no offsets to add
+        within = ((Window.partitionBy(*by) if by else Window).orderBy(order)
+                  .rowsBetween(Window.unboundedPreceding, 0))
+        pc = g.select(*by, value, *names, *[F.sum(n).over(within).alias(f"cum_{n}") for n in names])
+        return pc, grand
+    g = g.withColumn("_v", F.col(value).cast("double"))
+    g = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(g)
+    g = g.withColumn("_b", F.col("_b").cast("int")).drop("_v")
     if descending:
         g = g.withColumn("_b", -F.col("_b"))
     totals = g.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
@@ -87,7 +92,6 @@ def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, objec
     before = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
                                          for n in names])
-    order = F.col(value).desc() if descending else F.col(value).asc()
     within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*", *[F.sum(n).over(within).alias(f"_w_{n}") for n in names])
     j = g.join(F.broadcast(offsets), [*by, "_b"])
