@@ -56,12 +56,14 @@ def raw_field_array(value: Column) -> Column:
     return F.when(F.instr(value, _SEP) == 0, fast).otherwise(slow)
 
 
-def matched_field_array(value: Column) -> Column:
-    """Zero- or one-element array holding the nine groups of a matching line.
-
-    Exploding it filters and extracts in one expression, so Catalyst cannot
-    push a second copy of the regex into a separate Filter."""
-    return F.filter(F.array(raw_field_array(value)), lambda a: F.size(a) == len(RAW_FIELDS))
+def field_array_rows(value: Column) -> Column:
+    """Generator input: a one-element array holding :func:`raw_field_array`.
+
+    Exploding it and then keeping arrays of nine fields filters and extracts
+    with a single regex evaluation: the size filter references the generated
+    column, so Catalyst cannot push a second copy of the regex below the
+    generator (it would if the fields were a plain projection)."""
+    return F.array(raw_field_array(value))
 
 
 def parse_timestamp(text: Column) -> Column:

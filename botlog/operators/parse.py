@@ -15,7 +15,8 @@ def parse_raw_fields(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """Matching lines -> the nine captured groups as strings; other lines
     are dropped (count them with :func:`rejected_lines`)."""
     v = F.col(value_col)
-    fields = lines.select(F.explode(lf.matched_field_array(v)).alias("_f"))
+    fields = (lines.select(F.explode(lf.field_array_rows(v)).alias("_f"))
+              .filter(F.size(F.col("_f")) == len(lf.RAW_FIELDS)))
     return fields.select(*[F.col("_f")[i].alias(name) for i, name in enumerate(lf.RAW_FIELDS)])
 
 
