@@ -39,3 +39,31 @@ def test_prefix_window_partitioned_by_bucket(spark):
     p = _plan(st)
     assert "Window" in p
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def _ip_only_exchange_children(plan: str):
+    """For every exchange hash-partitioned on the address alone, the first
+    real operator below it."""
+    import re
+    lines = plan.splitlines()
+    skip = ("Project", "Filter", "InputAdapter", "WholeStageCodegen", "AQEShuffleRead", "ShuffleQueryStage",
+            "ColumnarToRow")
+    out = []
+    for i, line in enumerate(lines):
+        if re.search(r"Exchange hashpartitioning\(ip#\d+, \d+\)", line):
+            for nxt in lines[i + 1:]:
+                op = nxt.strip().lstrip(":+- *").lstrip("(0123456789) ")
+                if not op.startswith(skip):
+                    out.append(op.split("(")[0].split(" ")[0])
+                    break
+    return out
+
+
+def test_no_raw_rows_shuffled_by_address_alone(spark):
+    """Skew safety of the feature plan: a hot address reaches an ip-keyed
+    exchange only as partially aggregated rows."""
+    df = features.ip_features_v2(catalog.requests_n(spark, SF_SMALL))
+    df.collect()
+    kids = _ip_only_exchange_children(_plan(df))
+    assert kids, "expected ip-keyed exchanges"
+    assert all(k in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") for k in kids), kids
