@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from botlog import sources
 from botlog.functions import logformat as lf
-from botlog.operators import parse, reports
-from botlog.session import ensure_utc
+from botlog.operators import evaluate, features, forest, marts, parse, reports, scaling
+from botlog.operators.ranking import exact_percentiles
+from botlog.plans import jobs
+from botlog.session import ensure_utc, scratch_path
 from botlog.sources import access_log_lines
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -133,8 +136,6 @@ def _suspicious_ua_sample(spark, sf):
 
 # --- row-level traits ---------------------------------------------------------
 
-from botlog.operators import features  # noqa: E402
-
 
 @query("minute_bucket")
 def _minute_bucket(spark, sf):
@@ -211,15 +212,12 @@ def _ip_features_v2(spark, sf):
 # error_rate_4xx, 6), with is_anomaly = score below the rounded 5 % cut.
 # The model-backed keys further down use the isolation forest.
 
-from botlog.operators import evaluate, marts, scaling  # noqa: E402
-from botlog.operators.ranking import exact_percentiles  # noqa: E402
 
 DRILLDOWN_IP = "10.0.0.10"
 LEVELS = (0.01, 0.02, 0.05, 0.10)
 
 
 def deterministic_scores(spark, sf, contamination: float = 0.05) -> DataFrame:
-    from botlog.plans import jobs
     f = jobs.feature_table(requests(spark, sf))  # checkpointed: read by the cut and the query
     det = f.withColumn("anomaly_score", F.round(
         F.lit(0.5) - F.lit(0.1) * F.col("max_requests_per_minute") - F.col("error_rate_4xx"), 6))
@@ -385,9 +383,6 @@ def _best_contamination(spark, sf):
 
 # --- sources and sinks ------------------------------------------------------------
 
-from botlog import sources  # noqa: E402
-from botlog.session import scratch_path  # noqa: E402
-
 
 @query("scan_raw_log")
 def _scan_raw_log(spark, sf):
@@ -416,9 +411,6 @@ def _scan_parsed_log(spark, sf):
 
 # --- models (rows-only checks; properties are covered by tests) --------------------
 
-from botlog.operators import forest, iforest  # noqa: E402
-from botlog.plans import jobs  # noqa: E402
-
 
 def _features(spark, sf):
     return jobs.feature_table(requests(spark, sf))
