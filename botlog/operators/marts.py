@@ -1,6 +1,6 @@
 """Investigation marts over the request table and a score table.
 
-The score table has one row per address with at least ``ip``,
+The score table has exactly one row per address with at least ``ip``,
 ``total_requests``, ``anomaly_score`` (lower = more anomalous) and
 ``is_anomaly``. The suspicious set is the score table after the global
 filters (minimum requests, score threshold, optional anomaly flag).
@@ -37,7 +37,11 @@ def drilldown_candidates(suspicious: DataFrame, n: int = DRILLDOWN_CANDIDATES) -
 
 
 def _flagged(sus: DataFrame) -> DataFrame:
-    return sus.select("ip").distinct().withColumn("_sus", F.lit(True))
+    # The suspicious set is a filtered score table: one row per address. No
+    # dedup aggregate here, so the join's inputs are plain shuffles and
+    # adaptive execution can split a hot address's partition on the request
+    # side.
+    return sus.select("ip", F.lit(True).alias("_sus"))
 
 
 def suspicious_requests(requests: DataFrame, suspicious: DataFrame) -> DataFrame:
