@@ -401,6 +401,15 @@ def _sink_parsed_log(spark, sf):
     return finish(sources.read_parsed_log(spark, path))
 
 
+@query("sink_parsed_log_csv")
+def _sink_parsed_log_csv(spark, sf):
+    """Request table through the CSV exchange format and back: missing-value
+    tokens become null on the way, as in the reference's script chain."""
+    path = scratch_path(spark, "parsed-csv")
+    sources.write_parsed_log_csv(requests(spark, sf), path)
+    return finish(sources.read_parsed_log_csv(spark, path))
+
+
 @query("scan_parsed_log")
 def _scan_parsed_log(spark, sf):
     """Typed scan of a stored request table, as features and marts read it."""

@@ -8,6 +8,7 @@ from botlog.sources.files import (
     read_parsed_log_csv,
     read_scores,
     write_parsed_log,
+    write_parsed_log_csv,
     write_scores,
 )
 
@@ -20,5 +21,6 @@ __all__ = [
     "read_parsed_log_csv",
     "read_scores",
     "write_parsed_log",
+    "write_parsed_log_csv",
     "write_scores",
 ]

@@ -58,6 +58,20 @@ def read_parsed_log(spark: SparkSession, path: str, start_date=None, end_date=No
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REQUEST_SCHEMA.fields])
 
 
+def write_parsed_log_csv(requests: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Request table as a CSV with a header in the layout the reference's
+    scripts exchange: time stamps as local wall clock with the original
+    offset (``2025-11-25 06:31:10+11:00``), quotes doubled, nulls empty."""
+    off = F.col("tz_offset")
+    colon = F.concat(F.substring(off, 1, 3), F.lit(":"), F.substring(off, 4, 2))
+    local = F.date_format(F.from_utc_timestamp(F.col("timestamp"), colon), "yyyy-MM-dd HH:mm:ss")
+    ts_text = F.when(off.isNotNull(), F.concat(local, colon)).otherwise(
+        F.date_format(F.col("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    out = requests.select("ip", ts_text.alias("timestamp"), "method", "path", "protocol", "status",
+                          "bytes_sent", "referrer", "user_agent")
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
 def read_parsed_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """A parsed log written as CSV with a header by pandas: explicit schema,
     doubled-quote escaping, ISO time stamps with offset, and the CSV

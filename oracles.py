@@ -175,6 +175,8 @@ oracle("coerce_bytes", "SELECT size_txt AS size_text, bytes_sent FROM req")
 oracle("null_tokens", "SELECT ip, method, path, protocol, referrer, user_agent FROM reqn")
 oracle("scan_parsed_log", """
 SELECT ip, "timestamp", method, path, protocol, status, bytes_sent, referrer, user_agent, tz_offset FROM reqn""")
+oracle("sink_parsed_log_csv", """
+SELECT ip, "timestamp", method, path, protocol, status, bytes_sent, referrer, user_agent, tz_offset FROM reqn""")
 oracle("sink_parsed_log", """
 SELECT ip, "timestamp", method, path, protocol, status, bytes_sent, referrer, user_agent, tz_offset FROM req""")
 

@@ -70,3 +70,19 @@ def test_drilldown_filter_and_columns_reach_the_scan(spark, tmp_path):
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
     assert "ReadSchema: struct<ip:string,path:string>" in scan
     assert [(r.path, r["count"]) for r in df.collect()] == [("/x", 1)]
+
+
+def test_csv_exchange_round_trip(spark, tmp_path):
+    from botlog.operators import parse
+    from botlog.sources import write_parsed_log_csv
+    lines = ['1.1.1.1 - - [25/Nov/2025:06:31:10 -0030] "GET /a HTTP/1.1" 200 12 "-" "M \\"q"',
+             '2.2.2.2 - - [25/Nov/2025:06:31:10 +0545] "GET /NA HTTP/1.1" 404 - "-" "null"']
+    req = parse.parse_log_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    out = str(tmp_path / "csv")
+    write_parsed_log_csv(req, out)
+    back = {r.ip: r for r in read_parsed_log_csv(spark, out).collect()}
+    orig = {r.ip: r for r in req.collect()}
+    assert back["1.1.1.1"].timestamp == orig["1.1.1.1"].timestamp
+    assert back["1.1.1.1"].tz_offset == "-0030" and back["2.2.2.2"].tz_offset == "+0545"
+    assert back["1.1.1.1"].user_agent == orig["1.1.1.1"].user_agent == "M \\"
+    assert back["2.2.2.2"].user_agent is None and back["2.2.2.2"].path == "/NA"
