@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botlog.functions import logformat as lf
 from botlog.functions import traits
 
 ERROR_STATUSES = (401, 403, 404)
@@ -46,3 +47,13 @@ def suspicious_ua_sample(requests: DataFrame, n: int = 10) -> DataFrame:
             .groupBy("user_agent").agg(F.min("timestamp").alias("first_seen"))
             .orderBy(F.col("first_seen").asc_nulls_last(), F.col("user_agent"))
             .limit(n))
+
+
+def parse_summary(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """One row: parsed_records, rejected_lines, suspicious_ua_requests, from
+    a single pass over the raw lines (one regex evaluation per line)."""
+    fields = lines.select(lf.raw_field_array(F.col(value_col)).alias("_f"))
+    ok = F.coalesce(F.size(F.col("_f")) == len(lf.RAW_FIELDS), F.lit(False))
+    ua = F.col("_f")[len(lf.RAW_FIELDS) - 1]
+    return fields.agg(F.count_if(ok).alias("parsed_records"), F.count_if(~ok).alias("rejected_lines"),
+                      F.count_if(ok & (traits.ua_bot_flag(ua) == 1)).alias("suspicious_ua_requests"))

@@ -129,6 +129,11 @@ def _suspicious_ua_requests(spark, sf):
     return finish(reports.suspicious_ua_requests(requests(spark, sf)))
 
 
+@query("parse_summary")
+def _parse_summary(spark, sf):
+    return reports.parse_summary(lines(spark, sf))
+
+
 @query("suspicious_ua_sample")
 def _suspicious_ua_sample(spark, sf):
     return finish(reports.suspicious_ua_sample(requests(spark, sf)))

@@ -190,6 +190,10 @@ GROUP BY ip ORDER BY count DESC, ip LIMIT 10""")
 oracle("suspicious_ua_requests", f"""
 SELECT ip, "timestamp", method, path, protocol, status, bytes_sent, referrer, user_agent, tz_offset
 FROM req WHERE {UA_FLAG} = 1""")
+oracle("parse_summary", f"""
+SELECT (SELECT COUNT(*) FROM req) AS parsed_records,
+  (SELECT COUNT(*) FROM loglines WHERE NOT regexp_matches(value, '{_PAT}')) AS rejected_lines,
+  (SELECT COUNT(*) FROM req WHERE {UA_FLAG} = 1) AS suspicious_ua_requests""")
 oracle("suspicious_ua_sample", f"""
 SELECT user_agent, MIN("timestamp") AS first_seen FROM req WHERE {UA_FLAG} = 1
 GROUP BY user_agent ORDER BY first_seen NULLS LAST, user_agent LIMIT 10""")
