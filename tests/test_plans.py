@@ -48,6 +48,17 @@ def test_prefix_window_partitioned_by_bucket(spark):
     p = _plan(st)
     assert "Window" in p
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    # every single-partition exchange carries aggregated rows only: the bucket
+    # totals (one row per bucket) or a global partial aggregate
+    lines = p.splitlines()
+    assert any("Exchange SinglePartition" in x for x in lines)
+    skip = ("Project", "Filter", "InputAdapter", "WholeStageCodegen", "AQEShuffleRead", "ShuffleQueryStage")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = next(x.strip().lstrip(":+- *").lstrip("(0123456789) ") for x in lines[i + 1:]
+                         if not x.strip().lstrip(":+- *").lstrip("(0123456789) ").startswith(skip))
+            assert child.startswith("HashAggregate"), child
+            assert "keys=[_b" in child or "keys=[]" in child, child
 
 
 def _ip_only_exchange_children(plan: str):
