@@ -14,9 +14,9 @@ from partial aggregates whose keys include more than the address:
   minutes, max) and inter-arrival intervals. Each (ip, minute) group keeps
   its distinct seconds as a 60-bit mask (a fixed-width hash-aggregate
   buffer), so within-minute gaps are computed locally; the gaps between
-  minutes come from a ``lag`` over the
-  per-minute rows of an address, which holds at most one row per minute of
-  the log's time span whatever the request volume. Mean and sample standard
+  minutes come from a ``lag`` over the per-minute rows of an address, which
+  holds at most one row per minute of the log's time span whatever the
+  request volume. Mean and sample standard
   deviation of the intervals then follow from exact integer sums:
   n - 1 intervals, sum d = last - first, sum d^2 from the gaps (ties give
   zero-length intervals).
