@@ -20,6 +20,7 @@ from botlog.operators import evaluate, features, forest, marts, parse, reports,
 from botlog.operators.ranking import exact_percentiles
 from botlog.plans import jobs
 from botlog.session import ensure_utc, scratch_path
+from botlog.streaming import start_traffic_stream
 from botlog.sources import access_log_lines
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +495,20 @@ def _scan_scores(spark, sf):
     return sources.read_scores(spark, path, fmt="csv")
 
 
+@query("traffic_over_time_stream")
+def _traffic_over_time_stream(spark, sf):
+    """The streaming job over the derived log landed as text files: one
+    incremental run (all available files, then the watermark-advancing
+    batch) with a 30-minute watermark. Emitted are the 10-minute bins whose
+    end is at or below the watermark (latest event time - 30 minutes)."""
+    src = scratch_path(spark, "stream-src")
+    lines(spark, sf).write.text(src)
+    sink = scratch_path(spark, "stream-sink")
+    q = start_traffic_stream(spark, src, sink, scratch_path(spark, "stream-ckpt"), watermark="30 minutes")
+    q.awaitTermination()
+    return finish(spark.read.parquet(sink).select("time_bin", "requests"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Access log -> requests -> per-IP features -> isolation forest (best
     contamination by F1 against the user-agent flag) -> the 20 most

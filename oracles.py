@@ -341,3 +341,9 @@ _SW_SEL = (f"contamination, {_r('precision')} AS precision, {_r('recall')} AS re
            f"{_r('auc')} AS auc")
 oracle("contamination_sweep", _SWEEP + f" SELECT {_SW_SEL} FROM sweep")
 oracle("best_contamination", _SWEEP + f" SELECT {_SW_SEL} FROM sweep ORDER BY f1 DESC, contamination LIMIT 1")
+
+# --- streaming form of the traffic bins -----------------------------------------
+oracle("traffic_over_time_stream", """
+, mx AS (SELECT MAX(ts) AS m FROM req),
+sb AS (SELECT ts - ts % 600 AS b, COUNT(*) AS requests FROM req WHERE ts IS NOT NULL GROUP BY 1)
+SELECT MAKE_TIMESTAMP(b * 1000000) AS time_bin, requests FROM sb, mx WHERE b + 600 <= m - 1800""")
