@@ -26,20 +26,21 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 1_000_000
 
 
-def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int) -> int:
+def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int | None) -> int:
     if n_buckets:
         return max(1, n_buckets)
-    return max(1, min(100_000, math.ceil(n_distinct / rows_per_bucket)))
+    per = rows_per_bucket or ROWS_PER_BUCKET
+    return max(1, min(100_000, math.ceil(n_distinct / per)))
 
 
 def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                  n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                  n_buckets: int | None = None, rows_per_bucket: int | None = None,
                   rel_error: float = 0.001, by=()) -> DataFrame:
     return prefix_counts_with_totals(df, value, counts, descending, n_buckets, rows_per_bucket, rel_error, by)[0]
 
 
 def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                              n_buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
+                              n_buckets: int | None = None, rows_per_bucket: int | None = None,
                               rel_error: float = 0.001, by=()) -> tuple[DataFrame, dict]:
     """One row per distinct (``by``..., ``value``) with its summed ``counts``
     (name -> column expression) and ``cum_<name>``: the running total over
