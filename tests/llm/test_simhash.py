@@ -1,0 +1,129 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from botlog.llm import simhash as S
+
+
+def plain(text, k):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", words)]
+    if not words:
+        return 0
+    sh = [" ".join(words[i:i + k]) for i in range(len(words) - k + 1)] or [" ".join(words)]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
+def brute(rows, d):
+    fps = [plain(t, 4) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= d:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i][0])
+    least = {r: min((x for x in ids if x is not None), default=None) for r, ids in groups.items()}
+    return sorted(((rows[i][0], f"{fps[i]:016x}", least[find(i)]) for i in range(len(rows))), key=str)
+
+
+def run(df):
+    g = S.simhash_groups(df)
+    return sorted([(r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in g.collect()], key=str)
+
+
+def test_small_cases(docs_of):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("ab cd Ef gh ij Kl mn op".split()) + str(rng.randrange(90)) for _ in range(300)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for j in range(60):
+        w = base[j % 6].split()
+        w[rng.randrange(len(w))] = "x%d" % j
+        rows.append((100 + j, " ".join(w)))
+    rows += [(200, None), (201, ""), (202, " \t\n "), (203, "One two"), (204, "one  TWO"), (None, base[0]), (None, "zq yy"),
+             (205, base[1]), (205, base[1]), (206, "É ü one\x0btwo\x1cthree four five " * 4000)]
+    assert run(docs_of(rows, extra=True)) == brute(rows, 4)
+    kept = S.drop_near_duplicates(docs_of(rows))
+    want = {c for _, _, c in brute(rows, 4)}
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(want, key=str)
+
+
+def test_repeated_ids_and_empty(docs_of):
+    a, b = "p q r s t u v w x y z", "k l m n o aa bb cc dd ee"
+    out = S.drop_near_duplicates(docs_of([(1, a), (1, a), (1, b), (2, b)])).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, b), (1, a)] or sorted((r.doc_id, r.text) for r in out) == sorted([(1, a), (1, b)])
+    empty = docs_of([(1, a)]).limit(0)
+    assert S.simhash_groups(empty).count() == 0 and S.drop_near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [8192, 40])
+def test_hot_blocks_cut_into_chunks(spark, chunk):
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 2**63))
+    fps = {centre}
+    while len(fps) < 400:  # dense near copies of one fingerprint
+        x = centre
+        for b in rng.choice(64, rng.integers(1, 5), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps |= {int(x) for x in rng.integers(0, 2**63, 300)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    edges = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in S.fingerprint_links(df, 4, chunk).collect()]
+    assert all((u ^ v).bit_count() <= 4 for u, v in edges)
+
+    def parts(pairs):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for u, v in pairs:
+            parent[find(u)] = find(v)
+        out = {}
+        for f in fps:
+            out.setdefault(find(f), set()).add(f)
+        return sorted(map(sorted, out.values()))
+    full = [(u, v) for i, u in enumerate(fps) for v in fps[:i] if (u ^ v).bit_count() <= 4]
+    assert parts(edges) == parts(full)
+    assert len(edges) < len(full)
+
+
+def test_components(spark):
+    from botlog.llm.graph import components
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    adj = {}
+    for u, v in edges:
+        if u != v:
+            adj.setdefault(u, set()).add(v)
+            adj.setdefault(v, set()).add(u)
+    want = {}
+    for s in sorted(adj):
+        todo = [s] if s not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = s
+                todo += adj[x]
+    assert got == want
+
+
+def test_query_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = S.op10_simhash_near_dedup(spark, sf).collect()
+    assert sorted([(r.doc_id, r.fingerprint, r.component_id) for r in got], key=str) == brute(rows, 4)
+    assert len({r.component_id for r in got}) < len(rows)
