@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from botlog.llm import bpe, common, simhash  # noqa: F401  importing a module registers its query
+from botlog.llm import bpe, common, simhash, tiling, toxicity  # noqa: F401  importing a module registers its query
 
 
 def all_queries():
