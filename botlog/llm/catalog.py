@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from botlog.llm import bpe, common, secrets, simhash, tiling, toxicity  # noqa: F401  importing a module registers its query
+from botlog.llm import bpe, common, licenses, secrets, simhash, tiling, toxicity, vectors  # noqa: F401  importing a module registers its query
 
 
 def all_queries():
@@ -10,4 +10,4 @@ def all_queries():
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op7_secret_scan": secrets.SQL}
+    return {"op6_license_scan": licenses.SQL, "op7_secret_scan": secrets.SQL}
