@@ -160,11 +160,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_kind(k: int) -> str:
     p = PATTERNS[k].replace("'", "''")
-    ok = {0: f"list_transform(regexp_extract_all(t, '{p}', 2), x -> length(x) >= 6)",
-          5: "list_transform(m, x -> regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))",
-          }.get(k, "list_transform(m, x -> true)")
-    return f"""SELECT r, {k} AS kind, unnest(range(len(m))) AS place, unnest(list_transform(m, x -> length(x))) AS size,
-      unnest(list_transform(string_split_regex(t, '{p}')[1:len(m)], x -> length(x))) AS gap, unnest({ok}) AS ok
+    ok = {0: f"list_transform(regexp_extract_all(t, '{p}', 2), lambda x: length(x) >= 6)",
+          5: "list_transform(m, lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))",
+          }.get(k, "list_transform(m, lambda x: true)")
+    return f"""SELECT r, {k} AS kind, unnest(range(len(m))) AS place, unnest(list_transform(m, lambda x: length(x))) AS size,
+      unnest(list_transform(string_split_regex(t, '{p}')[1:len(m)], lambda x: length(x))) AS gap, unnest({ok}) AS ok
     FROM (SELECT r, t, regexp_extract_all(t, '{p}', 0) AS m FROM d) WHERE len(m) > 0"""
 
 
