@@ -22,6 +22,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -38,7 +39,7 @@ from botlog.llm import common
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[LETTERS]+| ?[NUMBERS]+| ?[^SPACESLETTERSNUMBERS]+|[SPACES]+(?![^SPACES])|[SPACES]+"""
 SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces whose ids one worker remembers; beyond it, it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _NO_PARENT = 1 << 60
 #: A single space between two characters that are not white space always starts a new word.
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
@@ -186,9 +187,10 @@ class PrefixBpe:
         else:
             raw = b"".join(self.added[x].to_bytes(4, "little") if k % 2 else self._plain(x)
                            for k, x in enumerate(self._added.split(text)))
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        return np.frombuffer(raw, "<u4")
+        for known in (self.pieces, self.pieces.words):
+            if len(known) > REMEMBERED:
+                known.clear()
+        return np.frombuffer(raw, np.uint32).astype("<u4", copy=False)
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -198,16 +200,27 @@ class PrefixBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-class _Pieces(dict):
-    """Packed ids by piece of text; a piece is encoded when first seen."""
+class _Words(dict):
+    """Packed ids by word of the split; a word is encoded when first seen."""
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
         self.bpe = bpe
 
+    def __missing__(self, word: str) -> bytes:
+        raw = self[word] = array("I", self.bpe.word_ids(word.encode())).tobytes()
+        return raw
+
+
+class _Pieces(dict):
+    """Packed ids by piece of text between single spaces."""
+
+    def __init__(self, bpe: PrefixBpe):
+        super().__init__()
+        self.split, self.words = bpe._split.findall, _Words(bpe)
+
     def __missing__(self, piece: str) -> bytes:
-        ids = [i for w in self.bpe._split.findall(piece) for i in self.bpe.word_ids(w.encode())]
-        raw = self[piece] = np.array(ids, "<u4").tobytes()
+        raw = self[piece] = b"".join(map(self.words.__getitem__, self.split(piece)))
         return raw
 
 
