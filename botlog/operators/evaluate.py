@@ -3,7 +3,8 @@
 Every operator takes a DataFrame with ``y_true`` (0/1), ``y_pred`` (0/1)
 and ``score`` (higher = more likely positive) so it applies to any model.
 Counts are single grouped aggregates; ROC quantities use the bucketed
-prefix sums of :mod:`botlog.operators.ranking` (exact, no global window).
+prefix sums of :mod:`botlog.operators.ranking` (exact; the only
+unpartitioned window there runs over one total per bucket).
 """
 
 from __future__ import annotations
@@ -69,13 +70,6 @@ def precision_recall_f1_from_counts(tp, fp, fn):
     return _prf(tp, fp, fn)
 
 
-def precision_recall_f1(ev: DataFrame) -> DataFrame:
-    cm = confusion_matrix(ev)
-    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    p, r, f = _prf(tp, fp, fn)
-    return cm.select(p.alias("precision"), r.alias("recall"), f.alias("f1"))
-
-
 def _score_table(ev: DataFrame, n_buckets=None) -> DataFrame:
     return _score_table_with_totals(ev, n_buckets)[0]
 

@@ -1,101 +1,75 @@
-"""Global order statistics without a single-partition window.
+"""Global order statistics without a single-task pass over the rows.
 
 ``Window.orderBy`` with no partition pulls every row into one task, and the
 exact ``percentile`` aggregate keeps every distinct value in one buffer.
-Both are avoided here:
+Both are avoided here, in the same way at every size:
 
 1. collapse to one row per distinct value (partial aggregation),
-2. cut the value range into ``n_buckets`` ranges at approximate quantiles
-   of the distinct values (a bounded array of cut points on the driver),
+2. range-partition these rows by value and store them; the partition number
+   is the bucket, so buckets are balanced by Spark's range sampling,
 3. prefix sums inside each bucket (a window partitioned by bucket),
-4. add the running total of the preceding buckets, computed on the bucket
-   totals table (at most ``n_buckets`` rows, broadcast back).
+4. add the running total of the preceding buckets, a window over the bucket
+   totals: one row per bucket and group.
 
-The result is exact; the quantiles only balance the buckets.
+The result is exact; the sampling only balances the buckets. Distinct values
+are never tied across buckets, so no bucket outgrows its range.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-ROWS_PER_BUCKET = 1_000_000
-
-
-def _n_buckets(n_distinct: int, n_buckets: int | None, rows_per_bucket: int | None) -> int:
-    if n_buckets:
-        return max(1, n_buckets)
-    per = rows_per_bucket or ROWS_PER_BUCKET
-    return max(1, min(100_000, math.ceil(n_distinct / per)))
+from botlog.session import checkpoint_root
 
 
 def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                  n_buckets: int | None = None, rows_per_bucket: int | None = None,
-                  rel_error: float = 0.001, by=()) -> DataFrame:
-    return prefix_counts_with_totals(df, value, counts, descending, n_buckets, rows_per_bucket, rel_error, by)[0]
+                  n_buckets: int | None = None, by=()) -> DataFrame:
+    return prefix_counts_with_totals(df, value, counts, descending, n_buckets, by)[0]
 
 
 def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                              n_buckets: int | None = None, rows_per_bucket: int | None = None,
-                              rel_error: float = 0.001, by=()) -> tuple[DataFrame, dict]:
+                              n_buckets: int | None = None, by=()) -> tuple[DataFrame, dict]:
     """One row per distinct (``by``..., ``value``) with its summed ``counts``
     (name -> column expression) and ``cum_<name>``: the running total over
     the rows of the same ``by`` group whose value comes before or equals this
     one in the chosen order.
 
     Returns the prefix table and the grand totals (``_distinct`` and each
-    count; with ``by``, also ``_groups``: group key tuple -> totals).
+    count; with ``by``, also ``_groups``: group key tuple -> totals, so ``by``
+    is meant for a few classes).
 
-    The distinct-value table is checkpointed (it is read for its size, the
-    cut points and the prefix pass). Without an explicit ``n_buckets`` the
-    number of buckets is its measured row count / ``rows_per_bucket``, so a
-    small table takes one bucket and a large one is spread over many."""
+    ``n_buckets`` fixes the number of range partitions; by default it is
+    ``spark.sql.shuffle.partitions``."""
     names = list(counts)
     by = list(by)
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        *[F.sum(expr).alias(n) for n, expr in counts.items()])
-    g = g.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    nb = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
+         .agg(*[F.sum(expr).alias(n) for n, expr in counts.items()])
+         .repartitionByRange(nb, value).withColumn("_b", F.spark_partition_id()).checkpoint(eager=True))
     sums = [F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names]]
     if by:
-        rows = g.groupBy(*by).agg(*sums).collect()  # one row per group
+        rows = g.groupBy(*by).agg(*sums).collect()  # one row per class
         groups = {tuple(r[b] for b in by): {k: (r[k] or 0) for k in ["_distinct", *names]} for r in rows}
         grand = {k: sum(t[k] for t in groups.values()) for k in ["_distinct", *names]}
         grand["_groups"] = groups
     else:
         tot = g.agg(*sums).first().asDict()
         grand = {k: (v or 0) for k, v in tot.items()}
-    nb = _n_buckets(grand["_distinct"], n_buckets, rows_per_bucket)
-    cuts: list[float] = []
-    if nb > 1:
-        probs = [i / nb for i in range(1, nb)]
-        cuts = sorted({float(c) for c in g.approxQuantile(value, probs, rel_error) if c is not None
-                       and not math.isnan(c)})
-    splits = [-math.inf] + [c for c in cuts if math.isfinite(c)] + [math.inf]
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    if len(splits) == 2:
-        # one bucket (at most rows_per_bucket distinct values): a plain
-        # running sum per group, no offsets to add
-        within = ((Window.partitionBy(*by) if by else Window).orderBy(order)
-                  .rowsBetween(Window.unboundedPreceding, 0))
-        pc = g.select(*by, value, *names, *[F.sum(n).over(within).alias(f"cum_{n}") for n in names])
-        return pc, grand
-    g = g.withColumn("_v", F.col(value).cast("double"))
-    g = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(g)
-    g = g.withColumn("_b", F.col("_b").cast("int")).drop("_v")
     if descending:
         g = g.withColumn("_b", -F.col("_b"))
+    order = F.col(value).desc() if descending else F.col(value).asc()
     totals = g.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    # the bucket-totals table has at most `nb` rows per group
     before = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
                                          for n in names])
     within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*", *[F.sum(n).over(within).alias(f"_w_{n}") for n in names])
-    j = g.join(F.broadcast(offsets), [*by, "_b"])
+    j = g.join(offsets, [*by, "_b"])
     pc = j.select(*by, value, *names,
                   *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
     return pc, grand

@@ -1,5 +1,7 @@
 """Plan-shape checks: no row-at-a-time Python, Python only in the model
 operators, no whole-table single-partition window."""
+from pyspark.sql import functions as F
+
 from botlog.operators import evaluate, features, marts
 from botlog.plans import catalog
 from conftest import SF_SMALL
@@ -87,3 +89,38 @@ def test_no_raw_rows_shuffled_by_address_alone(spark):
     kids = _ip_only_exchange_children(_plan(df))
     assert kids, "expected ip-keyed exchanges"
     assert all(k in ("HashAggregate", "ObjectHashAggregate", "SortAggregate") for k in kids), kids
+
+
+def _single_partition_children(plan: str):
+    lines = plan.splitlines()
+    skip = ("Project", "Filter", "InputAdapter", "WholeStageCodegen", "AQEShuffleRead", "ShuffleQueryStage")
+    bare = lambda x: x.strip().lstrip(":+- *").lstrip("(0123456789) ")
+    return [next(bare(x) for x in lines[i + 1:] if not bare(x).startswith(skip))
+            for i, line in enumerate(lines) if "Exchange SinglePartition" in line]
+
+
+def test_ranking_queries_as_registered_have_no_single_task_pass(spark):
+    """Without forced buckets, only totals meet in one partition."""
+    for key in ("roc_auc", "roc_curve", "contamination_sweep"):
+        df = catalog.all_queries()[key](spark, SF_SMALL)
+        df.collect()
+        for child in _single_partition_children(_plan(df)):
+            assert child.startswith("HashAggregate") and ("keys=[_b" in child or "keys=[]" in child), (key, child)
+
+
+def test_buckets_stay_balanced_with_ties_and_skew(spark):
+    """Half of all rows share one value; distinct values spread over the buckets."""
+    from botlog.operators.ranking import prefix_counts
+    rows = spark.range(20000).selectExpr("case when id % 2 = 0 then 7.0 else cast(id as double) / 3 end as v")
+    pc = prefix_counts(rows, "v", {"c": F.lit(1).cast("long")}, n_buckets=8)
+    assert pc.agg(F.max("cum_c")).first()[0] == 20000
+    sizes = (rows.groupBy("v").count().repartitionByRange(8, "v").groupBy(F.spark_partition_id()).count()
+             .agg(F.max("count")).first()[0])
+    assert sizes < 2 * 10001 / 8
+
+
+def test_one_parse_for_features_and_marts(spark):
+    """Queries that read the requests more than once scan the stored table, not the raw lines."""
+    for key in ("ip_features_v2", "traffic_over_time", "ua_stats", "path_abuse"):
+        p = _plan(catalog.all_queries()[key](spark, SF_SMALL))
+        assert "regexp_replace" not in p and "events.parquet" not in p, key
