@@ -135,8 +135,11 @@ def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:
     if with_intervals:
         w = Window.partitionBy("ip").orderBy("minute")
         g = g.withColumn("bgap", F.col("first") - F.lag("last").over(w))
+        # Gaps of centuries fit: squares and their sum are decimals, not longs.
+        gap = F.col("bgap").cast("decimal(18,0)")
         aggs += [F.min("first").alias("t_first"), F.max("last").alias("t_last"),
-                 (F.sum("sq") + F.coalesce(F.sum(F.col("bgap") * F.col("bgap")), F.lit(0))).alias("ssq")]
+                 (F.sum(F.col("sq").cast("decimal(28,0)")) + F.coalesce(F.sum((gap * gap).cast("decimal(28,0)")), F.lit(0)))
+                 .cast("decimal(38,0)").alias("ssq")]
     stats = g.groupBy("ip").agg(*aggs)
     out = [F.col("ip"),
            (F.col("n_ts") / F.col("n_min")).alias("avg_requests_per_minute"),
@@ -145,7 +148,7 @@ def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:
         m = F.col("n_ts") - 1                      # number of intervals
         span = F.col("t_last") - F.col("t_first")  # sum of intervals
         # m * sum(d^2) - (sum d)^2 exactly in decimal, then to double
-        num = (m.cast("decimal(38,0)") * F.col("ssq").cast("decimal(38,0)")
+        num = (m.cast("decimal(38,0)") * F.col("ssq")
                - span.cast("decimal(38,0)") * span.cast("decimal(38,0)")).cast("double")
         var = num / (m.cast("double") * (m - 1).cast("double"))
         out += [F.when(m >= 1, span.cast("double") / m.cast("double")).alias("mean_interval_sec"),
@@ -168,25 +171,29 @@ def ip_interval_stats(requests: DataFrame) -> DataFrame:
 
 def ip_intervals(requests: DataFrame) -> DataFrame:
     """Per request: (ip, timestamp, prev_timestamp, interval_sec), the gap to
-    the previous request of the same address in time order.
-
-    Skew-safe form of ``lag(ts) over (partition by ip order by ts)``: the lag
-    runs over (ip, minute) partitions, and the first request of a minute takes
-    the last time stamp of the address's previous non-empty minute, found on
-    the small per-minute table."""
-    r = (requests.filter(F.col("ip").isNotNull() & F.col("timestamp").isNotNull())
-         .select("ip", "timestamp", F.unix_seconds(F.col("timestamp")).alias("ts")))
-    r = r.withColumn("minute", F.col("ts") - F.pmod(F.col("ts"), F.lit(60)))
-    inner = r.withColumn("prev_in_minute", F.lag("timestamp").over(
-        Window.partitionBy("ip", "minute").orderBy("timestamp")))
-    per_min = r.groupBy("ip", "minute").agg(F.max("timestamp").alias("last_ts"))
-    per_min = per_min.select("ip", "minute", F.lag("last_ts").over(
+    the previous request of the same address in time order, in whole seconds
+    like every other interval here (the log has no finer time).
+
+    Skew-safe form of ``lag(ts) over (partition by ip order by ts)``: requests
+    are first counted per (ip, second), so a flood is one row. The lag runs
+    over the at most 60 seconds of an (ip, minute), the first second of a
+    minute takes the last one of the address's previous non-empty minute from
+    the small per-minute table, and the counts are expanded again: all but the
+    first request of a second follow one of the same second."""
+    ts = F.unix_seconds(F.col("timestamp"))
+    per_sec = (requests.filter(F.col("ip").isNotNull() & F.col("timestamp").isNotNull())
+               .groupBy("ip", ts.alias("ts")).agg(F.count(F.lit(1)).alias("c"))
+               .withColumn("minute", F.col("ts") - F.pmod(F.col("ts"), F.lit(60))))
+    per_min = per_sec.groupBy("ip", "minute").agg(F.max("ts").alias("last"))
+    per_min = per_min.select("ip", "minute", F.lag("last").over(
         Window.partitionBy("ip").orderBy("minute")).alias("prev_minute_last"))
-    j = inner.join(per_min, ["ip", "minute"], "left")
-    prev = F.coalesce(F.col("prev_in_minute"), F.col("prev_minute_last"))
-    return j.select("ip", "timestamp", prev.alias("prev_timestamp"),
-                    ((F.unix_micros(F.col("timestamp")) - F.unix_micros(prev)) / F.lit(1e6))
-                    .alias("interval_sec"))
+    inner = per_sec.withColumn("in_minute", F.lag("ts").over(Window.partitionBy("ip", "minute").orderBy("ts")))
+    j = (inner.join(per_min, ["ip", "minute"], "left")
+         .select("ip", "ts", F.coalesce("in_minute", "prev_minute_last").alias("before"),
+                 F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k")))
+    prev = F.when(F.col("k") == 1, F.col("before")).otherwise(F.col("ts"))
+    return j.select("ip", F.timestamp_seconds("ts").alias("timestamp"), F.timestamp_seconds(prev).alias("prev_timestamp"),
+                    (F.col("ts") - prev).cast("double").alias("interval_sec"))
 
 
 # --------------------------------------------------------------------------

@@ -192,3 +192,25 @@ def test_v2_nulls_match_pandas_rules(spark, seed):
     exp = _pandas_v2(pdf).sort_index()
     for c in features.V2_FEATURES + ("ua_bot_flag",):
         np.testing.assert_allclose(got[c].astype(float), exp[c].astype(float), rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_interval_statistics_over_centuries(spark):
+    """Squares of gaps of 225 and 300 years exceed a long's range."""
+    import pandas as pd
+    from conftest import make_requests
+    stamps = ["1700-01-01 00:00:00", "2025-11-25 06:31:10", "2025-11-25 06:31:10", "2025-11-25 06:33:00", "2225-06-01 12:00:00"]
+    rows = [("10.0.0.1", t, "/", 200, "x") for t in stamps] + [("10.0.0.2", "2025-01-01 00:00:00", "/", 200, "x")]
+    got = {r.ip: r for r in features.ip_interval_stats(make_requests(spark, rows)).collect()}
+    secs = pd.Series([(pd.Timestamp(t).to_pydatetime() - pd.Timestamp("1970-01-01").to_pydatetime()).total_seconds() for t in stamps])
+    d = secs.diff().dropna()
+    assert got["10.0.0.1"].mean_interval_sec == pytest.approx(d.mean())
+    assert got["10.0.0.1"].std_interval_sec == pytest.approx(d.std())
+    assert got["10.0.0.2"].mean_interval_sec is None
+    assert features.ip_features_v2(make_requests(spark, rows)).count() == 2
+
+
+def test_a_flood_in_one_second_is_one_row_before_the_window(spark):
+    from conftest import make_requests
+    rows = [("10.0.0.1", "2025-11-25 06:31:10", "/", 200, "x")] * 500 + [("10.0.0.1", "2025-11-25 06:30:59", "/", 200, "x")]
+    got = sorted(r.interval_sec for r in features.ip_intervals(make_requests(spark, rows)).collect() if r.interval_sec is not None)
+    assert got == [0.0] * 499 + [11.0]
