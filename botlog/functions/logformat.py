@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 # ignored); referrer and user agent need at least one character.
 LOG_PATTERN = r'(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\S+) "([^"]+)" "([^"]+)"'
 RAW_FIELDS = ("ip", "datetime", "method", "path", "protocol", "status", "size", "referrer", "user_agent")
-# Apache time stamp, e.g. 25/Nov/2025:06:31:10 +1100
-TIMESTAMP_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
+# Apache time stamp, e.g. 25/Nov/2025:06:31:10 +1100; one-digit days and hours
+# and offsets written +11:00 or Z are accepted too
+TIMESTAMP_FORMAT = "d/MMM/yyyy:H:mm:ss [XXX][XX]"
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Strings a CSV round trip of the parsed log turns into missing values
 # (the default missing-value tokens of the CSV reader the reference uses).
 NULL_TOKENS = (
@@ -72,8 +74,9 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def tz_offset(text: Column) -> Column:
-    """The ``+hhmm`` offset of a parseable time stamp, else null."""
-    return F.when(parse_timestamp(text).isNotNull(), F.substring_index(text, " ", -1))
+    """The offset of a parseable time stamp as ``+hhmm``, else null."""
+    off = F.regexp_replace(F.substring_index(text, " ", -1), ":", "")
+    return F.when(parse_timestamp(text).isNotNull(), F.when(off == "Z", "+0000").otherwise(off))
 
 
 def coerce_status(text: Column) -> Column:
@@ -82,16 +85,10 @@ def coerce_status(text: Column) -> Column:
 
 
 def coerce_bytes(text: Column) -> Column:
-    """Size text -> bigint: numeric text truncated toward zero, anything
-    else (``-``, junk, overflow) -> 0.
-
-    Java's double parser also accepts a trailing type letter (``12d``); the
-    reference's parser does not, so only text ending in a digit or ``.`` is
-    considered numeric."""
-    last = F.substring(text, -1, 1)
-    numeric = ((last >= "0") & (last <= "9")) | (last == ".")
+    """Size text -> bigint: a decimal number truncated toward zero, anything
+    else (``-``, junk, hexadecimal or typed literals, overflow) -> 0."""
     as_long = text.try_cast("double").try_cast("bigint")
-    return F.coalesce(F.when(numeric, as_long), F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(text.rlike(NUMBER_PATTERN), as_long), F.lit(0).cast("bigint"))
 
 
 def null_token(col: Column) -> Column:

@@ -77,10 +77,6 @@ def ua_category(user_agent: Column) -> Column:
     )
 
 
-def epoch_seconds(ts: Column) -> Column:
-    return F.unix_seconds(ts)
-
-
 def floor_seconds(ts: Column, width: int) -> Column:
     """Instant floored to a multiple of ``width`` seconds since the epoch
     (minute = 60, 10-minute bin = 600); UTC-aligned, tz-independent."""

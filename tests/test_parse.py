@@ -77,3 +77,18 @@ def test_invalid_utf8_bytes_dropped(spark, tmp_path):
     p.write_bytes(b"ok\xff\xfeend\nline2\r\nline3\rline4\n")
     vals = [r.value for r in read_log_text(spark, str(p)).collect()]
     assert sorted(vals) == sorted(["okend", "line2", "line3", "line4"])
+
+
+def test_time_stamps_and_sizes_the_format_accepts(spark):
+    from pyspark.sql import functions as F
+    from botlog.functions import logformat as lf
+    stamps = [("25/Nov/2025:06:31:10 +1100", 1764012670, "+1100"), ("5/Nov/2025:06:31:10 +0000", 1762324270, "+0000"),
+              ("05/Nov/2025:6:31:10 +0000", 1762324270, "+0000"), ("05/Nov/2025:06:31:10 +11:00", 1762284670, "+1100"),
+              ("05/Nov/2025:06:31:10 Z", 1762324270, "+0000"), ("05/Nov/2025:06:31:10", None, None), ("junk", None, None),
+              ("32/Nov/2025:06:31:10 +0000", None, None), ("05/Nov/2025:06:31:10 +1100 x", None, None)]
+    df = spark.createDataFrame([(s,) for s, _, _ in stamps], "s string")
+    got = df.select("s", F.unix_seconds(lf.parse_timestamp(F.col("s"))).alias("t"), lf.tz_offset(F.col("s")).alias("o")).collect()
+    assert [(r.s, r.t, r.o) for r in got] == stamps
+    sizes = {"12": 12, "1e3": 1000, "3.9": 3, "-": 0, "0x1p3": 0, "12d": 0, "12f": 0, ".5": 0, "5.": 5, "1e400": 0, "NaN": 0, "+7": 7}
+    df = spark.createDataFrame([(s,) for s in sizes], "s string")
+    assert {r.s: r.b for r in df.select("s", lf.coerce_bytes(F.col("s")).alias("b")).collect()} == sizes
