@@ -50,7 +50,7 @@ def read_parsed_log(spark: SparkSession, path: str, start_date=None, end_date=No
 
     ``start_date`` / ``end_date`` (inclusive, UTC) filter the ``date``
     partition column, so only the matching directories are listed and read."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(REQUEST_SCHEMA).parquet(path)
     if start_date is not None:
         df = df.filter(F.col("date") >= F.lit(start_date).cast("date"))
     if end_date is not None:
@@ -108,10 +108,10 @@ def write_scores(scores: DataFrame, path: str, fmt: str = "parquet", mode: str =
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Score table written by :func:`write_scores`. A CSV carries no types,
+    so it needs the table's ``schema``; nothing is inferred."""
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("escape", '"')
-        if schema is not None:
-            return reader.schema(schema).csv(path)
-        return reader.option("inferSchema", True).csv(path)
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]) if schema is not None else df
+        if schema is None:
+            raise ValueError("a CSV score table needs its schema")
+        return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+    return spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
