@@ -100,9 +100,14 @@ def ip_drilldown_timeline(requests: DataFrame, ip: str,
     r = requests.filter((F.col("ip") == ip) & F.col("timestamp").isNotNull())
     b = r.select(traits.time_bin(F.col("timestamp"), width_seconds).alias("time_bin"))
     counts = b.groupBy("time_bin").agg(F.count(F.lit(1)).alias("requests"))
-    span = b.agg(F.min("time_bin").alias("lo"), F.max("time_bin").alias("hi"))
-    grid = span.filter(F.col("lo").isNotNull()).select(F.explode(F.sequence(
-        F.col("lo"), F.col("hi"), F.expr(f"INTERVAL {width_seconds} SECONDS"))).alias("time_bin"))
+    # One row per day first: a stray year makes many days, not one huge array.
+    width = F.expr(f"INTERVAL {width_seconds} SECONDS")
+    span = counts.agg(F.min("time_bin").alias("lo"), F.max("time_bin").alias("hi"))
+    days = span.filter(F.col("lo").isNotNull()).select("lo", "hi", F.explode(F.sequence(
+        F.date_trunc("day", "lo"), F.date_trunc("day", "hi"), F.expr("INTERVAL 1 DAY"))).alias("day"))
+    grid = (days.repartition("day").select("lo", "hi", F.explode(F.sequence(
+        F.col("day"), F.col("day") + F.expr("INTERVAL 1 DAY") - width, width)).alias("time_bin"))
+        .filter((F.col("time_bin") >= F.col("lo")) & (F.col("time_bin") <= F.col("hi"))).select("time_bin"))
     return (grid.join(counts, "time_bin", "left")
             .select("time_bin", F.coalesce(F.col("requests"), F.lit(0)).alias("requests")))
 
@@ -114,10 +119,14 @@ def ip_drilldown_paths(requests: DataFrame, ip: str, n: int = 10) -> DataFrame:
 
 
 def ua_stats(requests: DataFrame, suspicious: DataFrame) -> DataFrame:
-    """Per user agent (nulls dropped): total_requests (requests with a known
-    address), ua_category, requests_from_anomalous_ips."""
-    r = requests.filter(F.col("user_agent").isNotNull() & F.col("ip").isNotNull())
-    t = _counts_by(r, suspicious, "user_agent", F.col("user_agent"))
+    """Per user agent (null agents dropped): total_requests (requests with a
+    known address; 0 for an agent seen only without one), ua_category,
+    requests_from_anomalous_ips."""
+    r = requests.filter(F.col("user_agent").isNotNull())
+    per_ip = r.groupBy("ip", "user_agent").agg(F.count("ip").alias("_c"))
+    j = per_ip.join(_flagged(suspicious), "ip", "left")
+    t = j.groupBy("user_agent").agg(F.sum("_c").alias("total_requests"), F.coalesce(
+        F.sum(F.when(F.col("_sus"), F.col("_c"))), F.lit(0)).alias("suspicious_requests"))
     return t.select("user_agent", "total_requests", traits.ua_category(F.col("user_agent")).alias("ua_category"),
                     F.col("suspicious_requests").alias("requests_from_anomalous_ips"))
 

@@ -72,6 +72,14 @@ def requests_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.with_null_tokens(requests(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request table of queries that read it more than once: parsed once,
+    stored, and scanned from there in its post-CSV form."""
+    path = scratch_path(spark, "requests")
+    sources.write_parsed_log(requests(spark, sf_dir), path, partition_by_date=False)
+    return parse.with_null_tokens(sources.read_parsed_log(spark, path))
+
+
 # --- sources and parsing ----------------------------------------------------
 
 @query("parse_log_lines")
@@ -203,12 +211,12 @@ def _ip_path_entropy(spark, sf):
 
 @query("ip_features_v1")
 def _ip_features_v1(spark, sf):
-    return finish(features.ip_features_v1(requests_n(spark, sf)))
+    return finish(features.ip_features_v1(stored(spark, sf)))
 
 
 @query("ip_features_v2")
 def _ip_features_v2(spark, sf):
-    return finish(features.ip_features_v2(requests_n(spark, sf)))
+    return finish(features.ip_features_v2(stored(spark, sf)))
 
 
 # --- scores, marts and evaluation on the deterministic stand-in score ------------
@@ -223,17 +231,25 @@ DRILLDOWN_IP = "10.0.0.10"
 LEVELS = (0.01, 0.02, 0.05, 0.10)
 
 
-def deterministic_scores(spark, sf, contamination: float = 0.05) -> DataFrame:
-    f = jobs.feature_table(requests(spark, sf))  # checkpointed: read by the cut and the query
-    det = f.withColumn("anomaly_score", F.round(
+def unlabelled_scores(r: DataFrame) -> DataFrame:
+    """Features of the request table ``r`` with the score, without the cut."""
+    f = jobs.feature_table(r)  # checkpointed: read by the cut and the query
+    return f.withColumn("anomaly_score", F.round(
         F.lit(0.5) - F.lit(0.1) * F.col("max_requests_per_minute") - F.col("error_rate_4xx"), 6))
+
+
+def deterministic_scores(spark, sf, contamination: float = 0.05) -> DataFrame:
+    """With ``is_anomaly``, for the queries that return it or count by it."""
+    det = unlabelled_scores(stored(spark, sf))
     cut = exact_percentiles(det, "anomaly_score", [contamination])[0]
     return det.withColumn("is_anomaly", (F.col("anomaly_score") < F.lit(round(cut, 6))).cast("int"))
 
 
 def _sus(spark, sf):
-    scores = deterministic_scores(spark, sf)
-    return scores, marts.suspicious_ips(scores)
+    """(requests, scores, suspicious set) from one parse; the filters read the score only."""
+    r = stored(spark, sf)
+    scores = unlabelled_scores(r)
+    return r, scores, marts.suspicious_ips(scores)
 
 
 _SUS_COLS = ("ip", "total_requests", "max_requests_per_minute", "error_rate_4xx", "ua_bot_flag",
@@ -242,13 +258,12 @@ _SUS_COLS = ("ip", "total_requests", "max_requests_per_minute", "error_rate_4xx"
 
 @query("suspicious_ips")
 def _suspicious_ips(spark, sf):
-    _, sus = _sus(spark, sf)
-    return finish(sus.select(*_SUS_COLS))
+    return finish(marts.suspicious_ips(deterministic_scores(spark, sf)).select(*_SUS_COLS))
 
 
 @query("drilldown_candidates")
 def _drilldown_candidates(spark, sf):
-    _, sus = _sus(spark, sf)
+    _, _, sus = _sus(spark, sf)
     return finish(marts.drilldown_candidates(sus).select("ip", "anomaly_score"))
 
 
@@ -264,40 +279,40 @@ def _ip_drilldown_paths(spark, sf):
 
 @query("overview_metrics")
 def _overview_metrics(spark, sf):
-    scores, sus = _sus(spark, sf)
-    return finish(marts.overview_metrics(requests_n(spark, sf), scores, sus))
+    r, scores, sus = _sus(spark, sf)
+    return finish(marts.overview_metrics(r, scores, sus))
 
 
 @query("suspicious_requests")
 def _suspicious_requests(spark, sf):
-    _, sus = _sus(spark, sf)
-    r = marts.suspicious_requests(requests_n(spark, sf), sus)
+    r, _, sus = _sus(spark, sf)
+    r = marts.suspicious_requests(r, sus)
     return finish(r.select("ip", "timestamp", "path", "status", "user_agent"))
 
 
 @query("request_suspicious_flag")
 def _request_suspicious_flag(spark, sf):
-    _, sus = _sus(spark, sf)
-    r = marts.request_suspicious_flag(requests_n(spark, sf), sus)
+    r, _, sus = _sus(spark, sf)
+    r = marts.request_suspicious_flag(r, sus)
     return finish(r.select("ip", "timestamp", "path", F.col("is_suspicious").cast("int").alias("is_suspicious")))
 
 
 @query("traffic_over_time")
 def _traffic_over_time(spark, sf):
-    _, sus = _sus(spark, sf)
-    return finish(marts.traffic_over_time(requests_n(spark, sf), sus))
+    r, _, sus = _sus(spark, sf)
+    return finish(marts.traffic_over_time(r, sus))
 
 
 @query("ua_stats")
 def _ua_stats(spark, sf):
-    _, sus = _sus(spark, sf)
-    return marts.ua_stats(requests_n(spark, sf), sus)
+    r, _, sus = _sus(spark, sf)
+    return marts.ua_stats(r, sus)
 
 
 @query("top_user_agents")
 def _top_user_agents(spark, sf):
-    _, sus = _sus(spark, sf)
-    return marts.top_user_agents(marts.ua_stats(requests_n(spark, sf), sus))
+    r, _, sus = _sus(spark, sf)
+    return marts.top_user_agents(marts.ua_stats(r, sus))
 
 
 @query("ua_category_counts")
@@ -307,13 +322,13 @@ def _ua_category_counts(spark, sf):
 
 @query("path_abuse")
 def _path_abuse(spark, sf):
-    _, sus = _sus(spark, sf)
-    return marts.path_abuse(requests_n(spark, sf), sus)
+    r, _, sus = _sus(spark, sf)
+    return marts.path_abuse(r, sus)
 
 
 @query("score_range")
 def _score_range(spark, sf):
-    return finish(marts.score_range(deterministic_scores(spark, sf)))
+    return finish(marts.score_range(unlabelled_scores(stored(spark, sf))))
 
 
 @query("top_anomalies")
@@ -326,6 +341,12 @@ def _top20_flagged_count(spark, sf):
     return marts.top20_flagged_count(deterministic_scores(spark, sf))
 
 
+def _ranked(spark, sf) -> DataFrame:
+    """Labels and scores, for the queries that rank and never read the cut."""
+    s = unlabelled_scores(stored(spark, sf))
+    return s.select(F.col("ua_bot_flag").alias("y_true"), (-F.col("anomaly_score")).alias("score"))
+
+
 def _ev(spark, sf) -> DataFrame:
     s = deterministic_scores(spark, sf)
     return s.select(F.col("ua_bot_flag").alias("y_true"), F.col("is_anomaly").alias("y_pred"),
@@ -344,33 +365,33 @@ def _classification_report(spark, sf):
 
 @query("roc_auc")
 def _roc_auc(spark, sf):
-    return finish(evaluate.roc_auc(_ev(spark, sf)))
+    return finish(evaluate.roc_auc(_ranked(spark, sf)))
 
 
 @query("roc_curve")
 def _roc_curve(spark, sf):
-    return finish(evaluate.roc_curve(_ev(spark, sf)))
+    return finish(evaluate.roc_curve(_ranked(spark, sf)))
 
 
 @query("label_balance")
 def _label_balance(spark, sf):
-    return evaluate.label_balance(features.ip_features_v2(requests_n(spark, sf)))
+    return evaluate.label_balance(features.ip_features_v2(stored(spark, sf)))
 
 
 @query("scaled_features")
 def _scaled_features(spark, sf):
-    f = features.ip_features_v2(requests_n(spark, sf))
+    f = features.ip_features_v2(stored(spark, sf))
     return finish(scaling.standardize(f, features.V2_FEATURES).select("ip", *features.V2_FEATURES))
 
 
 def _det_sweep(spark, sf) -> DataFrame:
-    det = deterministic_scores(spark, sf)
+    det = unlabelled_scores(stored(spark, sf))
     return evaluate.contamination_sweep(det, "anomaly_score", "ua_bot_flag", LEVELS, cut_digits=6)
 
 
 @query("contamination_cut")
 def _contamination_cut(spark, sf):
-    det = deterministic_scores(spark, sf)
+    det = unlabelled_scores(stored(spark, sf))
     return finish(evaluate.contamination_cuts(det, "anomaly_score", LEVELS, cut_digits=6))
 
 
@@ -428,7 +449,7 @@ def _scan_parsed_log(spark, sf):
 
 
 def _features(spark, sf):
-    return jobs.feature_table(requests(spark, sf))
+    return jobs.feature_table(stored(spark, sf))
 
 
 def _iforest(spark, sf):
@@ -483,16 +504,18 @@ def _feature_importance(spark, sf):
 
 @query("sink_scores")
 def _sink_scores(spark, sf):
-    path = scratch_path(spark, "scores")
-    sources.write_scores(_iforest(spark, sf).scores, path)
-    return sources.read_scores(spark, path)
+    """Score table written as Parquet and read back."""
+    path, scores = scratch_path(spark, "scores"), deterministic_scores(spark, sf).select(*_SUS_COLS)
+    sources.write_scores(scores, path)
+    return finish(sources.read_scores(spark, path, schema=scores.schema))
 
 
 @query("scan_scores")
 def _scan_scores(spark, sf):
-    path = scratch_path(spark, "scores")
-    sources.write_scores(_iforest(spark, sf).scores, path, fmt="csv")
-    return sources.read_scores(spark, path, fmt="csv")
+    """Score table through CSV and back with its schema."""
+    path, scores = scratch_path(spark, "scores"), deterministic_scores(spark, sf).select(*_SUS_COLS)
+    sources.write_scores(scores, path, fmt="csv")
+    return finish(sources.read_scores(spark, path, fmt="csv", schema=scores.schema))
 
 
 @query("traffic_over_time_stream")
@@ -525,14 +548,14 @@ def _top_suspicious_ips(spark, sf):
 @query("iforest_v1_scores")
 def _iforest_v1_scores(spark, sf):
     """The first detector: v1 features, forest at contamination 0.05."""
-    f = jobs.feature_table(requests(spark, sf), version=1)
+    f = jobs.feature_table(stored(spark, sf), version=1)
     return jobs.anomaly_job_v1(f).select("ip", "ua_bot_flag", "anomaly_score", "is_anomaly")
 
 
 @query("iforest_v1_report")
 def _iforest_v1_report(spark, sf):
     """Classification report of the first detector against the UA flag."""
-    f = jobs.feature_table(requests(spark, sf), version=1)
+    f = jobs.feature_table(stored(spark, sf), version=1)
     s = jobs.anomaly_job_v1(f)
     ev = s.select(F.col("ua_bot_flag").alias("y_true"), F.col("is_anomaly").alias("y_pred"),
                   (-F.col("anomaly_score")).alias("score"))

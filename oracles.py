@@ -10,9 +10,14 @@ Doubles are rounded to 6 places and instants are rendered as UTC
 
 from __future__ import annotations
 
-from botlog.functions.logformat import LOG_PATTERN, NULL_TOKENS
-from botlog.functions.traits import (BOT_KEYWORDS, KNOWN_BOT_KEYWORDS, LOGIN_API_KEYWORDS,
-                                     SCRIPT_KEYWORDS)
+# Fixed values, written out here and not taken from the code under test:
+# the log pattern, the missing-value tokens and the keyword lists.
+LOG_PATTERN = r'(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\S+) "([^"]+)" "([^"]+)"'
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+BOT_KEYWORDS = ("bot", "crawl", "spider", "python", "curl", "monitoring", "googlebot")
+KNOWN_BOT_KEYWORDS = ("bot", "crawl", "spider", "monitoring", "googlebot")
+LOGIN_API_KEYWORDS = ("/login", "/user", "/signin", "/api", "/search")
+SCRIPT_KEYWORDS = ("python", "curl", "requests")
 
 DRILLDOWN_IP = "10.0.0.10"
 LEVELS = (0.01, 0.02, 0.05, 0.10)
@@ -85,8 +90,7 @@ req AS (
   SELECT ip, CAST(EPOCH(tstz) AS BIGINT) AS ts,
     MAKE_TIMESTAMP(CAST(EPOCH(tstz) AS BIGINT) * 1000000) AS "timestamp",
     method, path, protocol, TRY_CAST(status_txt AS BIGINT) AS status,
-    COALESCE(CASE WHEN (right(size_txt, 1) BETWEEN '0' AND '9') OR right(size_txt, 1) = '.'
-                  THEN TRY_CAST(TRUNC(TRY_CAST(size_txt AS DOUBLE)) AS BIGINT) END, 0) AS bytes_sent,
+    COALESCE(TRY_CAST(TRUNC(TRY_CAST(size_txt AS DOUBLE)) AS BIGINT), 0) AS bytes_sent,
     referrer, user_agent,
     CASE WHEN tstz IS NOT NULL THEN regexp_extract(dt, '[^ ]*$', 0) END AS tz_offset,
     dt, status_txt, size_txt
@@ -236,6 +240,8 @@ oracle("ip_features_v2", f"SELECT {_F2} FROM f2")
 _SUS = ("ip, total_requests, max_requests_per_minute, " + _r("error_rate_4xx") + " AS error_rate_4xx, "
         "ua_bot_flag, " + _r("anomaly_score") + " AS anomaly_score, is_anomaly")
 oracle("suspicious_ips", f"SELECT {_SUS} FROM sus")
+oracle("sink_scores", f"SELECT {_SUS} FROM scores")
+oracle("scan_scores", f"SELECT {_SUS} FROM scores")
 oracle("drilldown_candidates", f"""
 SELECT ip, {_r('anomaly_score')} AS anomaly_score FROM sus ORDER BY anomaly_score, ip LIMIT 50""")
 oracle("ip_drilldown_timeline", f"""
@@ -264,7 +270,7 @@ FROM reqn WHERE ts IS NOT NULL GROUP BY 1""")
 _UA_STATS = f"""
 , us AS (SELECT user_agent, COUNT(ip) AS total_requests, {UA_CATEGORY} AS ua_category,
   COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS requests_from_anomalous_ips
-  FROM reqn WHERE user_agent IS NOT NULL GROUP BY user_agent HAVING COUNT(ip) > 0)"""
+  FROM reqn WHERE user_agent IS NOT NULL GROUP BY user_agent)"""
 oracle("ua_stats", _UA_STATS + " SELECT * FROM us")
 oracle("top_user_agents", _UA_STATS + " SELECT * FROM us ORDER BY total_requests DESC, user_agent LIMIT 20")
 oracle("ua_category_counts", f"SELECT {UA_CATEGORY} AS ua_category, COUNT(*) AS count FROM reqn GROUP BY 1")

@@ -90,3 +90,12 @@ def test_marts_with_nulls_match_pandas_rules(spark):
     ov = marts.overview_metrics(req, s, sus).first()
     assert (ov.total_requests, ov.total_ips, ov.suspicious_ips, ov.suspicious_requests) == \
         (len(pdf), 3, 1, int(pdf["sus"].sum()))
+
+
+def test_agent_seen_only_without_an_address_keeps_its_row(spark):
+    from conftest import make_requests
+    rows = [(None, "2025-01-01 00:00:00", "/", 200, "lost"), ("10.0.0.1", "2025-01-01 00:00:00", "/", 200, "seen"),
+            (None, "2025-01-01 00:00:00", "/", 200, "seen")]
+    sus = spark.createDataFrame([("10.0.0.1",)], "ip string")
+    got = {r.user_agent: (r.total_requests, r.requests_from_anomalous_ips) for r in marts.ua_stats(make_requests(spark, rows), sus).collect()}
+    assert got == {"lost": (0, 0), "seen": (1, 1)}
