@@ -1,13 +1,14 @@
 """Supervised detector: random forest on the per-IP features with the
 user-agent flag as the label (Spark ML, trained on the executors).
 
-* stratified split: inside each class, rows are ordered by
-  ``xxhash64(ip, seed)`` and the first round(test_fraction * n_class) go to
+* stratified split: inside each class, rows are ordered by the leading 52
+  bits of ``md5(ip:seed)`` and the first round(test_fraction * n_class) go to
   the test set. The per-class cut is an exact order statistic found with
   the bucketed prefix sums (no single-partition window), so the split is
   exact, reproducible and independent of partitioning.
 * balanced class weights: n_train / (2 * n_train_class), as a weight column.
-* 100 trees, sqrt feature subsets, bootstrap, fixed seed.
+* 100 trees, sqrt feature subsets, bootstrap, fixed seed; grown on at most
+  ``MAX_FIT_ROWS`` rows, which bounds the model.
 """
 
 from __future__ import annotations
@@ -24,12 +25,24 @@ from botlog.operators.ranking import order_statistics_by
 from botlog.session import checkpoint_root
 
 
+#: Training rows a forest is grown on, about: a hash sample of the training
+#: set beyond it. Trees without a depth limit grow with their rows, and the
+#: model lives on the driver, so this bounds the driver's memory. Every row is
+#: still scored.
+MAX_FIT_ROWS = 2_000_000
+
+
+def hash52(id_col: str, seed: int):
+    """Leading 52 bits of ``md5(id:seed)`` as a number that any engine can compute."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def stratified_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "ip",
                      test_fraction: float = 0.3, seed: int = 42) -> DataFrame:
     """Adds ``is_test`` (int): inside each class, the round(test_fraction *
-    n_class) rows with the smallest ``xxhash64(id, seed)``. The per-class
+    n_class) rows with the smallest ``hash52(id, seed)``. The per-class
     cut hashes come from one grouped order-statistics pass."""
-    x = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    x = df.withColumn("_h", hash52(id_col, seed))
 
     def ranks(_cls, n):
         k = int(round(test_fraction * n))
@@ -71,9 +84,13 @@ class ForestFit:
 
 
 def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_trees: int = 100,
-                      seed: int = 42, max_depth: int = 30, max_bins: int = 128) -> ForestFit:
-    """Train on ``train`` with balanced class weights."""
+                      seed: int = 42, max_depth: int = 30, max_bins: int = 128, id_col: str = "ip",
+                      max_fit_rows: int = MAX_FIT_ROWS) -> ForestFit:
+    """Train with balanced class weights on ``train``, or on about
+    ``max_fit_rows`` of its rows chosen by a hash of the id."""
     features = list(features)
+    share = min(1.0, max_fit_rows / max(1, train.count()))
+    train = train.filter(hash52(id_col, seed + 1) < F.lit(int(share * 2 ** 52)))
     checkpoint_root(train.sparkSession)
     if train.filter(F.col(label) == 1).limit(1).count() == 0:
         raise ValueError(f"no positive {label} in the training data: cannot train a supervised model")

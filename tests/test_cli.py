@@ -7,7 +7,7 @@ def test_cli_ingest_detect_supervised(spark, tmp_path):
     logdir = str(tmp_path / "log")
     catalog.lines(spark, SF_SMALL).write.text(logdir)
     req = str(tmp_path / "req")
-    cli.main(["ingest", logdir, req])
+    cli.main(["ingest", logdir, req, "--summary", str(tmp_path / "sum")])
     cli.main(["reports", req, str(tmp_path / "rep")])
     cli.main(["detect", req, str(tmp_path / "det")])
     cli.main(["detect", req, str(tmp_path / "det1"), "--version", "1"])
@@ -18,3 +18,7 @@ def test_cli_ingest_detect_supervised(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sup" / "predictions")).count() == n_ips
     assert spark.read.parquet(str(tmp_path / "rep" / "top_ips")).count() == min(20, n_ips)
     assert spark.read.parquet(str(tmp_path / "det" / "sweep")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "sum")).count() == 1
+    cli.main(["marts", req, str(tmp_path / "det" / "scores"), str(tmp_path / "marts")])
+    assert spark.read.parquet(str(tmp_path / "marts" / "overview")).first().total_ips == n_ips
+    assert spark.read.parquet(str(tmp_path / "det" / "evaluation")).count() == 1

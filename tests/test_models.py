@@ -74,3 +74,44 @@ def test_supervised_outputs(spark):
     assert imp == pytest.approx(1.0)
     m = res.test_metrics.first()
     assert m.n_train + m.n_test == f.count()
+
+
+def test_forest_bound_keeps_scoring_every_row(spark):
+    f = jobs.feature_table(catalog.requests(spark, SF_MID))
+    cols = ["total_requests", "unique_paths", "path_entropy"]
+    fit = forest.fit_random_forest(f, cols, n_trees=5, max_fit_rows=60)
+    grown = max(t.numNodes for t in fit.model.trees)
+    assert grown <= 2 * 90 and fit.predict(f).count() == f.count()
+
+
+def test_forest_scores_by_a_plain_walk(spark):
+    """Scores recomputed from the node table, one row and one tree at a time."""
+    df = _blob(spark, 80)
+    m = iforest.fit_isolation_forest(df, ["x", "y"], n_trees=8)
+    nodes = {(r.tree, r.node): r for r in m.node_table(spark).collect()}
+    trees = sorted({t for t, _ in nodes})
+
+    def c(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    for r in m.score_samples(df).collect():
+        total = 0.0
+        for t in trees:
+            node = nodes[t, 0]
+            while node.feature >= 0:
+                node = nodes[t, node.left if [r.x, r.y][node.feature] <= node.threshold else node.right]
+            total += node.depth + c(node.size)
+        assert r.score_samples == pytest.approx(-2 ** (-(total / len(trees)) / c(m.psi)))
+
+
+def test_detector_evaluation_matches_counts_of_the_score_table(spark):
+    s = jobs.anomaly_job(jobs.feature_table(catalog.requests(spark, SF_MID))).scores
+    rows = s.select("ip", "ua_bot_flag", "is_anomaly", "anomaly_score").collect()
+    e = jobs.detector_evaluation(s).first()
+    count = lambda y, p: sum(r.ua_bot_flag == y and r.is_anomaly == p for r in rows)
+    assert (e.tn, e.fp, e.fn, e.tp) == (count(0, 0), count(0, 1), count(1, 0), count(1, 1))
+    top = sorted(rows, key=lambda r: (r.anomaly_score, r.ip))[:20]
+    assert e.top20_flagged == sum(r.ua_bot_flag for r in top)
+    pos = [r.anomaly_score for r in rows if r.ua_bot_flag == 1]
+    neg = [r.anomaly_score for r in rows if r.ua_bot_flag == 0]
+    area = sum((p < n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert e.auc == pytest.approx(area / (len(pos) * len(neg)))
