@@ -90,3 +90,24 @@ def minute_bucket(ts: Column) -> Column:
 
 def time_bin(ts: Column, width: int = TIME_BIN_SECONDS) -> Column:
     return floor_seconds(ts, width)
+
+
+def offset_seconds(tz_offset: Column) -> Column:
+    """``+hhmm`` -> seconds; anything else 0."""
+    ok = tz_offset.rlike("^[+-][0-9]{4}$")
+    size = F.substring(tz_offset, 2, 2).try_cast("long") * 3600 + F.substring(tz_offset, 4, 2).try_cast("long") * 60
+    return F.when(ok, F.when(tz_offset.startswith("-"), -size).otherwise(size)).otherwise(F.lit(0).cast("long"))
+
+
+def local_time_bin(ts: Column, tz_offset: Column, width: int = TIME_BIN_SECONDS) -> Column:
+    """Start of the bin on the writer's wall clock, as an instant."""
+    local = F.unix_seconds(ts) + offset_seconds(tz_offset)
+    return F.timestamp_seconds(F.unix_seconds(ts) - F.pmod(local, F.lit(width)))
+
+
+# File name extensions of resources that a browser loads with a page (fixed values).
+RESOURCE_PATTERN = r"(?i)\.(css|js|png|jpe?g|gif|svg|ico|webp|woff2?)([?#]|$)"
+
+
+def is_resource(path: Column) -> Column:
+    return F.coalesce(path.rlike(RESOURCE_PATTERN), F.lit(False))

@@ -235,6 +235,47 @@ def ip_path_entropy(requests: DataFrame) -> DataFrame:
     return _path_stats(_traits(requests), with_v2=True).select("ip", "path_entropy")
 
 
+# --------------------------------------------------------------------------
+# Further behaviour measures
+# --------------------------------------------------------------------------
+
+SESSION_GAP_SECONDS = 1800
+
+
+def resource_share(requests: DataFrame) -> DataFrame:
+    """(ip, resource_share): share of an address's requests that load page
+    resources (style sheets, scripts, images, fonts); null paths count as none."""
+    return (requests.filter(F.col("ip").isNotNull()).groupBy("ip")
+            .agg(F.avg(traits.is_resource(F.col("path")).cast("double")).alias("resource_share")))
+
+
+def periodicity(requests: DataFrame) -> DataFrame:
+    """(ip, periodicity): standard deviation of the intervals over their mean;
+    near 0 for machine-like regularity, null without two intervals or when
+    all requests fall in one second."""
+    return ip_interval_stats(requests).select("ip", F.when(
+        F.col("mean_interval_sec") > 0, F.col("std_interval_sec") / F.col("mean_interval_sec")).alias("periodicity"))
+
+
+def session_depth(requests: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
+    """(ip, sessions, avg_session_depth, max_session_depth): a session ends
+    where no request follows within ``gap_seconds`` (60 at least); its depth
+    is its number of requests.
+
+    Sessions are cut on the per-minute table, one row for each address and
+    minute however many requests it holds, so no address's requests meet in
+    one task."""
+    if gap_seconds < 60:
+        raise ValueError("gap_seconds must be 60 or more: sessions are cut between minutes")
+    g = _minute_groups(_traits(requests), with_seconds=True)
+    w = Window.partitionBy("ip").orderBy("minute")
+    new = F.coalesce(F.col("first") - F.lag("last").over(w) > gap_seconds, F.lit(True))
+    per = (g.withColumn("_new", new.cast("long")).withColumn("session", F.sum("_new").over(w))
+           .groupBy("ip", "session").agg(F.sum("c").alias("depth")))
+    return per.groupBy("ip").agg(F.count(F.lit(1)).alias("sessions"), F.avg("depth").alias("avg_session_depth"),
+                                 F.max("depth").alias("max_session_depth"))
+
+
 # --------------------------------------------------------------------------
 # Feature tables
 # --------------------------------------------------------------------------

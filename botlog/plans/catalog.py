@@ -219,6 +219,29 @@ def _ip_features_v2(spark, sf):
     return finish(features.ip_features_v2(stored(spark, sf)))
 
 
+@query("resource_share")
+def _resource_share(spark, sf):
+    return finish(features.resource_share(requests_n(spark, sf)))
+
+
+@query("periodicity")
+def _periodicity(spark, sf):
+    return finish(features.periodicity(requests_n(spark, sf)))
+
+
+@query("session_depth")
+def _session_depth(spark, sf):
+    return finish(features.session_depth(requests_n(spark, sf)))
+
+
+@query("time_bin_10min_local")
+def _time_bin_local(spark, sf):
+    """Ten-minute bins on the wall clock of the log's own offset."""
+    from botlog.functions import traits
+    r = requests_n(spark, sf)
+    return finish(r.select("ip", "timestamp", traits.local_time_bin(F.col("timestamp"), F.col("tz_offset")).alias("time_bin")))
+
+
 # --- scores, marts and evaluation on the deterministic stand-in score ------------
 #
 # The SQL-checked mart and evaluation keys run on a score that both engines
@@ -570,3 +593,26 @@ def _rf_test_report(spark, sf):
 @query("rf_test_confusion")
 def _rf_test_confusion(spark, sf):
     return _supervised(spark, sf).test_confusion
+
+
+@query("rf_roc_curve")
+def _rf_roc_curve(spark, sf):
+    return evaluate.roc_curve(_supervised(spark, sf).test_evaluation)
+
+
+@query("iforest_confusion")
+def _iforest_confusion(spark, sf):
+    """Confusion matrix of the second detector at its best level."""
+    return evaluate.confusion_matrix(jobs.evaluation_input(_iforest(spark, sf).scores))
+
+
+@query("iforest_roc_curve")
+def _iforest_roc_curve(spark, sf):
+    return evaluate.roc_curve(jobs.evaluation_input(_iforest(spark, sf).scores))
+
+
+@query("iforest_v1_evaluation")
+def _iforest_v1_evaluation(spark, sf):
+    """Confusion matrix, AUC and flagged share of the first detector's top 20, in one row."""
+    s = jobs.anomaly_job_v1(jobs.feature_table(stored(spark, sf), version=1))
+    return jobs.detector_evaluation(s)

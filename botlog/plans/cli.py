@@ -1,11 +1,15 @@
 """Command-line jobs (``python -m botlog.plans.cli <command> ...``).
 
-  ingest      raw log text -> date-partitioned Parquet request table
+  ingest      raw log text -> date-partitioned Parquet request table, and
+              with --summary the counts of parsed, rejected and
+              suspicious-agent lines
   reports     rule-based reports (top IPs, repeated paths, error IPs,
               suspicious user agents) -> one Parquet table each
   detect      request table -> per-IP features -> isolation forest
               (v1: six features at one contamination; v2: thirteen
-              features, best of the contamination sweep) -> score table
+              features, best of the contamination sweep) -> score table,
+              evaluation against the user-agent flag and ROC curve
+  marts       request table and score table -> the dashboard's tables
   supervised  request table -> random forest -> predictions, test metrics,
               importances
 
@@ -20,10 +24,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from botlog.operators import reports
+from botlog.operators import evaluate, reports
 from botlog.plans import jobs
 from botlog.session import ensure_utc
-from botlog.sources import read_log_text, read_parsed_log, write_scores
+from botlog.sources import read_log_text, read_parsed_log, read_scores, write_scores
 
 
 def _spark() -> SparkSession:
@@ -38,6 +42,11 @@ def main(argv=None) -> None:
     p = sub.add_parser("ingest")
     p.add_argument("log")
     p.add_argument("out")
+    p.add_argument("--summary")
+    p = sub.add_parser("marts")
+    p.add_argument("requests")
+    p.add_argument("scores")
+    p.add_argument("out")
     p = sub.add_parser("reports")
     p.add_argument("requests")
     p.add_argument("out")
@@ -54,6 +63,8 @@ def main(argv=None) -> None:
     spark = _spark()
     if a.cmd == "ingest":
         jobs.ingest(read_log_text(spark, a.log), a.out)
+        if a.summary:
+            reports.parse_summary(read_log_text(spark, a.log)).write.mode("overwrite").parquet(a.summary)
         return
     req = read_parsed_log(spark, a.requests)
     if a.cmd == "reports":
@@ -70,11 +81,17 @@ def main(argv=None) -> None:
             scores = res.scores
             res.sweep.write.mode("overwrite").parquet(f"{a.out}/sweep")
         write_scores(scores, f"{a.out}/scores")
+        jobs.detector_evaluation(scores).write.mode("overwrite").parquet(f"{a.out}/evaluation")
+        evaluate.roc_curve(jobs.evaluation_input(scores)).write.mode("overwrite").parquet(f"{a.out}/roc_curve")
+    elif a.cmd == "marts":
+        for name, df in jobs.mart_tables(req, read_scores(spark, a.scores)).items():
+            df.write.mode("overwrite").parquet(f"{a.out}/{name}")
     elif a.cmd == "supervised":
         res = jobs.supervised_job(jobs.feature_table(req))
         write_scores(res.predictions, f"{a.out}/predictions")
         res.test_metrics.write.mode("overwrite").parquet(f"{a.out}/test_metrics")
         res.test_report.write.mode("overwrite").parquet(f"{a.out}/test_report")
+        evaluate.roc_curve(res.test_evaluation).write.mode("overwrite").parquet(f"{a.out}/roc_curve")
         res.importances.write.mode("overwrite").parquet(f"{a.out}/importances")
 
 

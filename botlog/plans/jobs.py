@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botlog.operators import evaluate, features, forest, iforest, parse, scaling
+from botlog.operators import evaluate, features, forest, iforest, marts, parse, scaling
 from botlog.session import checkpoint_root
 from botlog.sources.files import read_parsed_log, write_parsed_log
 
@@ -64,11 +64,33 @@ class AnomalyResult:
     best: float                # chosen contamination
 
 
-def _evaluation_input(scores: DataFrame) -> DataFrame:
+def evaluation_input(scores: DataFrame) -> DataFrame:
+    """(y_true, y_pred, score) of a scored feature table."""
     return scores.select(F.col("ua_bot_flag").alias("y_true"), F.col("is_anomaly").alias("y_pred"),
                          (-F.col("anomaly_score")).alias("score"))
 
 
+def detector_evaluation(scores: DataFrame) -> DataFrame:
+    """One row: tn, fp, fn, tp, auc and how many of the 20 most anomalous
+    addresses carry the user-agent flag."""
+    ev = evaluation_input(scores)
+    auc = evaluate.roc_auc_value(ev)
+    flagged = marts.top20_flagged_count(scores).first()["flagged"]
+    return (evaluate.confusion_matrix(ev).withColumn("auc", F.lit(auc).cast("double"))
+            .withColumn("top20_flagged", F.lit(flagged).cast("long")))
+
+
+def mart_tables(requests: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
+    """The dashboard's tables from a stored request table and a score table, with the default filters."""
+    r = parse.with_null_tokens(requests)
+    sus = marts.suspicious_ips(scores)
+    ua = marts.ua_stats(r, sus)
+    return {"overview": marts.overview_metrics(r, scores, sus), "traffic_over_time": marts.traffic_over_time(r, sus),
+            "suspicious_ips": sus, "drilldown_candidates": marts.drilldown_candidates(sus), "ua_stats": ua,
+            "top_user_agents": marts.top_user_agents(ua), "ua_category_counts": marts.ua_category_counts(r),
+            "path_abuse": marts.path_abuse(r, sus), "score_range": marts.score_range(scores)}
+
+
 def anomaly_job(feats: DataFrame, feature_cols=features.V2_FEATURES, levels=CONTAMINATION_LEVELS,
                 n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> AnomalyResult:
     """Standardise, fit one forest, score once, evaluate every contamination

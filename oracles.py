@@ -224,6 +224,26 @@ SELECT ip, "timestamp", LAG("timestamp") OVER (PARTITION BY ip ORDER BY ts) AS p
 FROM t WHERE ts IS NOT NULL""")
 oracle("ip_interval_stats", f"""
 SELECT ip, {_r('mean_interval_sec')} AS mean_interval_sec, {_r('std_interval_sec')} AS std_interval_sec FROM iv_ip""")
+oracle("periodicity", f"""
+SELECT ip, CASE WHEN mean_interval_sec > 0 THEN {_r('std_interval_sec / mean_interval_sec')} END AS periodicity FROM iv_ip""")
+oracle("resource_share", """
+SELECT ip, ROUND(AVG(CASE WHEN regexp_matches(path, '(?i)\\.(css|js|png|jpe?g|gif|svg|ico|webp|woff2?)([?#]|$)') THEN 1.0 ELSE 0.0 END), 6)
+  AS resource_share FROM t GROUP BY ip""")
+oracle("session_depth", """
+, cut AS (SELECT ip, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY ip ORDER BY ts) <= 1800 THEN 0 ELSE 1 END AS b
+  FROM t WHERE ts IS NOT NULL),
+sess AS (SELECT ip, SUM(b) OVER (PARTITION BY ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM cut),
+depth AS (SELECT ip, s, COUNT(*) AS d FROM sess GROUP BY ip, s)
+SELECT ip, COUNT(*) AS sessions, ROUND(AVG(d), 6) AS avg_session_depth, MAX(d) AS max_session_depth FROM depth GROUP BY ip""".replace("cut AS", "cuts AS").replace("FROM cut)", "FROM cuts)"))
+oracle("time_bin_10min_local", """
+, w AS (SELECT ip, ts, "timestamp", CASE WHEN left(tz_offset, 1) = '-' THEN -1 ELSE 1 END
+    * (CAST(substr(tz_offset, 2, 2) AS INT) * 3600 + CAST(substr(tz_offset, 4, 2) AS INT) * 60) AS off FROM reqn)
+SELECT ip, "timestamp", MAKE_TIMESTAMP((CAST(FLOOR((ts + off) / 600) AS BIGINT) * 600 - off) * 1000000) AS time_bin FROM w""")
+oracle("stratified_split", """
+, h AS (SELECT ip, ua_bot_flag, md5(ip || ':42')[1:13] AS h FROM f2),
+k AS (SELECT ua_bot_flag, CAST(round_even(0.3 * COUNT(*), 0) AS BIGINT) AS n FROM h GROUP BY 1),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ua_bot_flag ORDER BY h) AS r FROM h)
+SELECT ip, ua_bot_flag, CAST(r <= n AS INT) AS is_test FROM o JOIN k USING (ua_bot_flag)""")
 oracle("ip_path_entropy", f"""
 SELECT b.ip, {_r('COALESCE(e.path_entropy, 0.0)')} AS path_entropy FROM base_ip b LEFT JOIN ent e USING (ip)""")
 _F1 = ("ip, total_requests, unique_paths, {e4}, ua_bot_flag, {avg}, max_requests_per_minute, {rpr}").format(
