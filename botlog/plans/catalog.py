@@ -616,3 +616,14 @@ def _iforest_v1_evaluation(spark, sf):
     """Confusion matrix, AUC and flagged share of the first detector's top 20, in one row."""
     s = jobs.anomaly_job_v1(jobs.feature_table(stored(spark, sf), version=1))
     return jobs.detector_evaluation(s)
+
+
+@query("hybrid_detection")
+def _hybrid_detection(spark, sf):
+    """Rule hits, and a forest fitted on the addresses no rule flags."""
+    return jobs.hybrid_job(_features(spark, sf)).select("ip", "ua_bot_flag", "anomaly_score", "is_bot", "detected_by")
+
+
+@query("rf_cross_validation")
+def _rf_cross_validation(spark, sf):
+    return jobs.cross_validate(_features(spark, sf), folds=3, n_trees=20)

@@ -174,3 +174,48 @@ def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: s
     train = split.filter(F.col("is_test") == 0)
     fit = forest.fit_random_forest(train, feature_cols, label, n_trees=n_trees, seed=seed, max_depth=max_depth)
     return SupervisedResult(fit, split, feats)
+
+
+def hybrid_job(feats: DataFrame, feature_cols=features.V2_FEATURES, contamination: float = 0.05, n_trees: int = 100,
+               seed: int = 42) -> DataFrame:
+    """Rules first, the forest on the rest: addresses whose user agent names a
+    bot are hits by rule (``detected_by`` "rule", no score); an isolation
+    forest is fitted on the others only, and those below its cut are hits by
+    "forest". Every address of ``feats`` has one row; without any unflagged
+    address there is no forest and only the rule decides."""
+    cols = list(feature_cols)
+    by_rule = feats.filter(F.col("ua_bot_flag") == 1).select(
+        *feats.columns, F.lit(None).cast("double").alias("anomaly_score"), F.lit(1).alias("is_bot"), F.lit("rule").alias("detected_by"))
+    rest = feats.filter(F.coalesce(F.col("ua_bot_flag"), F.lit(0)) != 1)
+    if rest.isEmpty():
+        return by_rule
+    scaled = scaling.standardize(rest, cols, suffix="__z")
+    zcols = [f"{c}__z" for c in cols]
+    model = iforest.fit_isolation_forest(scaled.select("ip", *zcols), zcols, n_trees=n_trees, seed=seed)
+    scored = iforest.score(model, scaled, contamination)
+    return by_rule.unionByName(scored.select(
+        *feats.columns, "anomaly_score", F.col("is_anomaly").alias("is_bot"),
+        F.when(F.col("is_anomaly") == 1, "forest").alias("detected_by")))
+
+
+def cross_validate(feats: DataFrame, folds: int = 5, feature_cols=features.V2_FEATURES, label: str = "ua_bot_flag",
+                   seed: int = 42, n_trees: int = 100, max_depth: int = 30) -> DataFrame:
+    """(fold, n_train, n_test, precision, recall, f1, auc) of the random
+    forest, one row for each fold. A row's fold is a hash of its address, so
+    folds do not depend on partitioning; AUC is null where a fold has one
+    class. One fit per fold, and one row of metrics each reaches the driver."""
+    evaluate.require_positive_labels(feats, label)
+    x = feats.withColumn("_fold", F.pmod(forest.hash52("ip", seed), F.lit(folds))).checkpoint(eager=True)
+    rows = []
+    for k in range(folds):
+        test = x.filter(F.col("_fold") == k).drop("_fold")
+        train = x.filter(F.col("_fold") != k).drop("_fold")
+        fit = forest.fit_random_forest(train, feature_cols, label, n_trees=n_trees, seed=seed, max_depth=max_depth)
+        ev = fit.predict(test).select(F.col(label).alias("y_true"), F.col("predicted_bot").alias("y_pred"),
+                                      F.col("bot_probability").alias("score"))
+        cm = evaluate.confusion_matrix(ev)
+        p, r, f = evaluate.precision_recall_f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))
+        m = cm.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), p.alias("p"), r.alias("r"), f.alias("f")).first()
+        rows.append((k, train.count(), m["n"], m["p"], m["r"], m["f"], evaluate.roc_auc_value(ev)))
+    return feats.sparkSession.createDataFrame(
+        rows, "fold int, n_train long, n_test long, precision double, recall double, f1 double, auc double")

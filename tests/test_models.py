@@ -115,3 +115,23 @@ def test_detector_evaluation_matches_counts_of_the_score_table(spark):
     neg = [r.anomaly_score for r in rows if r.ua_bot_flag == 0]
     area = sum((p < n) + 0.5 * (p == n) for p in pos for n in neg)
     assert e.auc == pytest.approx(area / (len(pos) * len(neg)))
+
+
+def test_hybrid_rules_first_then_a_forest_on_the_rest(spark):
+    f = jobs.feature_table(catalog.requests(spark, SF_MID))
+    rows = jobs.hybrid_job(f, n_trees=20, contamination=0.1).collect()
+    assert len(rows) == f.count() == len({r.ip for r in rows})
+    assert all(r.is_bot == 1 and r.detected_by == "rule" and r.anomaly_score is None for r in rows if r.ua_bot_flag == 1)
+    rest = [r for r in rows if r.ua_bot_flag != 1]
+    assert all((r.is_bot == 1) == (r.anomaly_score < 0) == (r.detected_by == "forest") for r in rest)
+    assert abs(sum(r.is_bot for r in rest) - 0.1 * len(rest)) <= 2
+    only = jobs.hybrid_job(f.filter("ua_bot_flag = 1"))
+    assert only.count() == f.filter("ua_bot_flag = 1").count()
+
+
+def test_cross_validation_covers_every_row_once(spark):
+    f = jobs.feature_table(catalog.requests(spark, SF_MID))
+    rows = jobs.cross_validate(f, folds=3, n_trees=5, feature_cols=["total_requests", "path_entropy"]).collect()
+    n = f.count()
+    assert sum(r.n_test for r in rows) == n and all(r.n_train + r.n_test == n for r in rows)
+    assert all(0 <= v <= 1 for r in rows for v in (r.precision, r.recall, r.f1))
