@@ -60,13 +60,28 @@ _LINE = (
 )
 
 
+# Odd lines that follow the derived ones (fixed values): a missing address,
+# one-digit day and hour, an offset with a colon, junk time, odd sizes.
+EDGE_LINES = (
+    'NULL - - [05/Jan/2024:06:31:10 +0000] "GET / HTTP/1.1" 200 12 "-" "GhostAgent/1.0"',
+    '10.9.0.1 - - [5/Jan/2024:06:31:10 +0000] "GET /a HTTP/1.1" 200 1e3 "-" "Edge/1.0"',
+    '10.9.0.1 - - [05/Jan/2024:6:31:11 +0000] "GET /a HTTP/1.1" 404 0x1p3 "-" "Edge/1.0"',
+    '10.9.0.1 - - [05/Jan/2024:17:31:12 +11:00] "GET /b HTTP/1.1" 200 12d "-" "Edge/1.0"',
+    '10.9.0.1 - - [yesterday] "GET /b HTTP/1.1" 500 7.9 "-" "Edge/1.0"',
+    '10.9.0.2 - - [05/Jan/2024:06:31:10 +0000] "GET /c HTTP/1.1" 200 .5 "-" "Edge/1.0"',
+)
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def access_log_lines(spark: SparkSession, sf_dir: str, with_event_id: bool = False) -> DataFrame:
-    """Raw access-log lines (``value string``) derived from ``events``."""
+    """Raw access-log lines (``value string``) derived from ``events``, and
+    the edge lines (not with ``with_event_id``)."""
     ensure_utc(spark)  # DATE_FORMAT / CAST(ts AS TIMESTAMP) use the session zone
     events = spread(read_events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type", "value", "props"))
     lines = events.selectExpr(*_STAGE1).selectExpr(*_STAGE2).selectExpr("event_id", _LINE)
-    return lines if with_event_id else lines.select("value")
+    if with_event_id:
+        return lines
+    return lines.select("value").union(spark.createDataFrame([(x,) for x in EDGE_LINES], "value string"))

