@@ -63,6 +63,7 @@ def _brute_force_v2(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.copy()
     pdf["ts"] = pdf["timestamp"].astype("int64") // 10**6 if str(pdf["timestamp"].dtype).startswith("datetime64[us") \
         else pdf["timestamp"].astype("int64") // 10**9
+    pdf["ts"] = pdf["ts"].where(pdf["timestamp"].notna())  # a missing time stamp is not a time
     out = {}
     for ip, g in pdf.groupby("ip"):
         s = np.sort(g["ts"].dropna().to_numpy())
