@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished queries now:
+    it follows the garbage collection of the driver's objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(col: str | Column) -> Column:
     """Text as UTF-8 bytes, null as empty."""
     c = F.col(col) if isinstance(col, str) else col

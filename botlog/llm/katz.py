@@ -34,7 +34,7 @@ from botlog.llm import common
 #: Counts up to this one are discounted.
 CUTOFF = 5
 #: Tokens of a block and, about, of a bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 3_000_000, 3_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: A context with more than this share (1 / HEAVY) of all tokens is dealt by n-gram.
 HEAVY = 1000
 
@@ -59,6 +59,26 @@ def _unpack(raw: bytes, dtype) -> np.ndarray:
     return planes.reshape(dtype.itemsize, n).T.copy().view(dtype).reshape(n)
 
 
+def _pack_values(x: np.ndarray) -> bytes:
+    """Floats with many equal values: the distinct ones and their numbers."""
+    values, which = np.unique(x, return_inverse=True)
+    return _bundle(_pack(values), _pack(which.astype(np.uint32)))
+
+
+def _unpack_values(raw: bytes) -> np.ndarray:
+    values, which = _unbundle(raw)
+    return _unpack(values, np.float64)[_unpack(which, np.uint32)]
+
+
+def _bundle(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def _unbundle(raw: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(raw[:8], "little") + 8
+    return raw[8:n], raw[n:]
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of pairs of hashes."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -156,7 +176,7 @@ class Block:
     """The texts of one block and their probabilities, order by order."""
 
     def __init__(self, words: bytes, stream: bytes, lengths: bytes, held: bytes):
-        self.hash, self.word = _unpack(words, np.uint64), _unpack(stream, np.int32).astype(np.int64)
+        self.hash, self.word = _unpack(words, np.uint64), _unpack(stream, np.int32)
         self.lengths, self.held = _unpack(lengths, np.int32).astype(np.int64), _unpack(held, np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.train = np.repeat(self.held == 0, self.lengths)
@@ -164,13 +184,16 @@ class Block:
 
     def extend(self):
         """From n-grams of one order to those one longer."""
-        context = np.empty_like(self.gram)
+        context = np.empty(len(self.gram), np.int64)
         context[1:] = self.gram[:-1]
         context[self.first] = self.types  # the start of a text
-        key, at, gram = np.unique(context * len(self.hash) + self.word, return_index=True, return_inverse=True)
+        context *= len(self.hash)
+        context += self.word
+        key, at, gram = np.unique(context, return_index=True, return_inverse=True)
+        del context
         before = np.concatenate([self.gram_hash, [_START]])
         self.context, self.context_hash = key // len(self.hash), before
-        self.gram, self.at, self.types = gram, at, len(key)
+        self.gram, self.at, self.types = gram.astype(np.int32), at, len(key)
         self.gram_hash = _mix(before[self.context], self.hash[key % len(self.hash)])
 
     def deal(self, buckets: int, count_before: np.ndarray, tokens: float):
@@ -225,10 +248,12 @@ def _unigram_answers(group: pa.Table) -> pa.Table:
 def _gram_answers(group: pa.Table) -> pa.Table:
     """Totals of the n-grams of one bucket and of their contexts."""
     bucket = group["bucket"][0].as_py()
-    asks = [{c: _unpack(r[c], t) for c, t in _ASK.items()} for r in group.to_pylist()]
-    joined = {c: np.concatenate([a[c] for a in asks]) for c in ("gram", "count", "lower")}
+    asks = [{c: _unpack(r[c], t) for c, t in _ASK.items()} | {"lower": _unpack_values(r["lower"])} for r in group.to_pylist()]
+    joined = {c: np.concatenate([a[c] for a in asks]) for c in ("low", "high", "count", "lower")}
     owner = np.concatenate([np.repeat(a["context"], a["size"]) for a in asks])
-    _, at, which = np.unique(joined["gram"], return_index=True, return_inverse=True)
+    with np.errstate(over="ignore"):
+        gram = _mix(owner, joined["low"].astype(np.uint64) | joined["high"].astype(np.uint64) << np.uint64(32))
+    _, at, which = np.unique(gram, return_index=True, return_inverse=True)
     total = np.bincount(which, weights=joined["count"]).astype(np.int64)
     contexts, place = np.unique(owner[at], return_inverse=True)
     n, seen = len(contexts), total > 0
@@ -238,19 +263,23 @@ def _gram_answers(group: pa.Table) -> pa.Table:
     np.maximum.at(lower, which, joined["lower"])
     columns.append(np.bincount(place[seen], weights=lower[seen], minlength=n))
     stats = np.stack(columns, axis=1)
-    rows, cuts = [], np.cumsum([0, *(len(a["gram"]) for a in asks)])
+    rows, cuts = [], np.cumsum([0, *(len(a["count"]) for a in asks)])
     for a, b, lo, hi in zip(asks, group["block"], cuts, cuts[1:]):
         light = a["context"][a["heavy"] == 0]
-        rows.append((b.as_py(), bucket, 0, _pack(total[which[lo:hi]]),
-                     _pack(stats[np.searchsorted(contexts, light)].T.copy().ravel()), None, None))
+        of_light = stats[np.searchsorted(contexts, light)]
+        whole = _pack(of_light[:, :-1].astype(np.uint64).T.ravel())
+        rows.append((b.as_py(), bucket, 0, _pack(total[which[lo:hi]]), _bundle(whole, _pack_values(of_light[:, -1])), None, None))
     heavy = np.unique(np.concatenate([a["context"][a["heavy"] == 1] for a in asks]))
     for h, s in zip(heavy, stats[np.searchsorted(contexts, heavy)]):
         rows.append((None, bucket, 2, None, None, int(h.view(np.int64)), s.tolist()))
     return _answers(rows + [(None, bucket, 1, None, None, None, _totals(total))])
 
 
-#: What a block sends to a bucket: its n-grams in order of context.
-_ASK = {"context": np.uint64, "size": np.uint32, "heavy": np.uint8, "gram": np.uint64, "count": np.uint32, "lower": np.float64}
+#: What a block sends to a bucket: its n-grams in order of context, each by
+#: 48 bits of its hash, which tell the n-grams of one context apart, and
+#: ``lower``, their probabilities one order lower.
+_ASK = {"context": np.uint64, "size": np.uint32, "heavy": np.uint8, "low": np.uint32, "high": np.uint16, "count": np.uint32}
+_COLUMNS = (*_ASK, "lower")
 
 
 def _gathered(group: pa.Table, levels: list[Level], buckets: int):
@@ -260,6 +289,7 @@ def _gathered(group: pa.Table, levels: list[Level], buckets: int):
     base = next(r for r in rows if r["kind"] == 0)
     x = Block(base["a"], base["b"], base["lengths"], base["held"])
     got = {(r["kind"], r["bucket"]): r for r in rows if r["kind"]}
+    del rows
     bucket = (x.hash % np.uint64(buckets)).astype(np.int64)
     first = np.zeros(len(x.hash), np.int64)
     for b in np.unique(bucket).tolist():
@@ -275,7 +305,9 @@ def _gathered(group: pa.Table, levels: list[Level], buckets: int):
                 total[order[lo:hi]] = _unpack(got[k, b]["a"], np.int64)
                 asked = np.unique(x.context[order[lo:hi]])
                 asked = asked[~heavy[asked]]
-                stats[asked] = _unpack(got[k, b]["b"], np.float64).reshape(CUTOFF + 2, -1).T
+                whole, rest = _unbundle(got[k, b]["b"])
+                stats[asked, :-1] = _unpack(whole, np.uint64).reshape(CUTOFF + 1, -1).T
+                stats[asked, -1] = _unpack_values(rest)
         for c in np.flatnonzero(heavy):
             stats[c] = level.heavy.get(int(x.context_hash[c].view(np.int64)), np.zeros(CUTOFF + 2))
         r = np.arange(1, CUTOFF + 1)
@@ -298,21 +330,22 @@ def _gram_requests(state: DataFrame, levels: list[Level], buckets: int) -> DataF
             x.extend()
             order, cuts, heavy = x.deal(buckets, known, levels[0].tokens)
         count, lower = np.bincount(x.gram[x.train], minlength=x.types), p[x.at]
-        rows = {c: [] for c in ("block", "bucket", *_ASK)}
+        rows = {c: [] for c in ("block", "bucket", *_COLUMNS)}
         for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
             if hi > lo:
                 o = order[lo:hi]
                 asked, size = np.unique(x.context[o], return_counts=True)
-                part = {"context": x.context_hash[asked], "size": size, "heavy": heavy[asked], "gram": x.gram_hash[o],
-                        "count": count[o], "lower": np.where(count[o] > 0, lower[o], 0.0)}
+                part = {"context": x.context_hash[asked], "size": size, "heavy": heavy[asked], "low": x.gram_hash[o] & np.uint64(0xFFFFFFFF),
+                        "high": x.gram_hash[o] >> np.uint64(48), "count": count[o]}
                 rows["block"].append(base["block"])
                 rows["bucket"].append(b)
                 for c, t in _ASK.items():
                     rows[c].append(_pack(part[c].astype(t)))
+                rows["lower"].append(_pack_values(np.where(count[o] > 0, lower[o], 0.0)))
         return pa.table({"block": pa.array(rows["block"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()),
-                         **{c: pa.array(rows[c], pa.binary()) for c in _ASK}})
+                         **{c: pa.array(rows[c], pa.binary()) for c in _COLUMNS}})
 
-    return state.groupBy("block").applyInArrow(ask, "block long, bucket int, " + ", ".join(f"{c} binary" for c in _ASK))
+    return state.groupBy("block").applyInArrow(ask, "block long, bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
 
 
 def _level(answers: DataFrame) -> Level:
@@ -354,6 +387,8 @@ def score(docs: DataFrame, order: int = 2, held: str = "false", id_col: str = "d
             asked, answer = _gram_requests(state, list(levels), buckets), _gram_answers
         answers = common.written(asked.groupBy("bucket").applyInArrow(answer, _ANSWER), f"katz-answers-{k}")
         levels.append(_level(answers))
+        del asked
+        common.release_shuffles(spark)  # the answers are a table now
         state = state.union(answers.where("kind = 0").select(
             "block", F.lit(k).alias("kind"), "bucket", "a", "b", none.cast("binary"), none.cast("array<long>"), none.cast("binary")))
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
