@@ -2,14 +2,14 @@
 
 A page is cut into blocks, each in a zone: inside an article or main element,
 inside markup that is boilerplate by its element or class, or neither. The
-word streams of a host's pages outside the article are concatenated and put
-into a suffix array; suffixes that share their first ``DEPTH`` words with one
-of another page cover those words as repeated. What repeats is boilerplate,
-unique runs stay: a block outside boilerplate markup goes if at least
-``COVERED`` of its words are covered, or if the page has an article and the
-block is outside it. Blocks inside the article stay whether they repeat or
-not (a text may be printed on two pages), and boilerplate markup goes even
-where it is unique.
+word streams of a host's pages outside boilerplate markup are concatenated and
+put into a suffix array; suffixes that share their first ``DEPTH`` words with
+one of another page cover those words as repeated. What repeats is
+boilerplate, unique runs stay: a block outside article and boilerplate markup
+goes if at least ``COVERED`` of its words are covered, on every page, whether
+it also has an article or not. Blocks inside the article stay whether they
+repeat or not (a text or a line of it may be printed on two pages), and
+boilerplate markup goes even where it is unique.
 
 A host's pages are dealt into shards of bounded size, so a host with a third
 of all pages is many tasks. Repeats between shards are found first, by the
@@ -187,8 +187,8 @@ def host_of(url):
 
 
 def _streams(blocks):
-    """Words of the blocks that the suffix array sees: all outside the article."""
-    return [t.lower().split() if z != MAIN else [] for z, t in blocks]
+    """Words of the blocks that the suffix array sees: all outside boilerplate markup."""
+    return [t.lower().split() for _, t in blocks]
 
 
 def _window_keys(words: list[str]) -> np.ndarray:
@@ -205,7 +205,7 @@ def _window_keys(words: list[str]) -> np.ndarray:
 
 def repeated_words(streams: list[list[str]], keys: np.ndarray) -> list[np.ndarray]:
     """For each page's word stream which words lie in a run of DEPTH words
-    that another stream holds too, or whose hash is in ``keys``."""
+    that another stream holds too, or whose hash is in the sorted ``keys``."""
     lengths = [len(s) for s in streams]
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for s in streams for w in s], np.int64)
@@ -231,7 +231,9 @@ def repeated_words(streams: list[list[str]], keys: np.ndarray) -> list[np.ndarra
         if len(keys):
             at = 0
             for s in streams:
-                hit = at + np.flatnonzero(np.isin(_window_keys(s), keys))
+                own = _window_keys(s)
+                near = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                hit = at + np.flatnonzero(keys[near] == own)
                 np.add.at(covered, hit, 1)
                 np.subtract.at(covered, hit + DEPTH, 1)
                 at += len(s)
@@ -240,12 +242,11 @@ def repeated_words(streams: list[list[str]], keys: np.ndarray) -> list[np.ndarra
 
 def main_text(blocks: list[tuple[int, str]], repeated: np.ndarray) -> str:
     """Blocks that stay, joined by newlines; ``repeated`` marks the words of the page's stream."""
-    article = any(z == MAIN for z, _ in blocks)
     kept, at = [], 0
     for (zone, text), words in zip(blocks, _streams(blocks)):
         mark = repeated[at:at + len(words)]
         at += len(words)
-        if zone == MAIN or zone == PLAIN and not article and mark.sum() < COVERED * max(1, len(words)):
+        if zone == MAIN or mark.sum() < COVERED * max(1, len(words)):
             kept.append(text)
     return "\n".join(kept)
 
@@ -262,25 +263,45 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), host_of(F.col(url_col)).alias("host"),
                         page.alias("t"), F.xxhash64(F.col(id_col), F.col(url_col), page).alias("key"))
-    sizes = (rows.groupBy("host").agg(F.ceil(F.sum(F.length("t")) / shard_chars).cast("int").alias("shards"))
-             .select("host", F.greatest("shards", F.lit(1)).alias("shards")))
+
+    def plain(batches):
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([len(t) for t in texts], pa.int64()),
+                                              pa.array([any(z == PLAIN for z, _ in blocks_of(t)) for t in texts], pa.bool_())],
+                                             names=["host", "n", "plain"])
+
+    # Only hosts with a plain block have anything for their repeats to decide.
+    sizes = (rows.select("host", "t").mapInArrow(plain, "host string, n long, plain boolean").groupBy("host")
+             .agg(F.ceil(F.sum("n") / shard_chars).cast("int").alias("shards"), F.max("plain").alias("plain"))
+             .select("host", F.greatest("shards", F.lit(1)).alias("shards"), "plain"))
     sizes = common.written(sizes, "page-hosts")
     dealt = rows.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
 
     def windows(batches):
         for b in batches:
-            hosts, shards, keys = [], [], []
+            hosts, shards, keys, asks = [], [], [], []
             for h, s, t in zip(*(b.column(c).to_pylist() for c in ("host", "shard", "t"))):
-                k = np.unique(_window_keys([w for x in _streams(blocks_of(t)) for w in x])).view(np.int64)
+                blocks = blocks_of(t)
+                words = _streams(blocks)
+                k, at = np.unique(_window_keys([w for x in words for w in x]), return_inverse=True)
+                zones = np.repeat(np.array([z == PLAIN for z, _ in blocks], bool), np.array([len(x) for x in words], int))
+                seen = np.concatenate([[0], np.cumsum(zones)])
+                ask = np.zeros(len(k), bool)
+                ask[at[seen[DEPTH:] > seen[:-DEPTH]]] = True  # the window touches a plain block
+                k = k.view(np.int64)
                 hosts += [h] * len(k)
                 shards += [s] * len(k)
                 keys.append(k)
+                asks.append(ask)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(shards, pa.int32()),
-                 pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["host", "shard", "k"])
+                 pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)),
+                 pa.array(np.concatenate(asks) if asks else np.zeros(0, bool))], names=["host", "shard", "k", "ask"])
 
-    across = (dealt.where("shards > 1").select("host", "shard", "t").mapInArrow(windows, "host string, shard int, k long")
-              .groupBy("host", "k").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a < b")
+    across = (dealt.where("shards > 1 and plain").select("host", "shard", "t").mapInArrow(windows, "host string, shard int, k long, ask boolean")
+              .groupBy("host", "k").agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.max("ask").alias("ask"))
+              .where("a < b and ask")
               .join(sizes, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "k"))
 
     def parsed(batches):
@@ -296,7 +317,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def finish(shard: pa.Table, keys: pa.Table) -> pa.Table:
         pages_ = [json.loads(_inflate(x.as_py())) for x in shard["blob"]]
-        streams = [[w for x in _streams(b) for w in x] for b in pages_]
+        if any(z == PLAIN for b in pages_ for z, _ in b):
+            streams = [[w for x in _streams(b) for w in x] for b in pages_]
+        else:
+            streams = [[] for _ in pages_]  # article blocks stay whatever repeats
         own = shard["key"].to_numpy()
         _, first, which = np.unique(own, return_index=True, return_inverse=True)  # equal rows are one page
         marks = repeated_words([streams[k] for k in first], np.unique(keys["k"].to_numpy()).view(np.uint64))

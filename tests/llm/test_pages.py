@@ -84,3 +84,19 @@ def test_query(spark, sf):
     for r in got:
         assert r.url == rows[r.page_id].url
         assert r.text == "\n".join(t for z, t in G.blocks_of(rows[r.page_id].html) if z == G.MAIN) and r.text
+
+
+def test_plain_story_beside_an_article_card(spark):
+    """The array decides on plain blocks of every page, with an article or without."""
+    rng = random.Random(11)
+    text = lambda n: " ".join("w%d" % rng.randrange(3000) for _ in range(n))
+    legal = "All rights reserved by the owners of this very fine site and its friends"
+    story, card = [text(60) for _ in range(12)], [text(12) for _ in range(12)]
+    page = "<div>{}</div><article class='card'><p>{}</p></article><div>{}</div>"
+    rows = [(i, f"https://a.example.com/{i}", page.format(story[i], card[i], legal)) for i in range(12)]
+    rows.append((20, "https://a.example.com/20", f"<article><p>{text(30)}</p></article><div>{card[3]}</div><div>{legal}</div>"))
+    df = spark.createDataFrame(rows + [(21, "https://a.example.com/21", "")], "page_id long, url string, html string")
+    for shard in (G.SHARD_CHARS, 1000):
+        got = {r.page_id: r.text for r in G.extract(df, shard_chars=shard).collect()}
+        assert {i: got[i].split("\n") for i in range(12)} == {i: [story[i], card[i]] for i in range(12)}
+        assert got[20] == G.blocks_of(rows[-1][2])[0][1]  # a copy of another page's card goes from a plain block
