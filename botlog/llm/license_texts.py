@@ -1,6 +1,7 @@
 """Reference texts for the licence lookup (fixed values): short licences and
 the usual one-line notices. Copyright lines are left out, as matching ignores
-them. A larger collection is passed to the operator as a table."""
+them. Digests of long texts are in ``license_digests``; a larger collection is
+passed to the operator as a table."""
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -74,3 +75,6 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "Released under the MIT License."),
 )
+
+#: Of these, the one-line notices: they name a licence and are not its text.
+NOTICES = frozenset(t for _, t in KNOWN if "\n" not in t)

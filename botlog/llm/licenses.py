@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlog.llm import common
-from botlog.llm.license_texts import KNOWN
+from botlog.llm.license_digests import FULL
+from botlog.llm.license_texts import KNOWN, NOTICES
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines that name an owner: they differ from copy to copy.
@@ -50,21 +51,30 @@ def digest(text: Column) -> Column:
 
 
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    """Short licences and notices; kind says which."""
+    return spark.createDataFrame([(i, t, "notice" if t in NOTICES else "text") for i, t in KNOWN], "license_id string, text string, kind string")
+
+
+def full_table(spark: SparkSession) -> DataFrame:
+    """Digests of the full texts of common licences."""
+    return spark.createDataFrame(list(FULL), "license_id string, k_digest string")
 
 
 def license_lookup(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, license_id) for each row of ``docs``; license_id is null
     where no known licence has the digest.
 
-    ``known`` has license_id and text; of licences with equal digests the
+    ``known`` has license_id and text, by default the short licences and
+    notices and with them the digests of common full texts; of licences with equal digests the
     smallest license_id counts, and known texts that are empty in canonical
     form match nothing (so null, empty and punctuation-only texts never do).
     Null and repeated ids are answered like any other; columns besides id and
     text are not read; an empty table gives no rows."""
-    known = known_table(docs.sparkSession) if known is None else known
-    k = (known.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("k_digest"))
-         .agg(F.min("license_id").alias("license_id")))
+    texts = known_table(docs.sparkSession) if known is None else known
+    k = texts.where(canonical(F.col("text")) != "").select("license_id", digest(F.col("text")).alias("k_digest"))
+    if known is None:
+        k = k.union(full_table(docs.sparkSession))
+    k = k.groupBy("k_digest").agg(F.min("license_id").alias("license_id"))
     own = docs.select(F.col(id_col).alias(id_col), digest(F.col(text_col)).alias("digest"))
     return own.join(k, F.col("digest") == F.col("k_digest"), "left").select(id_col, "digest", "license_id")
 
