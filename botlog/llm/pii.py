@@ -6,12 +6,17 @@ may give it away: with n(t) occurrences of the term in the corpus, n(e) of
 the entity, n(t, e) of the term near the entity and N words in all, the term
 reveals the entity by its pointwise mutual information
 log2(n(t, e) N / (n(t) n(e))) and by p(e | t) = n(t, e) / n(t). Terms beyond
-both disclosure thresholds are sanitised wherever they stand near the entity:
-p(e | t) from ``REMOVE`` on removes them, below it they are generalised.
+both disclosure thresholds are sanitised wherever they stand, near the entity
+or in texts that do not name it: p(e | t) from ``REMOVE`` on removes them,
+below it they are generalised. Runs with digits (account numbers, user names,
+postcodes) are terms too.
 
 Counts come from the whole corpus. Words are counted by 64-bit hash within
 every partition first, so the shuffle carries few rows per word; only
 terms near entities, a number bounded by the entities' windows, are joined.
+A second pass over the texts finds all other occurrences of the flagged terms:
+a bitmap of their hashes, of fixed size, is broadcast and lets candidates
+through, which are joined to the terms by hash.
 """
 
 from __future__ import annotations
@@ -44,7 +49,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]", re.A)
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A)
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W_]{3,}")
+#: Bits of the map of flagged terms, as a power of two.
+MAP_BITS = 26
 
 
 def luhn(digits: str) -> bool:
@@ -100,11 +107,8 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode()) - (1 << 63)
 
 
-def _near_terms(text: str, spans, window: int):
-    """(term hash, entity hash, start, end) of the words nearest to each span
-    among those that touch no span."""
-    if not spans:
-        return []
+def _free_words(text: str, spans) -> list[tuple[int, int]]:
+    """(start, end) of the words that touch no span."""
     merged: list[list[int]] = []
     for s, e in sorted((s, e) for _, s, e in spans):
         if merged and s < merged[-1][1]:
@@ -117,6 +121,15 @@ def _near_terms(text: str, spans, window: int):
             k += 1
         if k == len(merged) or m.end() <= merged[k][0]:
             words.append((m.start(), m.end()))
+    return words
+
+
+def _near_terms(text: str, spans, window: int):
+    """(term hash, entity hash, start, end) of the words nearest to each span
+    among those that touch no span."""
+    if not spans:
+        return []
+    words = _free_words(text, spans)
     out = []
     for kind, start, end in spans:
         e = _hash(entity(kind, text[start:end]))
@@ -126,7 +139,7 @@ def _near_terms(text: str, spans, window: int):
 
 
 _SCANNED = ("row long, id long, n array<long>, base string, spans array<struct<kind:int,start:int,end:int>>, "
-            "near array<struct<term:long,entity:long,start:int,end:int>>, words array<struct<word:long,n:long>>")
+            "near array<struct<term:long,entity:long,start:int,end:int>>, t string, words array<struct<word:long,n:long>>")
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -136,7 +149,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     near = pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
     word = pa.struct([("word", pa.int64()), ("n", pa.int64())])
     schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.list_(pa.int64())), ("base", pa.string()),
-                        ("spans", pa.list_(span)), ("near", pa.list_(near)), ("words", pa.list_(word))])
+                        ("spans", pa.list_(span)), ("near", pa.list_(near)), ("t", pa.string()),
+                        ("words", pa.list_(word))])
 
     def counted(seen: dict[str, int]) -> pa.RecordBatch:
         words = np.array([_hash(w) for w in seen], np.int64)
@@ -156,7 +170,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
                         r, i, [sum(k == s[0] for s in spans) for k in range(4)],
                         ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans),
                         [{"kind": k, "start": s, "end": e} for k, s, e in spans],
-                        [dict(zip(("term", "entity", "start", "end"), x)) for x in _near_terms(t, spans, window)], None)):
+                        [dict(zip(("term", "entity", "start", "end"), x)) for x in _near_terms(t, spans, window)], t, None)):
                     rows[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], schema.field(c).type) for c in schema.names], schema=schema)
             if len(seen) > 400_000:  # bounds the worker; counts are added up later
@@ -169,13 +183,43 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     return narrow.mapInArrow(run, _SCANNED)
 
 
+def _occurrences(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(row, start, end, action) of every occurrence of a flagged term outside base spans."""
+    spark = rows.sparkSession
+    place = F.col("term").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    parts = (flagged.select(F.shiftright(place, 3).cast("int").alias("at"), F.expr("shiftleft(1, cast(term & 7 as int))").alias("b"))
+             .groupBy("at").agg(F.bit_or("b").cast("int").alias("b")).toArrow())
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    bits[parts["at"].to_numpy()] = parts["b"].to_numpy()
+    held = spark.sparkContext.broadcast(bits)
+
+    def run(batches):
+        seen = held.value
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for r, spans, t in zip(*(b.column(c).to_pylist() for c in ("row", "spans", "t"))):
+                for s, e in _free_words(t, [(x["kind"], x["start"], x["end"]) for x in spans]):
+                    h = _hash(t[s:e].lower())
+                    if seen[(h & ((1 << MAP_BITS) - 1)) >> 3] >> (h & 7) & 1:
+                        for c, v in zip(out, (r, h, s, e)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                                             names=["row", "term", "start", "end"])
+
+    found = rows.select("row", "spans", "t").mapInArrow(run, "row long, term long, start int, end int")
+    return found.join(flagged, "term").select("row", "start", "end", "action")
+
+
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    least_bits: float = LEAST_BITS, least_share: float = LEAST_SHARE,
                    least_together: int = LEAST_TOGETHER, remove: float = REMOVE) -> DataFrame:
-    """(id, n, base, spans) for each row of ``docs``: n counts base spans by
-    kind, base lists them as kind:start:end by kind and start, and spans is
-    the array of (kind, start, end, action) with the terms that the method
-    adds (kind 4); action is "remove" or "generalise".
+    """(id, n, base, spans, elsewhere) for each row of ``docs``: n counts base
+    spans by kind, base lists them as kind:start:end by kind and start, and
+    spans is the array of (kind, start, end, action) with the terms that the
+    method adds near their entity (kind 4); action is "remove" or
+    "generalise". elsewhere lists, in the same form, every further occurrence
+    of a flagged term with the strongest action of the term for any entity,
+    and those of spans for which that is stronger; both are to be sanitised.
 
     Null and empty texts have no spans. Rows with null or repeated ids are
     counted and answered like any other. Other columns are not read. An empty
@@ -192,24 +236,28 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  .groupBy("entity").agg(F.count("*").alias("n_e")))
     together = near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= least_together)
     share = F.col("n_te") / F.col("n_t")
-    flagged = (together.join(of_word, "term").join(of_entity, "entity")
+    flagged = common.written(together.join(of_word, "term").join(of_entity, "entity")
                .where((F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) >= least_bits) & (share >= least_share))
-               .select("term", "entity", F.when(share >= remove, "remove").otherwise("generalise").alias("action")))
+               .select("term", "entity", F.when(share >= remove, "remove").otherwise("generalise").alias("action")), "pii-flagged")
     # Hot entities are split by the term; what is left is bounded by the spans of a row.
     terms = (near.join(flagged, ["term", "entity"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
              .groupBy(F.col("row").alias("_row"))
              .agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "action"))).alias("terms")))
+    anywhere = (_occurrences(rows, flagged.groupBy("term").agg(F.max("action").alias("action"))).groupBy(F.col("row").alias("_at"))
+                .agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "action"))).alias("all")))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,action:string>>")
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                                                    F.lit("remove").alias("action")))
     return (rows.select("row", "id", "n", "base", "spans").join(terms, F.col("row") == F.col("_row"), "left")
-            .select(F.col("id").alias(id_col), "n", "base", F.concat(base, F.coalesce("terms", F.array().cast(
-                "array<struct<kind:int,start:int,end:int,action:string>>"))).alias("spans")))
+            .join(anywhere, F.col("row") == F.col("_at"), "left")
+            .select(F.col("id").alias(id_col), "n", "base", F.concat(base, F.coalesce("terms", none)).alias("spans"),
+                    F.array_except(F.coalesce("all", none), F.coalesce("terms", none)).alias("elsewhere")))
 
 
 def sanitise(text: str, spans) -> str:
-    """``text`` with removed spans as [kind] and generalised ones as [word]."""
+    """``text`` with removed spans as [kind] and generalised ones as [word]; of equal spans the stronger action counts."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"], s["action"] != "remove")):
         if s["start"] >= at:
             out += [text[at:s["start"]], "[word]" if s["action"] == "generalise" else f"[{KINDS[s['kind']]}]"]
             at = s["end"]
@@ -220,10 +268,11 @@ def sanitise(text: str, spans) -> str:
 
 @common.query
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in all documents: base spans and disclosing terms."""
+    """Personal data in all documents: base spans, disclosing terms near their entities and all over the corpus."""
     found = personal_spans(common.table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, KINDS))
-    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
         ":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
     return found.select("doc_id", *[F.col("n")[k].alias(f"n_{KINDS[k]}") for k in range(4)],
-                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"),
+                        listed("elsewhere").alias("elsewhere"))

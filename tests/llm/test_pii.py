@@ -98,3 +98,20 @@ def test_query_against_brute_force(spark):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert got[i].spans == ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e, _ in spans)
     assert any(r.n_email for r in got.values())
+
+
+def test_flagged_terms_go_wherever_they_stand(docs_of):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(500)]
+    fill = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, fill(40)) for i in range(100)]
+    rows += [(200 + i, f"{fill(9)} quimby account ZX48213 of q@corp.example.com {fill(9)}") for i in range(6)]
+    rows += [(300, "Quimby called"), (301, f"{fill(3)} zx48213 {fill(3)} far@x.example.org {fill(9)}"), (302, "quimbys ZX482130"), (302, None)]
+    got = {r.doc_id: r for r in P.personal_spans(docs_of(rows)).collect()}
+    texts = dict(rows)
+    cut = lambda i: {texts[i][s.start:s.end] for s in got[i].elsewhere}
+    assert cut(300) == {"Quimby"} and not got[300].spans and P.sanitise(texts[300], got[300].elsewhere) == "[word] called"
+    assert "zx48213" in cut(301) | {texts[301][s.start:s.end] for s in got[301].spans if s.kind == 4}
+    assert "zx48213" not in P.sanitise(texts[301], got[301].spans + got[301].elsewhere)
+    assert got[302].elsewhere == [] and all(r.elsewhere == [] for i, r in got.items() if i < 100 or 200 <= i < 300)
+    assert all("ZX48213" not in P.sanitise(texts[200 + i], got[200 + i].spans) for i in range(6))
