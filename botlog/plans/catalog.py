@@ -626,4 +626,4 @@ def _hybrid_detection(spark, sf):
 
 @query("rf_cross_validation")
 def _rf_cross_validation(spark, sf):
-    return jobs.cross_validate(_features(spark, sf), folds=3, n_trees=20)
+    return jobs.cross_validate(_features(spark, sf))

@@ -135,3 +135,12 @@ def test_cross_validation_covers_every_row_once(spark):
     n = f.count()
     assert sum(r.n_test for r in rows) == n and all(r.n_train + r.n_test == n for r in rows)
     assert all(0 <= v <= 1 for r in rows for v in (r.precision, r.recall, r.f1))
+
+
+def test_cross_validation_query_takes_the_defaults(spark, monkeypatch):
+    """The registered metrics are of the forest that rf_fit trains, over the operator's own folds."""
+    asked = []
+    monkeypatch.setattr(catalog, "_features", lambda spark, sf: "features")
+    monkeypatch.setattr(catalog.jobs, "cross_validate", lambda *a, **k: asked.append((a, k)))
+    catalog._rf_cross_validation(spark, "sf")
+    assert asked == [(("features",), {})]
