@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 # ignored); referrer and user agent need at least one character.
 LOG_PATTERN = r'(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\S+) "([^"]+)" "([^"]+)"'
 RAW_FIELDS = ("ip", "datetime", "method", "path", "protocol", "status", "size", "referrer", "user_agent")
-# Apache time stamp, e.g. 25/Nov/2025:06:31:10 +1100; one-digit days and hours
-# and offsets written +11:00 or Z are accepted too
-TIMESTAMP_FORMAT = "d/MMM/yyyy:H:mm:ss [XXX][XX]"
+# Apache time stamp, e.g. 25/Nov/2025:06:31:10 +1100; one-digit days, hours,
+# minutes and seconds and offsets written +11:00 or Z are accepted too. The
+# pattern asks for exactly one offset, which the format alone cannot.
+TIMESTAMP_FORMAT = "d/MMM/yyyy:H:m:s [XXX][XX]"
+TIMESTAMP_PATTERN = r"^[0-9]{1,2}/[A-Za-z]{3}/[0-9]{4}:[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2} ([+-][0-9]{2}:?[0-9]{2}|Z)$"
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Strings a CSV round trip of the parsed log turns into missing values
 # (the default missing-value tokens of the CSV reader the reference uses).
@@ -70,7 +72,7 @@ def field_array_rows(value: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """Apache time stamp -> instant (TimestampType); bad text -> null."""
-    return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
+    return F.when(text.rlike(TIMESTAMP_PATTERN), F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT)))
 
 
 def tz_offset(text: Column) -> Column:

@@ -107,11 +107,27 @@ def write_scores(scores: DataFrame, path: str, fmt: str = "parquet", mode: str =
         w.parquet(path)
 
 
+#: Types of the columns that score and prediction tables are written with.
+_LONG_SCORES = ("total_requests", "unique_paths", "max_requests_per_minute")
+_INT_SCORES = ("ua_bot_flag", "is_anomaly", "predicted_bot", "is_test")
+_DOUBLE_SCORES = ("error_rate_4xx", "rate_5xx", "rate_3xx", "login_api_ratio", "avg_requests_per_minute",
+                  "mean_interval_sec", "std_interval_sec", "path_entropy", "repeated_path_ratio", "burstiness",
+                  "score_samples", "anomaly_score", "bot_probability")
+
+
+def score_schema(columns) -> T.StructType:
+    """Schema of a score table with these columns, in this order; a column
+    that no score table is written with is read as text."""
+    known = ({c: T.LongType() for c in _LONG_SCORES} | {c: T.IntegerType() for c in _INT_SCORES}
+             | {c: T.DoubleType() for c in _DOUBLE_SCORES})
+    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in columns])
+
+
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Score table written by :func:`write_scores`. A CSV carries no types,
-    so it needs the table's ``schema``; nothing is inferred."""
+    """Score table written by :func:`write_scores`. A CSV carries no types:
+    without ``schema`` the header's columns get the types of
+    :func:`score_schema`; no values are read to guess them."""
     if fmt == "csv":
-        if schema is None:
-            raise ValueError("a CSV score table needs its schema")
-        return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+        reader = spark.read.option("header", True).option("escape", '"')
+        return reader.schema(schema or score_schema(reader.csv(path).columns)).csv(path)
     return spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)

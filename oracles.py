@@ -27,6 +27,9 @@ EDGE_LINES = (
     '10.9.0.1 - - [05/Jan/2024:17:31:12 +11:00] "GET /b HTTP/1.1" 200 12d "-" "Edge/1.0"',
     '10.9.0.1 - - [yesterday] "GET /b HTTP/1.1" 500 7.9 "-" "Edge/1.0"',
     '10.9.0.2 - - [05/Jan/2024:06:31:10 +0000] "GET /c HTTP/1.1" 200 .5 "-" "Edge/1.0"',
+    '10.9.0.3 - - [5/Jan/2024:6:3:1 +0000] "GET /c HTTP/1.1" 200 1 "-" "Edge/1.0"',
+    '10.9.0.3 - - [05/Jan/2024:06:31:10 ] "GET /d HTTP/1.1" 200 1 "-" "Edge/1.0"',
+    '10.9.0.3 - - [05/Jan/2024:06:31:10 +11:00+1100] "GET /d HTTP/1.1" 200 1 "-" "Edge/1.0"',
 )
 
 DRILLDOWN_IP = "10.0.0.10"

@@ -81,12 +81,15 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("key", ["roc_auc", "roc_curve", "contamination_sweep", "contamination_cut",
                                  "best_contamination", "drilldown_candidates"])
-def test_multi_bucket_path_matches_oracle(spark, con, key, monkeypatch):
+def test_multi_bucket_path_matches_oracle(spark, con, key):
     """The same keys with ~10 distinct values per bucket, so the bucketed
-    prefix sums (quantile cuts, per-bucket windows, broadcast offsets) run."""
-    from botlog.operators import ranking
-    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 10)
-    got = E.queries()[key](spark, "/root/testdata/sf0.01").toPandas()
+    prefix sums (range borders, per-bucket windows, bucket offsets) run."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = E.queries()[key](spark, "/root/testdata/sf0.01").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     exp = duckdb_sf01(key)
     assert _rows(got) == _rows(exp)
 

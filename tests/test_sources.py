@@ -45,6 +45,8 @@ def test_scores_sink_puts_ip_first(spark, tmp_path):
         write_scores(s, out, fmt=fmt)
         back = read_scores(spark, out, fmt=fmt)
         assert back.columns[0] == "ip" and back.count() == 1
+        assert dict(back.dtypes) == {"ip": "string", "anomaly_score": "double", "is_anomaly": "int"}
+        assert tuple(back.first()) == ("a", 0.1, 1)
 
 
 def test_ingest_then_features(spark, tmp_path):
