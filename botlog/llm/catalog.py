@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from botlog.llm import bpe, common, katz, langid, licenses, pages, pii, secrets, simhash, tiling, toxicity, vectors, whitening  # noqa: F401  importing a module registers its query
+from botlog.llm import bpe, common, dialogs, katz, langid, licenses, pages, pii, secrets, simhash, tiling, toxicity, vectors, whitening  # noqa: F401  importing a module registers its query
 
 
 def all_queries():
