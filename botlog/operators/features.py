@@ -73,7 +73,8 @@ def with_ua_category(requests: DataFrame) -> DataFrame:
     return requests.withColumn("ua_category", traits.ua_category(F.col("user_agent")))
 
 
-def _traits(requests: DataFrame) -> DataFrame:
+def request_traits(requests: DataFrame) -> DataFrame:
+    """What the aggregates need of every request with an address."""
     s, p = F.col("status"), F.col("path")
     return requests.filter(F.col("ip").isNotNull()).select(
         "ip",
@@ -98,21 +99,23 @@ def requests_per_minute(requests: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("req_count")))
 
 
-def _minute_groups(t: DataFrame, with_seconds: bool) -> DataFrame:
-    """One row per (ip, minute): request count ``c`` and, for intervals, the
-    first and last second used and the sum of squared gaps between
-    consecutive distinct seconds inside the minute.
-
-    The distinct seconds of a minute are kept as a 60-bit mask built with
-    ``bit_or``, a fixed-width buffer, so the partial aggregation over the raw
-    rows is a plain codegen'd hash aggregate."""
+def minute_masks(t: DataFrame, by=("ip", "minute"), with_seconds: bool = True) -> DataFrame:
+    """(ip, minute, c, mask) from traits rows: requests of an address in a
+    minute and its distinct seconds as a 60-bit mask built with ``bit_or``, a
+    fixed-width buffer, so the partial aggregation over the raw rows is a plain
+    codegen'd hash aggregate. Counts add and masks unite, so these rows merge
+    under any split of the requests."""
     t = t.filter(F.col("ts").isNotNull()).withColumn("minute", F.col("ts") - F.pmod(F.col("ts"), F.lit(60)))
     aggs = [F.count(F.lit(1)).alias("c")]
     if with_seconds:
         aggs.append(F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), CAST(ts - minute AS INT))")).alias("mask"))
-    g = t.groupBy("ip", "minute").agg(*aggs)
-    if not with_seconds:
-        return g
+    return t.groupBy(*by).agg(*aggs)
+
+
+def minute_runs(g: DataFrame, *keep: str) -> DataFrame:
+    """(ip, ``keep``, minute, c, first, last, sq) of :func:`minute_masks` rows: the first
+    and last second used and the sum of squared gaps between consecutive
+    distinct seconds inside the minute."""
     mask = F.col("mask")
     low = mask.bitwiseAND(-mask)                    # lowest set bit
     first_off = F.bit_count(low - 1)                # its index
@@ -123,30 +126,41 @@ def _minute_groups(t: DataFrame, with_seconds: bool) -> DataFrame:
     inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
     sq = F.aggregate(inner, F.lit(0).cast("long"),
                      lambda acc, r: acc + (F.length(r) + 1).cast("long") * (F.length(r) + 1).cast("long"))
-    return g.select("ip", "minute", "c",
+    return g.select("ip", *keep, "minute", "c",
                     (F.col("minute") + first_off).alias("first"),
                     (F.col("minute") + last_off).alias("last"),
                     sq.alias("sq"))
 
 
-def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:
-    g = _minute_groups(t, with_intervals)
-    aggs = [F.sum("c").alias("n_ts"), F.count(F.lit(1)).alias("n_min"), F.max("c").alias("max_rpm")]
-    if with_intervals:
-        w = Window.partitionBy("ip").orderBy("minute")
-        g = g.withColumn("bgap", F.col("first") - F.lag("last").over(w))
-        # Gaps of centuries fit: squares and their sum are decimals, not longs.
-        gap = F.col("bgap").cast("decimal(18,0)")
-        aggs += [F.min("first").alias("t_first"), F.max("last").alias("t_last"),
-                 (F.sum(F.col("sq").cast("decimal(28,0)")) + F.coalesce(F.sum((gap * gap).cast("decimal(28,0)")), F.lit(0)))
-                 .cast("decimal(38,0)").alias("ssq")]
-    stats = g.groupBy("ip").agg(*aggs)
+def merge_runs(runs: DataFrame, by=("ip",)) -> DataFrame:
+    """One run for each ``by`` group. A run is a stretch of an address's time
+    that no other run of it overlaps: ``first`` and ``last`` second, ``n_ts``
+    requests in ``n_min`` minutes, ``max_rpm`` in the busiest, ``ssq`` the sum
+    of squared gaps inside. Runs merge into runs (the gaps between them are
+    added), so minutes, days and whole histories are merged alike."""
+    w = Window.partitionBy(*by).orderBy("first")
+    # Gaps of centuries fit: squares and their sum are decimals, not longs.
+    gap = (F.col("first") - F.lag("last").over(w)).cast("decimal(18,0)")
+    return (runs.withColumn("gap2", (gap * gap).cast("decimal(28,0)")).groupBy(*by)
+            .agg(F.sum("n_ts").alias("n_ts"), F.sum("n_min").alias("n_min"), F.max("max_rpm").alias("max_rpm"),
+                 F.min("first").alias("first"), F.max("last").alias("last"),
+                 (F.sum(F.col("ssq").cast("decimal(28,0)")) + F.coalesce(F.sum("gap2"), F.lit(0))).cast("decimal(38,0)").alias("ssq")))
+
+
+def runs_of_minutes(g: DataFrame, *keep: str) -> DataFrame:
+    """The runs of :func:`minute_masks` rows, one for each minute."""
+    return minute_runs(g, *keep).select("ip", *keep, "first", "last", F.col("c").alias("n_ts"), F.lit(1).cast("long").alias("n_min"),
+                            F.col("c").alias("max_rpm"), F.col("sq").cast("decimal(38,0)").alias("ssq"))
+
+
+def run_stats(stats: DataFrame, with_intervals: bool = True) -> DataFrame:
+    """Rates and intervals of addresses from their merged runs."""
     out = [F.col("ip"),
            (F.col("n_ts") / F.col("n_min")).alias("avg_requests_per_minute"),
            F.col("max_rpm").alias("max_requests_per_minute")]
     if with_intervals:
-        m = F.col("n_ts") - 1                      # number of intervals
-        span = F.col("t_last") - F.col("t_first")  # sum of intervals
+        m = F.col("n_ts") - 1                # number of intervals
+        span = F.col("last") - F.col("first")  # sum of intervals
         # m * sum(d^2) - (sum d)^2 exactly in decimal, then to double
         num = (m.cast("decimal(38,0)") * F.col("ssq")
                - span.cast("decimal(38,0)") * span.cast("decimal(38,0)")).cast("double")
@@ -156,16 +170,24 @@ def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:
     return stats.select(*out)
 
 
+def _minute_stats(t: DataFrame, with_intervals: bool) -> DataFrame:
+    if with_intervals:
+        return run_stats(merge_runs(runs_of_minutes(minute_masks(t))))
+    g = minute_masks(t, with_seconds=False)
+    return run_stats(g.groupBy("ip").agg(F.sum("c").alias("n_ts"), F.count(F.lit(1)).alias("n_min"), F.max("c").alias("max_rpm")),
+                     with_intervals=False)
+
+
 def ip_rpm_stats(requests: DataFrame) -> DataFrame:
     """(ip, avg_requests_per_minute, max_requests_per_minute) over the
     minutes in which the address made requests."""
-    return _minute_stats(_traits(requests), with_intervals=False)
+    return _minute_stats(request_traits(requests), with_intervals=False)
 
 
 def ip_interval_stats(requests: DataFrame) -> DataFrame:
     """(ip, mean_interval_sec, std_interval_sec); null when an address has
     fewer than two (mean) or three (sample std) time-stamped requests."""
-    return _minute_stats(_traits(requests), with_intervals=True).select(
+    return _minute_stats(request_traits(requests), with_intervals=True).select(
         "ip", "mean_interval_sec", "std_interval_sec")
 
 
@@ -200,11 +222,17 @@ def ip_intervals(requests: DataFrame) -> DataFrame:
 # Chain P: (ip, path) -> ip
 # --------------------------------------------------------------------------
 
-def _path_stats(t: DataFrame, with_v2: bool) -> DataFrame:
+def path_groups(t: DataFrame, with_v2: bool = True, by=("ip", "path")) -> DataFrame:
+    """(ip, path, c, n4, ua, n5, n3, nl) from traits rows: sums and a maximum,
+    which merge under any split of the requests."""
     aggs = [F.count(F.lit(1)).alias("c"), F.sum("n4").alias("n4"), F.max("ua").alias("ua")]
     if with_v2:
         aggs += [F.sum("n5").alias("n5"), F.sum("n3").alias("n3"), F.sum("nl").alias("nl")]
-    per_path = t.groupBy("ip", "path").agg(*aggs)
+    return t.groupBy(*by).agg(*aggs)
+
+
+def path_totals(per_path: DataFrame, with_v2: bool = True) -> DataFrame:
+    """Per-address counts, rates and path entropy from one row per (ip, path)."""
     has_path = F.col("path").isNotNull()
     c = F.col("c")
     aggs2 = [F.sum(c).alias("total_requests"),
@@ -229,10 +257,14 @@ def _path_stats(t: DataFrame, with_v2: bool) -> DataFrame:
     return per_ip.select(*out)
 
 
+def _path_stats(t: DataFrame, with_v2: bool) -> DataFrame:
+    return path_totals(path_groups(t, with_v2), with_v2)
+
+
 def ip_path_entropy(requests: DataFrame) -> DataFrame:
     """(ip, path_entropy): natural-log Shannon entropy of an address's path
     frequencies (null paths not counted; none -> 0)."""
-    return _path_stats(_traits(requests), with_v2=True).select("ip", "path_entropy")
+    return _path_stats(request_traits(requests), with_v2=True).select("ip", "path_entropy")
 
 
 # --------------------------------------------------------------------------
@@ -267,7 +299,7 @@ def session_depth(requests: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -
     one task."""
     if gap_seconds < 60:
         raise ValueError("gap_seconds must be 60 or more: sessions are cut between minutes")
-    g = _minute_groups(_traits(requests), with_seconds=True)
+    g = minute_runs(minute_masks(request_traits(requests)))
     w = Window.partitionBy("ip").orderBy("minute")
     new = F.coalesce(F.col("first") - F.lag("last").over(w) > gap_seconds, F.lit(True))
     per = (g.withColumn("_new", new.cast("long")).withColumn("session", F.sum("_new").over(w))
@@ -283,7 +315,7 @@ def session_depth(requests: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -
 def ip_features_v1(requests: DataFrame) -> DataFrame:
     """ip, total_requests, unique_paths, error_rate_4xx, ua_bot_flag,
     avg_requests_per_minute, max_requests_per_minute, repeated_path_ratio."""
-    t = _traits(requests)
+    t = request_traits(requests)
     p = _path_stats(t, with_v2=False)
     m = _minute_stats(t, with_intervals=False)
     j = p.join(m, "ip", "left")
@@ -298,9 +330,12 @@ def ip_features_v1(requests: DataFrame) -> DataFrame:
 def ip_features_v2(requests: DataFrame) -> DataFrame:
     """v1 plus rate_5xx, rate_3xx, login_api_ratio, mean_interval_sec,
     std_interval_sec, path_entropy and burstiness (missing values -> 0)."""
-    t = _traits(requests)
-    p = _path_stats(t, with_v2=True)
-    m = _minute_stats(t, with_intervals=True)
+    t = request_traits(requests)
+    return join_v2(_path_stats(t, with_v2=True), _minute_stats(t, with_intervals=True))
+
+
+def join_v2(p: DataFrame, m: DataFrame) -> DataFrame:
+    """The v2 feature table of :func:`path_totals` and :func:`run_stats`."""
     j = p.join(m, "ip", "left")
     z = F.lit(0.0)
     avg_rpm = F.coalesce(F.col("avg_requests_per_minute"), z)

@@ -56,6 +56,25 @@ def stratified_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "i
     return x.withColumn("is_test", cond.cast("int")).drop("_h")
 
 
+def threshold_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "ip",
+                    test_fraction: float | dict = 0.3, seed: int = 42) -> DataFrame:
+    """Adds ``is_test`` (int) by a threshold on ``hash52(id, seed)`` alone:
+    no count, no order statistics and no shuffle, so a row's side is known
+    where it is read and never changes as the table grows. ``test_fraction`` is
+    one share or a share by class (classes not named: 0). Each class gets its
+    share up to chance: of n rows, the number of test rows is binomial."""
+    def cut(share: float):
+        return F.lit(int(share * 2 ** 52)).cast("long")
+
+    below = cut(0.0)
+    if isinstance(test_fraction, dict):
+        for cls, share in test_fraction.items():
+            below = F.when(F.col(label).eqNullSafe(F.lit(cls)), cut(share)).otherwise(below)
+    else:
+        below = cut(test_fraction)
+    return df.withColumn("is_test", F.coalesce(hash52(id_col, seed) < below, F.lit(False)).cast("int"))
+
+
 def balanced_weights(train: DataFrame, label: str = "ua_bot_flag") -> dict:
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     total = sum(counts.values())

@@ -1,12 +1,11 @@
 """Isolation forest (Liu, Ting and Zhou, ICDM 2008) as Spark jobs.
 
 fit
-  1. Sample: tree t takes the ``psi`` rows with the smallest
-     ``xxhash64(id, t, seed)`` (sampling without replacement, independent of
-     partitioning). Rows are first thinned by a hash threshold sized for
-     about ``4 * psi`` candidates per tree, so only O(trees * psi) rows are
-     exploded, whatever the table size; the exact smallest-hash rule is then
-     applied with a window over (tree) on those few rows.
+  1. Sample: tree t takes the ``psi`` rows with the smallest md5 hash of id,
+     seed and tree (sampling without replacement, independent of partitioning,
+     and computable by any engine). Each task keeps the ``psi`` smallest of
+     every tree in a bounded buffer; the buffers of all tasks merge by the
+     same rule.
   2. Grow: ``groupBy(tree).applyInPandas`` builds each tree from its
      ``psi`` rows (sorted by hash, numpy generator seeded by (seed, tree)):
      random non-constant feature, uniform threshold between its min and max,
@@ -26,11 +25,13 @@ cut
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,56 +159,95 @@ class IsolationForestModel:
         return df.withColumn(output, _score(*[F.col(c).cast("double") for c in self.features]))
 
 
-def _sample(df: DataFrame, id_col: str, features: list[str], n_trees: int, psi: int, seed: int,
-            frac: float) -> DataFrame:
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(id_col), t, F.lit(seed)).alias("h")))
-    if frac < 1.0:
-        # keep hashes in the lowest `frac` of the signed 64-bit range
-        cut = int(-(2 ** 63) + frac * (2 ** 64))
-        hashes = F.filter(hashes, lambda s: s["h"] < F.lit(cut))
-    x = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features], F.explode(hashes).alias("_s"))
-    x = x.select("_s.tree", "_s.h", id_col, *features)
+def tree_hashes(ids, n_trees: int, seed: int) -> np.ndarray:
+    """rows x trees: 52 bits of ``md5(id:seed:pair)``, where trees 2p and
+    2p + 1 take hexadecimal digits 1-13 and 14-26 of the digest of pair p."""
+    pairs = [f":{seed}:{p}".encode() for p in range((n_trees + 1) // 2)]
+    out = np.empty((len(ids), 2 * len(pairs)), dtype=np.int64)
+    for i, x in enumerate(ids):
+        start = hashlib.md5(str(x).encode())
+        for p, tail in enumerate(pairs):
+            h = start.copy()
+            h.update(tail)
+            v = int.from_bytes(h.digest()[:13], "big")
+            out[i, 2 * p], out[i, 2 * p + 1] = v >> 52, v & ((1 << 52) - 1)
+    return out[:, :n_trees]
+
+
+def bottom_k(df: DataFrame, id_col: str, features, n_trees: int, k: int, seed: int) -> DataFrame:
+    """(tree, h, id, features): for each tree the ``k`` rows with the smallest
+    hash (ties by id), all rows where there are fewer.
+
+    Every task keeps a buffer of k rows for each tree and drops what is beyond
+    it after each batch, so its state is trees x k rows however many rows it
+    reads, and at most that leaves the task. Buffers merge by the same rule (a
+    rank that streams over sorted rows and stops at k); no count or threshold
+    is needed."""
+    features = list(features)
+    ship_package(df.sparkSession)
+    fields = [T.StructField("tree", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField(id_col, T.StringType()),
+              *[T.StructField(f, T.DoubleType()) for f in features]]
+
+    def run(batches):
+        # per tree: ascending hashes, and where their rows are among the kept ones
+        kept_ids, kept_x = np.empty(0, object), np.empty((0, len(features)))
+        buffers = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(n_trees)]
+        for b in batches:
+            ids = np.array(b.column(0).to_pylist(), object)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]) if features else np.empty((len(ids), 0))
+            hashes = tree_hashes(ids, n_trees, seed)
+            kept_ids, kept_x = np.concatenate([kept_ids, ids]), np.concatenate([kept_x, x])
+            base, used = len(kept_ids) - len(ids), np.zeros(len(kept_ids), bool)
+            for t, (h, rows) in enumerate(buffers):
+                new = np.arange(len(ids)) if len(h) < k else np.flatnonzero(hashes[:, t] <= h[-1])
+                if len(new):
+                    h, rows = np.concatenate([h, hashes[new, t]]), np.concatenate([rows, new + base])
+                    order = np.argsort(h, kind="stable")
+                    if (np.diff(h[order]) == 0).any():
+                        order = np.array(sorted(order, key=lambda i: (h[i], kept_ids[rows[i]].encode())))
+                    h, rows = h[order[:k]], rows[order[:k]]
+                    buffers[t] = (h, rows)
+                used[rows] = True
+            place = np.cumsum(used) - 1
+            kept_ids, kept_x = kept_ids[used], kept_x[used]
+            buffers = [(h, place[rows]) for h, rows in buffers]
+        for t, (h, rows) in enumerate(buffers):
+            if len(h):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), t), pa.int32()), pa.array(h), pa.array(kept_ids[rows], pa.string()),
+                     *[pa.array(kept_x[rows, j]) for j in range(len(features))]], names=[f.name for f in fields])
+
+    local = (df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double").alias(c) for c in features])
+             .filter(F.col(id_col).isNotNull()).mapInArrow(run, T.StructType(fields)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", id_col))
-    return x.withColumn("_r", rank).filter(F.col("_r") <= psi).drop("_r")
+    return local.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
 def fit_isolation_forest(df: DataFrame, features, id_col: str = "ip", n_trees: int = 100,
                          max_samples: int = 256, seed: int = 42) -> IsolationForestModel:
-    """Fit on the rows of ``df`` (one per entity, ``id_col`` unique).
-
-    ``df`` is read several times (count, sample); materialise it first
-    (checkpoint or a written table) when it is expensive to recompute."""
+    """Fit on the rows of ``df`` (one per entity, ``id_col`` unique and not
+    null), which is read once."""
     features = list(features)
-    ship_package(df.sparkSession)
-    n = df.count()
-    if n == 0:
+    schema_fields = list(NODE_SCHEMA.fields)
+    sample = bottom_k(df, id_col, features, n_trees, max_samples, seed)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf["tree"].iloc[0])
+        pdf = pdf.sort_values(["h", id_col])
+        X = pdf[features].to_numpy(dtype=np.float64)
+        rng = np.random.default_rng([seed, t])
+        rows = grow_tree(X, rng, int(math.ceil(math.log2(max(len(X), 2)))))
+        out = pd.DataFrame(rows, columns=[f.name for f in schema_fields[1:]])
+        out.insert(0, "tree", t)
+        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32",
+                           "right": "int32", "size": "int32", "depth": "int32"})
+
+    nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    if nodes.empty:
         raise ValueError("cannot fit an isolation forest on an empty table")
-    psi = min(max_samples, n)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, 4.0 * psi / n)
-    while True:
-        sample = _sample(df, id_col, features, n_trees, psi, seed, frac)
-        schema_fields = list(NODE_SCHEMA.fields)
-
-        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            t = int(pdf["tree"].iloc[0])
-            pdf = pdf.sort_values(["h", id_col])
-            X = pdf[features].to_numpy(dtype=np.float64)
-            rng = np.random.default_rng([seed, t])
-            rows = grow_tree(X, rng, max_depth)
-            out = pd.DataFrame(rows, columns=[f.name for f in schema_fields[1:]])
-            out.insert(0, "tree", t)
-            return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left": "int32",
-                               "right": "int32", "size": "int32", "depth": "int32"})
-
-        nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-        roots = nodes[nodes["node"] == 0]
-        if len(roots) == n_trees and (roots["size"] >= psi).all():
-            return IsolationForestModel(features, psi, n_trees, seed, nodes)
-        if frac >= 1.0:
-            raise RuntimeError("isolation forest sampling returned too few rows")
-        frac = min(1.0, frac * 4.0)
+    # every tree holds all rows or max_samples of them
+    psi = int(nodes.loc[nodes["node"] == 0, "size"].iloc[0])
+    return IsolationForestModel(features, psi, n_trees, seed, nodes)
 
 
 def score(model: IsolationForestModel, df: DataFrame, contamination: float = 0.05,

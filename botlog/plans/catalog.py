@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from botlog import sources
 from botlog.functions import logformat as lf
-from botlog.operators import evaluate, features, forest, marts, parse, reports, scaling
+from botlog.operators import daily, evaluate, features, forest, iforest, marts, parse, reports, scaling
 from botlog.operators.ranking import exact_percentiles
 from botlog.plans import jobs
 from botlog.session import ensure_utc, scratch_path
@@ -219,6 +219,34 @@ def _ip_features_v2(spark, sf):
     return finish(features.ip_features_v2(stored(spark, sf)))
 
 
+def daily_states(spark, sf) -> daily.FeatureStates:
+    """Daily states of the derived log, built from its date-partitioned store,
+    with the first day folded into a snapshot."""
+    path = scratch_path(spark, "requests-by-date")
+    sources.write_parsed_log(requests(spark, sf), path)
+    states = daily.FeatureStates(spark, scratch_path(spark, "states"))
+    states.write_days(sources.read_parsed_log(spark, path))
+    first = states.table("minutes").agg(F.min("day")).first()[0]
+    if first is not None:
+        states.compact(first)
+    return states
+
+
+@query("ip_features_v2_daily")
+def _ip_features_v2_daily(spark, sf):
+    """v2 features merged from a snapshot and daily states."""
+    return finish(daily_states(spark, sf).features())
+
+
+@query("approx_distinct_ips")
+def _approx_distinct_ips(spark, sf):
+    """Distinct addresses by day and of all days, from sketches kept per day."""
+    sketches = daily.address_sketches(requests_n(spark, sf))
+    by_day = sketches.select("day", F.hll_sketch_estimate("sketch").cast("long").alias("ips"))
+    return by_day.select(F.lit("day").alias("scope"), F.col("day").cast("string").alias("day"), "ips").unionByName(
+        daily.merge_sketches(sketches).select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("day"), "ips"))
+
+
 @query("resource_share")
 def _resource_share(spark, sf):
     return finish(features.resource_share(requests_n(spark, sf)))
@@ -251,6 +279,7 @@ def _time_bin_local(spark, sf):
 
 
 DRILLDOWN_IP = "10.0.0.10"
+IFOREST_SAMPLE = 64  # rows of a tree in the sample query: fewer than addresses, so that the rule decides
 LEVELS = (0.01, 0.02, 0.05, 0.10)
 
 
@@ -484,6 +513,12 @@ def _iforest_fit(spark, sf):
     return _iforest(spark, sf).model.node_table(spark)
 
 
+@query("iforest_sample")
+def _iforest_sample(spark, sf):
+    """The rows that each tree of the forest is grown on."""
+    return iforest.bottom_k(_features(spark, sf), "ip", [], n_trees=100, k=IFOREST_SAMPLE, seed=42).select("tree", "ip")
+
+
 @query("iforest_scores")
 def _iforest_scores(spark, sf):
     s = _iforest(spark, sf).scores
@@ -506,6 +541,13 @@ def _stratified_split(spark, sf):
     return forest.stratified_split(_features(spark, sf)).select("ip", "ua_bot_flag", "is_test")
 
 
+@query("stratified_split_threshold")
+def _stratified_split_threshold(spark, sf):
+    """The split by hash thresholds, a third of the bots and a fifth of the others."""
+    f = _features(spark, sf)
+    return forest.threshold_split(f, test_fraction={1: 1 / 3, 0: 0.2}).select("ip", "ua_bot_flag", "is_test")
+
+
 def _supervised(spark, sf):
     return jobs.supervised_job(_features(spark, sf))
 

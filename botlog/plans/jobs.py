@@ -15,12 +15,13 @@ raw-log scan and later stages read a compact table.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botlog.operators import evaluate, features, forest, iforest, marts, parse, scaling
+from botlog.operators import daily, evaluate, features, forest, iforest, marts, parse, scaling
 from botlog.session import checkpoint_root
 from botlog.sources.files import read_parsed_log, write_parsed_log
 
@@ -56,6 +57,22 @@ def feature_table(requests: DataFrame, version: int = 2, materialize: bool = Tru
     return f
 
 
+def update_features(spark: SparkSession, requests_path: str, states_root: str, day, fold: bool = True) -> DataFrame:
+    """The daily form of :func:`feature_table`: aggregates the requests of
+    ``day`` (a date) from the date-partitioned store, and returns the v2 features
+    of all history from the stored states, checkpointed. With ``fold`` the days
+    before ``day`` are folded into a snapshot, so the next update reads one row
+    per address and path of them."""
+    states = daily.FeatureStates(spark, states_root)
+    states.update_day(requests_path, day)
+    if fold:
+        before = day - dt.timedelta(days=1)
+        if before not in states.snapshots():
+            states.compact(before)
+    checkpoint_root(spark)
+    return states.features().checkpoint(eager=True)
+
+
 @dataclass
 class AnomalyResult:
     model: iforest.IsolationForestModel

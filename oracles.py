@@ -261,6 +261,14 @@ oracle("stratified_split", """
 k AS (SELECT ua_bot_flag, CAST(round_even(0.3 * COUNT(*), 0) AS BIGINT) AS n FROM h GROUP BY 1),
 o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ua_bot_flag ORDER BY h) AS r FROM h)
 SELECT ip, ua_bot_flag, CAST(r <= n AS INT) AS is_test FROM o JOIN k USING (ua_bot_flag)""")
+oracle("stratified_split_threshold", """
+SELECT ip, ua_bot_flag, CAST(CAST('0x' || md5(ip || ':42')[1:13] AS BIGINT)
+  < CAST(FLOOR((CASE WHEN ua_bot_flag = 1 THEN 1.0::DOUBLE / 3 ELSE 0.2::DOUBLE END) * 4503599627370496.0::DOUBLE) AS BIGINT) AS INT) AS is_test FROM f2""")
+oracle("iforest_sample", """
+, tr AS (SELECT CAST(UNNEST(RANGE(100)) AS INT) AS tree),
+h AS (SELECT tree, ip, md5(ip || ':42:' || CAST(tree // 2 AS VARCHAR))[(1 + 13 * (tree % 2)):(13 + 13 * (tree % 2))] AS h FROM base_ip, tr),
+o AS (SELECT tree, ip, ROW_NUMBER() OVER (PARTITION BY tree ORDER BY h, ip) AS r FROM h)
+SELECT tree, ip FROM o WHERE r <= 64""")
 oracle("ip_path_entropy", f"""
 SELECT b.ip, {_r('COALESCE(e.path_entropy, 0.0)')} AS path_entropy FROM base_ip b LEFT JOIN ent e USING (ip)""")
 _F1 = ("ip, total_requests, unique_paths, {e4}, ua_bot_flag, {avg}, max_requests_per_minute, {rpr}").format(
@@ -272,6 +280,10 @@ _F2_DOUBLES = ("error_rate_4xx", "rate_5xx", "rate_3xx", "login_api_ratio", "avg
 _F2 = "ip, total_requests, unique_paths, ua_bot_flag, max_requests_per_minute, " + ", ".join(
     f"{_r(c)} AS {c}" for c in _F2_DOUBLES)
 oracle("ip_features_v2", f"SELECT {_F2} FROM f2")
+oracle("ip_features_v2_daily", f"SELECT {_F2} FROM f2")
+oracle("approx_distinct_ips", """
+SELECT 'day' AS scope, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, COUNT(DISTINCT ip) AS ips FROM t GROUP BY 2
+UNION ALL SELECT 'all', NULL, COUNT(DISTINCT ip) FROM t""")
 
 # --- marts on the deterministic score --------------------------------------------
 _SUS = ("ip, total_requests, max_requests_per_minute, " + _r("error_rate_4xx") + " AS error_rate_4xx, "

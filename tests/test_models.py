@@ -144,3 +144,60 @@ def test_cross_validation_query_takes_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(catalog.jobs, "cross_validate", lambda *a, **k: asked.append((a, k)))
     catalog._rf_cross_validation(spark, "sf")
     assert asked == [(("features",), {})]
+
+
+def test_bottom_k_is_the_rule_in_any_partitioning(spark):
+    import hashlib
+    df = _blob(spark, 700, outlier=False)
+    ids = [r.ip for r in df.collect()]
+    want = set()
+    for t in range(7):
+        digest = {i: hashlib.md5(f"{i}:9:{t // 2}".encode()).hexdigest() for i in ids}
+        want |= {(t, i) for i in sorted(ids, key=lambda i: (digest[i][13 * (t % 2):13 * (t % 2) + 13], i))[:40]}
+    for parts in (1, 5, 64):
+        got = iforest.bottom_k(df.repartition(parts), "ip", ["x", "y"], 7, 40, 9)
+        rows = got.collect()
+        assert {(r.tree, r.ip) for r in rows} == want and len(rows) == 280
+    xs = {r.ip: (r.x, r.y) for r in df.collect()}
+    assert all((r.x, r.y) == xs[r.ip] for r in rows)
+    few = iforest.bottom_k(df.limit(30), "ip", ["x"], 3, 40, 9)
+    assert few.count() == 90 and iforest.bottom_k(df.limit(0), "ip", ["x"], 3, 40, 9).count() == 0
+
+
+def test_bottom_k_does_not_depend_on_batches(spark):
+    df = spark.createDataFrame([(f"ip{i:04d}", 1.0) for i in range(500)][::-1], "ip string, x double").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        real = {(r.tree, r.ip) for r in iforest.bottom_k(df, "ip", ["x"], 2, 20, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert real == {(r.tree, r.ip) for r in iforest.bottom_k(df, "ip", ["x"], 2, 20, 1).collect()}
+    h = iforest.tree_hashes(["a", "b"], 5, 3)
+    assert h.shape == (2, 5) and (h >= 0).all() and (h < 2 ** 52).all() and len(set(h.ravel().tolist())) == 10
+
+
+def test_a_task_hands_on_no_more_than_its_buffers(spark):
+    """What leaves the map side: at most trees x k rows a task, whatever it read."""
+    df = spark.range(20_000).select(F.concat(F.lit("10."), "id").alias("ip"), F.lit(1.0).alias("x")).repartition(3)
+    got = iforest.bottom_k(df, "ip", ["x"], 4, 16, 1)
+    assert got.count() == 64
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow")
+    assert got.columns == ["tree", "h", "ip", "x"]
+
+
+def test_threshold_split_is_map_side_and_binomial(spark):
+    n = 40_000
+    df = spark.range(n).select(F.concat(F.lit("ip"), "id").alias("ip"), (F.col("id") % 10 == 0).cast("int").alias("ua_bot_flag"))
+    sp = forest.threshold_split(df, test_fraction={1: 0.3, 0: 0.1})
+    plan = sp._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    for cls, share in ((1, 0.3), (0, 0.1)):
+        r = sp.where(F.col("ua_bot_flag") == cls).agg(F.count("*").alias("n"), F.sum("is_test").alias("k")).first()
+        assert abs(r.k - share * r.n) <= 4 * (r.n * share * (1 - share)) ** 0.5
+    small = {r.ip: r.is_test for r in forest.threshold_split(df.limit(500), test_fraction={1: 0.3, 0: 0.1}).collect()}
+    assert all(small[r.ip] == r.is_test for r in sp.where(F.col("ip").isin(list(small))).collect())
+    none = forest.threshold_split(spark.createDataFrame([(None, 1), ("a", None)], "ip string, ua_bot_flag int"), test_fraction={1: 1.0})
+    assert [r.is_test for r in none.collect()] == [0, 0]
+    assert forest.threshold_split(df, test_fraction=1.0).where("is_test = 0").count() == 0
