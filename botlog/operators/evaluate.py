@@ -74,10 +74,10 @@ def _score_table(ev: DataFrame, n_buckets=None) -> DataFrame:
     return _score_table_with_totals(ev, n_buckets)[0]
 
 
-def _score_table_with_totals(ev: DataFrame, n_buckets=None):
+def _score_table_with_totals(ev: DataFrame, n_buckets=None, neighbours: bool = False):
     y = F.col("y_true")
     return prefix_counts_with_totals(ev, "score", {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")},
-                                     descending=True, n_buckets=n_buckets)
+                                     descending=True, n_buckets=n_buckets, neighbours=neighbours)
 
 
 def roc_auc(ev: DataFrame, n_buckets=None) -> DataFrame:
@@ -99,7 +99,23 @@ def roc_curve(ev: DataFrame, n_buckets=None) -> DataFrame:
     """ROC points (fpr, tpr, threshold): the origin with threshold +inf, then
     one point per distinct score in descending order (rates null when a
     class is absent)."""
-    st, tot = _score_table_with_totals(ev, n_buckets)
+    return _curve_points(ev, *_score_table_with_totals(ev, n_buckets))
+
+
+def roc_curve_corners(ev: DataFrame, n_buckets=None) -> DataFrame:
+    """:func:`roc_curve` without the points on a straight stretch: a point goes
+    when the step to the next lower score adds as many positives and negatives
+    as the step to it (both second differences are zero). The first and the last
+    point stay, and so does the area under the curve. With billions of distinct
+    scores most rows go; each needs only its neighbour, which the pass over
+    the ordered buckets carries along, over bucket borders too."""
+    st, tot = _score_table_with_totals(ev, n_buckets, neighbours=True)
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    turn = (F.col("pos") != F.col("below_pos")) | (F.col("neg") != F.col("below_neg"))
+    return _curve_points(ev, st.filter(first | F.coalesce(turn, F.lit(True))), tot)
+
+
+def _curve_points(ev: DataFrame, st: DataFrame, tot: dict) -> DataFrame:
     P, N = tot["pos"], tot["neg"]
 
     def rate(c, d):

@@ -75,8 +75,13 @@ def threshold_split(df: DataFrame, label: str = "ua_bot_flag", id_col: str = "ip
     return df.withColumn("is_test", F.coalesce(hash52(id_col, seed) < below, F.lit(False)).cast("int"))
 
 
-def balanced_weights(train: DataFrame, label: str = "ua_bot_flag") -> dict:
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+def class_counts(train: DataFrame, label: str = "ua_bot_flag") -> dict:
+    """Rows by class."""
+    return {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+
+
+def balanced_weights(counts: dict) -> dict:
+    """n / (classes * n of the class) from rows by class."""
     total = sum(counts.values())
     return {cls: total / (len(counts) * n) for cls, n in counts.items()}
 
@@ -108,14 +113,16 @@ def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_
     """Train with balanced class weights on ``train``, or on about
     ``max_fit_rows`` of its rows chosen by a hash of the id."""
     features = list(features)
-    share = min(1.0, max_fit_rows / max(1, train.count()))
-    train = train.filter(hash52(id_col, seed + 1) < F.lit(int(share * 2 ** 52)))
     checkpoint_root(train.sparkSession)
-    if train.filter(F.col(label) == 1).limit(1).count() == 0:
+    counts = class_counts(train, label)  # guard, share and weights from one pass
+    if sum(counts.values()) > max_fit_rows:
+        share = max_fit_rows / sum(counts.values())
+        train = train.filter(hash52(id_col, seed + 1) < F.lit(int(share * 2 ** 52)))
+        counts = class_counts(train, label)
+    if not counts.get(1):
         raise ValueError(f"no positive {label} in the training data: cannot train a supervised model")
-    w = balanced_weights(train, label)
     wcol = F.lit(0.0)
-    for cls, val in w.items():
+    for cls, val in balanced_weights(counts).items():
         wcol = F.when(F.col(label) == cls, F.lit(val)).otherwise(wcol)
     data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(
         train.fillna(0, subset=features)).select("_x", F.col(label).cast("double").alias("_y"), wcol.alias("_w"))

@@ -5,11 +5,14 @@ exact ``percentile`` aggregate keeps every distinct value in one buffer.
 Both are avoided here, in the same way at every size:
 
 1. collapse to one row per distinct value (partial aggregation),
-2. range-partition these rows by value and store them; the partition number
-   is the bucket, so buckets are balanced by Spark's range sampling,
-3. prefix sums inside each bucket (a window partitioned by bucket),
-4. add the running total of the preceding buckets, a window over the bucket
-   totals: one row per bucket and group.
+2. range-partition these rows by value, sort inside the partitions and store
+   them; the partition number is the bucket, so buckets are balanced by Spark's
+   range sampling,
+3. one aggregate gives the totals of each bucket (one row per bucket and group,
+   collected),
+4. running totals inside each bucket start from the sum of the earlier buckets:
+   one streaming pass over the stored partitions as they lie, without a
+   shuffle, window or join, and with a state of one row of totals.
 
 The result is exact; the sampling only balances the buckets. Distinct values
 are never tied across buckets, so no bucket outgrows its range.
@@ -19,8 +22,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from botlog.session import checkpoint_root
 
@@ -31,11 +37,12 @@ def prefix_counts(df: DataFrame, value: str, counts: dict[str, object], descendi
 
 
 def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, object], descending: bool = False,
-                              n_buckets: int | None = None, by=()) -> tuple[DataFrame, dict]:
+                              n_buckets: int | None = None, by=(), neighbours: bool = False) -> tuple[DataFrame, dict]:
     """One row per distinct (``by``..., ``value``) with its summed ``counts``
     (name -> column expression) and ``cum_<name>``: the running total over
     the rows of the same ``by`` group whose value comes before or equals this
-    one in the chosen order.
+    one in the chosen order. With ``neighbours`` also ``below_<name>``: the
+    counts of the next smaller value of the group (null for the smallest).
 
     Returns the prefix table and the grand totals (``_distinct`` and each
     count; with ``by``, also ``_groups``: group key tuple -> totals, so ``by``
@@ -43,36 +50,67 @@ def prefix_counts_with_totals(df: DataFrame, value: str, counts: dict[str, objec
 
     ``n_buckets`` fixes the number of range partitions; by default it is
     ``spark.sql.shuffle.partitions``."""
-    names = list(counts)
-    by = list(by)
+    names, by = list(counts), list(by)
     spark = df.sparkSession
     checkpoint_root(spark)
     nb = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
-         .agg(*[F.sum(expr).alias(n) for n, expr in counts.items()])
-         .repartitionByRange(nb, value).withColumn("_b", F.spark_partition_id()).checkpoint(eager=True))
-    sums = [F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names]]
+         .agg(*[F.sum(expr).cast("long").alias(n) for n, expr in counts.items()])
+         .repartitionByRange(nb, value).sortWithinPartitions(*by, value)
+         .withColumn("_b", F.spark_partition_id()).checkpoint(eager=True))
+    last = F.max_by(F.struct(*names), F.col(value)).alias("_last")
+    rows = g.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(n) for n in names], last).collect()
+
+    keys = ["_distinct", *names]
+    groups: dict[tuple, dict] = {}
+    start: dict[tuple, list[int]] = {}   # (group, bucket) -> totals of the group's earlier buckets
+    below: dict[tuple, list] = {}        # (group, bucket) -> counts of the group's last row before it
+    ends: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: r["_b"]):
+        grp = tuple(r[b] for b in by)
+        tot = groups.setdefault(grp, dict.fromkeys(keys, 0))
+        start[grp, r["_b"]] = [tot[n] for n in names]
+        below[grp, r["_b"]] = ends.get(grp, [None] * len(names))
+        ends[grp] = [r["_last"][n] for n in names]
+        for k in keys:
+            tot[k] += r[k] or 0
+    grand = {k: sum(t[k] for t in groups.values()) for k in keys}
     if by:
-        rows = g.groupBy(*by).agg(*sums).collect()  # one row per class
-        groups = {tuple(r[b] for b in by): {k: (r[k] or 0) for k in ["_distinct", *names]} for r in rows}
-        grand = {k: sum(t[k] for t in groups.values()) for k in ["_distinct", *names]}
         grand["_groups"] = groups
-    else:
-        tot = g.agg(*sums).first().asDict()
-        grand = {k: (v or 0) for k, v in tot.items()}
-    if descending:
-        g = g.withColumn("_b", -F.col("_b"))
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    totals = g.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    before = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                         for n in names])
-    within = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.select("*", *[F.sum(n).over(within).alias(f"_w_{n}") for n in names])
-    j = g.join(offsets, [*by, "_b"])
-    pc = j.select(*by, value, *names,
-                  *[(F.col(f"_o_{n}") + F.col(f"_w_{n}")).alias(f"cum_{n}") for n in names])
-    return pc, grand
+    whole = {grp: [t[n] for n in names] for grp, t in groups.items()}
+
+    out = [*[g.schema[c] for c in [*by, value, *names]], *[T.StructField(f"cum_{n}", T.LongType()) for n in names]]
+    if neighbours:
+        out += [T.StructField(f"below_{n}", T.LongType()) for n in names]
+    columns, width = [f.name for f in out], len(names)
+
+    def run(batches):
+        at = None
+        for b in batches:
+            grps = list(zip(*[b.column(i).to_pylist() for i in range(len(by))])) if by else [()] * b.num_rows
+            buckets = b.column(b.num_columns - 1).to_pylist()
+            own = [b.column(len(by) + 1 + j).to_numpy(zero_copy_only=False) for j in range(width)]
+            cum = [np.empty(b.num_rows, np.int64) for _ in names]
+            low: list[list] = [[None] * b.num_rows for _ in names]
+            i = 0
+            while i < b.num_rows:
+                k = i + 1
+                while by and k < b.num_rows and grps[k] == grps[i]:
+                    k += 1
+                k = k if by else b.num_rows
+                key = (grps[i], buckets[i])
+                if key != at:
+                    at, carry, before = key, list(start[key]), list(below[key])
+                for j in range(width):
+                    upto = np.cumsum(own[j][i:k]) + carry[j]
+                    cum[j][i:k] = whole[grps[i]][j] - upto + own[j][i:k] if descending else upto
+                    low[j][i:k] = [before[j], *own[j][i:k - 1].tolist()]
+                    carry[j], before[j] = int(upto[-1]), int(own[j][k - 1])
+                i = k
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], *[pa.array(c) for c in cum], *([pa.array(c, pa.int64()) for c in low] if neighbours else [])], names=columns)
+
+    return g.mapInArrow(run, T.StructType(out)), grand
 
 
 def _lerp(a: float, b: float, t: float) -> float:

@@ -425,6 +425,11 @@ def _roc_curve(spark, sf):
     return finish(evaluate.roc_curve(_ranked(spark, sf)))
 
 
+@query("roc_curve_corners")
+def _roc_curve_corners(spark, sf):
+    return finish(evaluate.roc_curve_corners(_ranked(spark, sf)))
+
+
 @query("label_balance")
 def _label_balance(spark, sf):
     return evaluate.label_balance(features.ip_features_v2(stored(spark, sf)))

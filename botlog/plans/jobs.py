@@ -186,7 +186,6 @@ class SupervisedResult:
 
 def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: str = "ua_bot_flag",
                    seed: int = 42, n_trees: int = 100, max_depth: int = 30) -> SupervisedResult:
-    evaluate.require_positive_labels(feats, label)
     split = forest.stratified_split(feats, label, seed=seed).checkpoint(eager=True)
     train = split.filter(F.col("is_test") == 0)
     fit = forest.fit_random_forest(train, feature_cols, label, n_trees=n_trees, seed=seed, max_depth=max_depth)

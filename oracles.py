@@ -372,6 +372,13 @@ oracle("roc_curve", _EV + f"""
 SELECT CASE WHEN N > 0 THEN 0.0 END AS fpr, CASE WHEN P > 0 THEN 0.0 END AS tpr, CAST('inf' AS DOUBLE) AS threshold FROM tot
 UNION ALL
 SELECT {_r('cn / NULLIF(CAST(N AS DOUBLE), 0)')}, {_r('cp / NULLIF(CAST(P AS DOUBLE), 0)')}, {_r('s')} FROM sc, tot""")
+oracle("roc_curve_corners", _EV + f"""
+, st AS (SELECT *, LEAD(pos) OVER w AS pos2, LEAD(neg) OVER w AS neg2, ROW_NUMBER() OVER w AS r, COUNT(*) OVER () AS n
+  FROM sc WINDOW w AS (ORDER BY s DESC))
+SELECT CASE WHEN N > 0 THEN 0.0 END AS fpr, CASE WHEN P > 0 THEN 0.0 END AS tpr, CAST('inf' AS DOUBLE) AS threshold FROM tot
+UNION ALL
+SELECT {_r('cn / NULLIF(CAST(tot.N AS DOUBLE), 0)')}, {_r('cp / NULLIF(CAST(tot.P AS DOUBLE), 0)')}, {_r('s')}
+FROM st, tot WHERE r = 1 OR r = st.n OR pos <> pos2 OR neg <> neg2""")
 oracle("label_balance", "SELECT ua_bot_flag AS label, COUNT(*) AS count FROM f2 GROUP BY 1")
 _SCALED = ", ".join(
     f"{_r(f'COALESCE((CAST({c} AS DOUBLE) - AVG(CAST({c} AS DOUBLE)) OVER ()) / NULLIF(STDDEV_POP(CAST({c} AS DOUBLE)) OVER (), 0), 0.0)')} AS {c}"

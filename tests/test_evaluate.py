@@ -92,3 +92,47 @@ def test_grouped_order_statistics(spark):
         for grp in (0, 1, 2):
             vals = np.sort([v for g, v in rows if g == grp])
             assert got[grp] == [vals[0], vals[len(vals) // 2], vals[-1]]
+
+
+def _corners(points):
+    """Positions kept of (tp, fp) steps by plain second differences of the running totals."""
+    import numpy as np
+    tp, fp = np.cumsum([p for p, _ in points]), np.cumsum([n for _, n in points])
+    if len(points) <= 2:
+        return list(range(len(points)))
+    return np.flatnonzero(np.r_[True, (np.diff(tp, 2) != 0) | (np.diff(fp, 2) != 0), True]).tolist()
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 16])
+@pytest.mark.parametrize("scores", [60, 3, 2, 1])
+def test_roc_corners_for_any_buckets(spark, buckets, scores):
+    import random
+    rng = random.Random(scores)
+    # long straight stretches: many scores with one positive or one negative each
+    rows = []
+    for s in range(scores):
+        p, n = rng.choice([(1, 0), (1, 0), (0, 1), (0, 1), (2, 1)])
+        rows += [(1, 0, float(s))] * p + [(0, 0, float(s))] * n
+    ev = spark.createDataFrame(rows, "y_true int, y_pred int, score double").repartition(3)
+    full = sorted(evaluate.roc_curve(ev, buckets).collect(), key=lambda r: -r.threshold)
+    steps = [(sum(1 for y, _, x in rows if x == r.threshold and y == 1), sum(1 for y, _, x in rows if x == r.threshold and y == 0))
+             for r in full[1:]]
+    got = sorted(evaluate.roc_curve_corners(ev, buckets).collect(), key=lambda r: -r.threshold)
+    assert got == [full[0]] + [full[1 + i] for i in _corners(steps)]
+
+
+def test_grouped_prefixes_and_neighbours(spark):
+    from botlog.operators.ranking import prefix_counts_with_totals
+    rows = [(g, v, c) for g, n in (("a", 30), ("b", 1), (None, 7)) for v, c in ((i % 11, i) for i in range(n))]
+    df = spark.createDataFrame(rows, "g string, v int, c long").repartition(4)
+    for desc in (False, True):
+        pc, tot = prefix_counts_with_totals(df, "v", {"c": F.col("c"), "k": F.lit(1).cast("long")}, descending=desc, n_buckets=5, by=["g"], neighbours=True)
+        got = pc.collect()
+        assert len(got) == 11 + 1 + 7
+        for r in got:
+            mine = [(v, c) for g, v, c in rows if g == r.g]
+            inside = [(v, c) for v, c in mine if (v >= r.v if desc else v <= r.v)]
+            lower = [v for v, _ in mine if v < r.v]
+            assert (r.cum_c, r.cum_k) == (sum(c for _, c in inside), len(inside))
+            assert r.below_k == (sum(v == max(lower) for v, _ in mine) if lower else None)
+            assert tot["_groups"][(r.g,)]["k"] == len(mine)
