@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from botlog import sources
 from botlog.functions import logformat as lf
-from botlog.operators import daily, evaluate, features, forest, iforest, marts, parse, reports, scaling
+from botlog.operators import daily, evaluate, features, forest, iforest, marts, membership, parse, reports, scaling
 from botlog.operators.ranking import exact_percentiles
 from botlog.plans import jobs
 from botlog.session import ensure_utc, scratch_path
@@ -329,6 +329,24 @@ def _ip_drilldown_paths(spark, sf):
     return marts.ip_drilldown_paths(requests_n(spark, sf), DRILLDOWN_IP)
 
 
+def clustered(spark, sf) -> DataFrame:
+    """The derived log in a store ordered by address, null tokens applied before
+    storing so that the filter on the address is on a stored column."""
+    path = scratch_path(spark, "requests-by-address")
+    sources.write_clustered_log(requests_n(spark, sf), path)
+    return sources.read_parsed_log(spark, path)
+
+
+@query("ip_drilldown_timeline_clustered")
+def _ip_drilldown_timeline_clustered(spark, sf):
+    return finish(marts.ip_drilldown_timeline(clustered(spark, sf), DRILLDOWN_IP))
+
+
+@query("ip_drilldown_paths_clustered")
+def _ip_drilldown_paths_clustered(spark, sf):
+    return marts.ip_drilldown_paths(clustered(spark, sf), DRILLDOWN_IP)
+
+
 @query("overview_metrics")
 def _overview_metrics(spark, sf):
     r, scores, sus = _sus(spark, sf)
@@ -349,6 +367,19 @@ def _request_suspicious_flag(spark, sf):
     return finish(r.select("ip", "timestamp", "path", F.col("is_suspicious").cast("int").alias("is_suspicious")))
 
 
+@query("suspicious_requests_bloom")
+def _suspicious_requests_bloom(spark, sf):
+    r, _, sus = _sus(spark, sf)
+    return finish(membership.suspicious_requests(r, sus).select("ip", "timestamp", "path", "status", "user_agent"))
+
+
+@query("request_suspicious_flag_bloom")
+def _request_suspicious_flag_bloom(spark, sf):
+    r, _, sus = _sus(spark, sf)
+    r = membership.request_suspicious_flag(r, sus)
+    return finish(r.select("ip", "timestamp", "path", F.col("is_suspicious").cast("int").alias("is_suspicious")))
+
+
 @query("traffic_over_time")
 def _traffic_over_time(spark, sf):
     r, _, sus = _sus(spark, sf)

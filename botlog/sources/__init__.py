@@ -7,6 +7,7 @@ from botlog.sources.files import (
     read_parsed_log,
     read_parsed_log_csv,
     read_scores,
+    write_clustered_log,
     write_parsed_log,
     write_parsed_log_csv,
     write_scores,
@@ -20,6 +21,7 @@ __all__ = [
     "read_parsed_log",
     "read_parsed_log_csv",
     "read_scores",
+    "write_clustered_log",
     "write_parsed_log",
     "write_parsed_log_csv",
     "write_scores",

@@ -336,6 +336,11 @@ oracle("top20_flagged_count", """
 SELECT COUNT(*) FILTER (WHERE ua_bot_flag = 1) AS flagged
 FROM (SELECT * FROM scores ORDER BY anomaly_score, ip LIMIT 20)""")
 
+# --- other forms of the same questions: one oracle each
+for _form, _plain in (("suspicious_requests_bloom", "suspicious_requests"), ("request_suspicious_flag_bloom", "request_suspicious_flag"),
+                      ("ip_drilldown_timeline_clustered", "ip_drilldown_timeline"), ("ip_drilldown_paths_clustered", "ip_drilldown_paths")):
+    _ORACLES[_form] = _ORACLES[_plain]
+
 # --- evaluation -------------------------------------------------------------------
 _EV = """
 , ev AS (SELECT ua_bot_flag AS y, is_anomaly AS p, -anomaly_score AS s FROM scores),
