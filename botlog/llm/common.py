@@ -60,6 +60,14 @@ def bucket_of(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(columns, name: str) -> str:
+    """``name``, lengthened until no column is called so (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 

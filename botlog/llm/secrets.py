@@ -135,20 +135,21 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
               .withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
               .groupBy("id", "h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
               .withColumn("from", F.lag("end", 1, 0).over(Window.partitionBy("id", "h").orderBy("start")))
-              .groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from"))).alias("_cuts"))
-              .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_cuts"))
+              .groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", "from"))).alias("cuts")))
+    k_id, k_h, cuts, masked = (common.unused(docs.columns, c) for c in ("k_id", "k_h", "cuts", "masked"))
+    merged = merged.select(F.col("id").alias(k_id), F.col("h").alias(k_h), F.col("cuts").alias(cuts))
     t = F.col("text")
-    pieces = F.transform("_cuts", lambda c: t.substr((c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")))
-    tail = t.substr((F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length(t))
-    clean = F.when(F.col("_cuts").isNull(), t).otherwise(
+    pieces = F.transform(cuts, lambda c: t.substr((c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")))
+    tail = t.substr((F.element_at(cuts, -1)["end"] + 1).cast("int"), F.length(t))
+    clean = F.when(F.col(cuts).isNull(), t).otherwise(
         F.concat(F.array_join(F.concat(pieces, F.array(F.lit(""))), mask), tail))
-    joined = docs.join(merged, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
-                       & (common.text_hash("text") == F.col("_h")), "left")
-    out = joined.withColumn("_clean", clean)
-    new = {"text": F.col("_clean")}
+    joined = docs.join(merged, docs["doc_id"].cast("long").eqNullSafe(F.col(k_id))
+                       & (common.text_hash("text") == F.col(k_h)), "left")
+    out = joined.withColumn(masked, clean)
+    new = {"text": F.col(masked)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(kind))
+        new["n_chars"] = F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(masked).cast(kind))
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 

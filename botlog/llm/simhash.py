@@ -198,11 +198,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int =
                                  F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left_semi")
                           .groupBy("doc_id", "h").count(), "simhash-kept")
     h = common.text_hash("text")
-    out = docs.join(kept.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")),
-                    docs["doc_id"].eqNullSafe(F.col("_i")) & (h == F.col("_h")), "left_semi")
+    i, j = common.unused(docs.columns, "i"), common.unused(docs.columns, "j")
+    out = docs.join(kept.select(F.col("doc_id").alias(i), F.col("h").alias(j)),
+                    docs["doc_id"].eqNullSafe(F.col(i)) & (h == F.col(j)), "left_semi")
     if kept.where("count > 1").isEmpty():  # no repeated rows: nothing to drop, so no shuffle for it
         return out
-    return out.withColumn("_h", h).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return out.withColumn(j, h).dropDuplicates(["doc_id", j]).drop(j)
 
 
 @common.query

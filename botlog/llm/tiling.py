@@ -189,9 +189,10 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, seed_words: int = SEED_WORDS,
                   coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", leak_col: str = "_leak") -> DataFrame:
     """Columns ``keep`` (all by default) of every row of ``docs`` and a struct
-    ``_leak`` of item_id, coverage, n_tiles and contaminated.
+    ``leak_col`` (a name that none of them has) of item_id, coverage, n_tiles
+    and contaminated. Long texts are read whole.
 
     The passage covered most counts; ties go to the smallest item_id (null
     last). Null and empty texts have coverage 0 and a null item. Passages of
@@ -225,12 +226,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         now = now.mapInArrow(run, now.schema)
     leak = F.struct(F.col("item").alias("item_id"), F.col("cov").alias("coverage"), F.col("n").alias("n_tiles"),
                     (F.col("cov") >= coverage).alias("contaminated"))
-    return now.select(*[F.col("row").getField(c).alias(c) for c in keep], leak.alias("_leak"))
+    return now.select(*[F.col("row").getField(c).alias(c) for c in keep], leak.alias(leak_col))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the rows that cover ``coverage`` or more of a test passage."""
-    return contamination(docs, benchmark, coverage=coverage).where(~F.col("_leak.contaminated")).drop("_leak")
+    leak = common.unused(docs.columns, "_leak")
+    return contamination(docs, benchmark, coverage=coverage, leak_col=leak).where(~F.col(leak)["contaminated"]).drop(leak)
 
 
 @common.query

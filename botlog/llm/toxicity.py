@@ -2,8 +2,11 @@
 
 Texts are folded first (case, compatibility forms, homoglyphs, digits and
 signs that stand for letters inside words, accents). The lexicon is learnt
-from labelled training rows: whole words and word beginnings that toxic texts
-hold far oftener than clean ones, weighted by their smoothed log-odds.
+from labelled training rows: whole words and word beginnings with a far
+higher rate in toxic texts than in clean ones. The rate of an entry is its
+share of a text's words, averaged over the texts, so that an entry which
+clean texts hold once and toxic ones time and again counts, and no single long text
+decides; its weight is the log of the ratio of the two rates.
 Exception phrases are learnt too: a lexicon entry with a neighbouring word,
 where that pair is found in clean texts and hardly in toxic ones, does not
 count. A text's score is a logistic function of its total weight and of its
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from botlog.llm import common
 
@@ -35,8 +40,14 @@ SAMPLE_ROWS = 4_000
 LEXICON_SIZE = 2_000
 #: Lengths of the word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6, 7, 8)
-#: An entry needs this many toxic training texts and this weight.
-LEAST_TEXTS, LEAST_WEIGHT = 5, 4.5
+#: An entry needs this many toxic training texts and this weight (the logistic step does the cutting).
+LEAST_TEXTS, LEAST_WEIGHT = 8, 2.5
+#: Added to both rates, as a share of all texts' words summed over the texts.
+RATE_PRIOR = 0.01
+#: An exception phrase needs this many clean training texts.
+LEAST_PHRASES = 5
+#: Rates are summed as whole parts of this, so that sums do not depend on their order.
+_PARTS = 10 ** 9
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -148,8 +159,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60
 def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     """(text, toxic) of the bounded sample. A document labelled both ways is left
     out; of rows that repeat an id, the smallest text counts."""
-    lab = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id")
-           .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").drop("_most")
+    lab = (labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id")
+           .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
            .where(common.bucket_of("doc_id", 5) != 0))
     chosen = lab.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample_rows).union(
         lab.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(2 * sample_rows))
@@ -159,20 +170,34 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Data
             .select("text", "toxic"))
 
 
+def entry_shares(text: str) -> dict[str, float]:
+    """Each possible lexicon entry of a text and its share of the text's words."""
+    words = fold(text).split()
+    out: dict[str, float] = {}
+    for w, n in Counter(words).items():
+        for e in entries({w}):
+            out[e] = out.get(e, 0.0) + n / len(words)
+    return out
+
+
 def _counts(rows: DataFrame, make, column: str) -> DataFrame:
-    """For each string of ``make(text)``: toxic and clean training texts that hold it."""
+    """For each string of ``make(text)`` (string -> share): the clean and toxic
+    training texts that hold it, and the sums of its shares in both."""
+    names = ("clean", "toxic", "clean_share", "toxic_share")
+    schema = pa.schema([(column, pa.string()), *[(c, pa.int64()) for c in names]])
+
     def run(batches):
         for b in batches:
             held: dict[str, list[int]] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for e in make(t):
-                    held.setdefault(e, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_pydict({column: list(held), "clean": [v[0] for v in held.values()],
-                                              "toxic": [v[1] for v in held.values()]},
-                                             pa.schema([(column, pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+                for e, share in make(t).items():
+                    v = held.setdefault(e, [0, 0, 0, 0])
+                    v[y] += 1
+                    v[2 + y] += round(share * _PARTS)
+            yield pa.RecordBatch.from_pydict({column: list(held)} | {c: [v[i] for v in held.values()] for i, c in enumerate(names)}, schema)
 
-    return (rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, f"{column} string, clean long, toxic long")
-            .groupBy(column).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    return (rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, f"{column} string, " + ", ".join(f"{c} long" for c in names))
+            .groupBy(column).agg(*[F.sum(c).alias(c) for c in names]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON_SIZE) -> Lexicon:
@@ -187,9 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
         prior = (n1 + 0.5) / (n1 + n0 + 1) if n1 + n0 else 0.1
         return Lexicon({}, set(), (math.log(prior / (1 - prior)), 0.0, 0.0))
 
-    odds = (F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5))
-            - F.log((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5)))
-    found = (_counts(rows, lambda t: entries(set(fold(t).split())), "entry")
+    odds = (F.log((F.col("toxic_share") / _PARTS + RATE_PRIOR) / n1) - F.log((F.col("clean_share") / _PARTS + RATE_PRIOR) / n0))
+    found = (_counts(rows, entry_shares, "entry")
              .where(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
              .orderBy(F.desc("toxic"), F.desc("weight"), "entry").limit(lexicon_size).collect())
     weights = {r["entry"]: float(r["weight"]) for r in found}
@@ -203,11 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
             stop = folded.find(" ", start + 1)
             before, after = folded.rfind(" ", 0, start), folded.find(" ", stop + 1)
             out.update(([folded[start:after + 1]] if after > 0 else []) + ([folded[before:stop + 1]] if before >= 0 else []))
-        return out
+        return dict.fromkeys(out, 0.0)
 
     if weights:
         lexicon.exceptions = {r["phrase"] for r in _counts(rows, phrases, "phrase").where(
-            (F.col("clean") >= LEAST_TEXTS) & (F.col("clean") * n1 >= 4 * F.col("toxic") * n0))
+            (F.col("clean") >= LEAST_PHRASES) & (F.col("clean") * n1 >= 4 * F.col("toxic") * n0))
             .orderBy(F.desc("clean"), "phrase").limit(lexicon_size).collect()}
 
     def features(batches):
@@ -224,29 +248,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexi
     return lexicon
 
 
-def score_rows(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of every row with ``score`` (0 to 1). Null and empty
-    texts get the score of a text without matches. No row is dropped."""
+def score_rows(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` of every row and ``score_col`` (0 to 1; its name must
+    not be among ``keep``). Null and empty texts get the score of a text
+    without matches, very long ones are read whole. No row is dropped."""
     spark = docs.sparkSession
     common.prepare(spark)
     held = spark.sparkContext.broadcast(lexicon)
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_scored"))
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_score", F.lit(0.0)).schema
+    narrow = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
+                         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         lex = held.value
         a = lex.automaton()
         for b in batches:
             scores = pa.array([lex.score(a, t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[*b.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[*keep, score_col])
 
     return narrow.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns kept."""
-    scored = score_rows(docs, fit(docs, labels), docs.columns)
-    return scored.where(F.col("_score") < threshold).drop("_score")
+    """``docs`` without the rows that score ``threshold`` or more. All columns
+    are kept, whatever their names; null and empty texts stay unless the prior
+    itself is toxic; repeated rows are all judged alike; an empty table gives no rows."""
+    score = common.unused(docs.columns, "score")
+    scored = score_rows(docs, fit(docs, labels), docs.columns, score_col=score)
+    return scored.where(F.col(f"`{score}`") < threshold).drop(F.col(f"`{score}`"))
 
 
 @common.query
@@ -255,4 +284,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score_rows(docs, fit(docs, common.table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (common.bucket_of("doc_id", 5) == 0).alias("held_out"),
-                         F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+                         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -69,6 +69,34 @@ def test_stages_keep_columns_and_take_odd_rows(spark, docs_of, sf):
         assert out.columns == docs.columns, name
         assert out.count() > 0
     assert C.STAGES[-1][1](spark, docs, sf).count() == 6
+
+
+INTERNAL = ("_h", "_id", "_i", "_j", "_cuts", "_leak", "_scored", "_score", "_clean", "_most", "i", "j", "h", "t", "k_id", "k_h", "id", "row",
+            "item", "cov", "n", "c0", "score", "Score", "cuts", "masked", "leak", "fp", "root", "node", "component_id", "least_id", "text.x", "bits")
+
+
+def test_stages_keep_columns_named_like_their_own(spark, docs_of, sf):
+    """Every name the stages use inside, on the documents: all columns come back as they were."""
+    from pyspark.sql import functions as F
+    rows = [(1, "token = abcdef123456 and more"), (2, "some clean words here now"), (2, "some clean words here now"), (3, None)]
+    docs = docs_of(rows).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+                                      for c in INTERNAL if c != "Score"})
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r.doc_id for r in got} == {1, 2, 3}, name
+        for r in got:
+            assert all(r[c] == f"{c} of {r.doc_id}" for c in INTERNAL if c != "Score"), name
+        docs = out
+    assert {r.text for r in docs.collect()} == {"[secret] and more", "some clean words here now", None}
+    assert C.STAGES[-1][1](spark, docs, sf).count() == 3
+    cased = docs_of(rows).withColumn("Score", F.lit("s")).withColumn("_LEAK", F.lit("l"))
+    assert C.STAGES[0][1](spark, cased, sf).columns == cased.columns == C.STAGES[2][1](spark, cased, sf).columns
+
+
+def test_stages_on_empty_tables(spark, docs_of, sf):
+    docs = docs_of([(1, "x")], extra=True)
     empty = docs.limit(0)
     for name, stage in C.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
@@ -79,5 +107,5 @@ def test_names():
     assert C.ORACLE_SQL is None
     import __spark_entry__ as E
     names = E.queries()
-    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert {"op6_license_scan", "op7_secret_scan"} <= set(E.oracle_sql())
