@@ -36,6 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like :func:`written`, as a table bucketed by ``column``: to group it by
+    that column does not shuffle it. The table lies in the shared checkpoint folder
+    too; its name is only known to the session's catalog."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = "t_" + path.rsplit("-", 1)[1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished queries now:
     it follows the garbage collection of the driver's objects."""

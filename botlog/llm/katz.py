@@ -4,8 +4,9 @@ Counts are Good-Turing discounted and every context's backoff weight is the
 mass its discounts left over, divided by the mass that the lower order gives
 to words not seen after it, so each distribution sums to one.
 
-The corpus never travels word by word. A block of documents is coded once, as
-distinct word hashes and a stream of word numbers, and written as a table. At
+The corpus never travels. A block of documents is coded once, as
+distinct word hashes and a stream of word numbers, and written as a table that
+is bucketed by block, where each later step reads it; only requests and answers are shuffled. At
 each order, a block asks for the distinct n-grams it holds, dealt by hash
 into buckets; a bucket adds up the training counts of all blocks and answers
 each block with the totals of its n-grams and the totals of their contexts.
@@ -40,7 +41,6 @@ HEAVY = 1000
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"\n", 1)), np.uint64(xxhash.xxh64_intdigest(b"\t", 1))
 _BLOCK = "block long, n_tokens long, words binary, stream binary, lengths binary, ids array<long>, held binary"
-_STATE = "block long, kind int, bucket int, a binary, b binary, lengths binary, ids array<long>, held binary"
 _ANSWER = "block long, bucket int, kind int, a binary, b binary, context long, v array<double>"
 
 
@@ -276,20 +276,17 @@ def _gram_answers(group: pa.Table) -> pa.Table:
 
 
 #: What a block sends to a bucket: its n-grams in order of context, each by
-#: 48 bits of its hash, which tell the n-grams of one context apart, and
-#: ``lower``, their probabilities one order lower.
-_ASK = {"context": np.uint64, "size": np.uint32, "heavy": np.uint8, "low": np.uint32, "high": np.uint16, "count": np.uint32}
+#: the 64 bits of its hash, and ``lower``, their probabilities one order lower.
+_ASK = {"context": np.uint64, "size": np.uint32, "heavy": np.uint8, "low": np.uint32, "high": np.uint32, "count": np.uint32}
 _COLUMNS = (*_ASK, "lower")
 
 
-def _gathered(group: pa.Table, levels: list[Level], buckets: int):
-    """The block of a group of coded and answer rows, evaluated as far as the answers go:
-    (row of the coded table, block, unigram counts, counts of the last order, probability at every position)."""
-    rows = group.to_pylist()
-    base = next(r for r in rows if r["kind"] == 0)
-    x = Block(base["a"], base["b"], base["lengths"], base["held"])
-    got = {(r["kind"], r["bucket"]): r for r in rows if r["kind"]}
-    del rows
+def _gathered(coded: pa.Table, answers: pa.Table, levels: list[Level], buckets: int):
+    """The block of a coded row and its answers, evaluated as far as the answers go:
+    (the coded row, block, unigram counts, counts of the last order, probability at every position)."""
+    base = coded.to_pylist()[0]
+    x = Block(base["words"], base["stream"], base["lengths"], base["held"])
+    got = {(r["kind"], r["bucket"]): r for r in answers.to_pylist()}
     bucket = (x.hash % np.uint64(buckets)).astype(np.int64)
     first = np.zeros(len(x.hash), np.int64)
     for b in np.unique(bucket).tolist():
@@ -323,10 +320,10 @@ def _gathered(group: pa.Table, levels: list[Level], buckets: int):
     return base, x, first, known, p
 
 
-def _gram_requests(state: DataFrame, levels: list[Level], buckets: int) -> DataFrame:
-    def ask(group: pa.Table) -> pa.Table:
+def _gram_requests(coded: DataFrame, answers: DataFrame, levels: list[Level], buckets: int) -> DataFrame:
+    def ask(block: pa.Table, got: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            base, x, _, known, p = _gathered(group, levels, buckets)
+            base, x, _, known, p = _gathered(block, got, levels, buckets)
             x.extend()
             order, cuts, heavy = x.deal(buckets, known, levels[0].tokens)
         count, lower = np.bincount(x.gram[x.train], minlength=x.types), p[x.at]
@@ -336,7 +333,7 @@ def _gram_requests(state: DataFrame, levels: list[Level], buckets: int) -> DataF
                 o = order[lo:hi]
                 asked, size = np.unique(x.context[o], return_counts=True)
                 part = {"context": x.context_hash[asked], "size": size, "heavy": heavy[asked], "low": x.gram_hash[o] & np.uint64(0xFFFFFFFF),
-                        "high": x.gram_hash[o] >> np.uint64(48), "count": count[o]}
+                        "high": x.gram_hash[o] >> np.uint64(32), "count": count[o]}
                 rows["block"].append(base["block"])
                 rows["bucket"].append(b)
                 for c, t in _ASK.items():
@@ -345,7 +342,8 @@ def _gram_requests(state: DataFrame, levels: list[Level], buckets: int) -> DataF
         return pa.table({"block": pa.array(rows["block"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int32()),
                          **{c: pa.array(rows[c], pa.binary()) for c in _COLUMNS}})
 
-    return state.groupBy("block").applyInArrow(ask, "block long, bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
+    return (coded.groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInArrow(ask, "block long, bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)))
 
 
 def _level(answers: DataFrame) -> Level:
@@ -373,30 +371,28 @@ def score(docs: DataFrame, order: int = 2, held: str = "false", id_col: str = "d
     an empty table gives no rows."""
     spark = docs.sparkSession
     common.prepare(spark)
-    coded = common.written(coded_blocks(docs, id_col, text_col, held, block_tokens), "katz-blocks")
+    coded = common.written_by(coded_blocks(docs, id_col, text_col, held, block_tokens), "katz-blocks", "block")
     tokens = coded.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    none = F.lit(None)
-    state = coded.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("words").alias("a"),
-                         F.col("stream").alias("b"), "lengths", "ids", "held")
+    answers: DataFrame | None = None
     levels: list[Level] = []
     for k in range(1, order + 1):
         if k == 1:
             asked, answer = _unigram_requests(coded, buckets), _unigram_answers
         else:
-            asked, answer = _gram_requests(state, list(levels), buckets), _gram_answers
-        answers = common.written(asked.groupBy("bucket").applyInArrow(answer, _ANSWER), f"katz-answers-{k}")
-        levels.append(_level(answers))
+            asked, answer = _gram_requests(coded, answers, list(levels), buckets), _gram_answers
+        given = common.written(asked.groupBy("bucket").applyInArrow(answer, _ANSWER), f"katz-answers-{k}")
+        levels.append(_level(given))
         del asked
         common.release_shuffles(spark)  # the answers are a table now
-        state = state.union(answers.where("kind = 0").select(
-            "block", F.lit(k).alias("kind"), "bucket", "a", "b", none.cast("binary"), none.cast("array<long>"), none.cast("binary")))
+        given = given.where("kind = 0").select("block", F.lit(k).alias("kind"), "bucket", "a", "b")
+        answers = given if answers is None else answers.union(given)
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def evaluate(group: pa.Table) -> pa.Table:
+    def evaluate(block: pa.Table, got: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            base, x, count, _, p = _gathered(group, levels, buckets)
+            base, x, count, _, p = _gathered(block, got, levels, buckets)
         n, v = levels[0].tokens, levels[0].types
         plain = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[x.word]
         summed = [np.add.reduceat(c, x.first) for c in ((count > 0)[x.word].astype(np.int64), plain, np.log10(p))]
@@ -404,8 +400,8 @@ def score(docs: DataFrame, order: int = 2, held: str = "false", id_col: str = "d
                          pa.array(summed[0]), pa.array(np.full(len(x.lengths), int(n))), pa.array(summed[1]),
                          pa.array(summed[2])], schema=schema)
 
-    return state.groupBy("block").applyInArrow(evaluate, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, "
-                                                         "train_tokens long, base_score double, score double")
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        evaluate, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 @common.query

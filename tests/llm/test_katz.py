@@ -157,3 +157,12 @@ def test_query_beats_base_on_held_out(spark):
     for r in out[:40]:
         assert math.isclose(r.score, model.score(rows[r.doc_id]), rel_tol=1e-9)
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_the_coded_corpus_is_not_shuffled(docs_of):
+    """Only answers travel: the coded side of every step is a bucketed scan without an exchange."""
+    out = K.score(docs_of([(i, f"a b {i}") for i in range(20)]), 2, block_tokens=12)
+    assert out.count() == 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    coded = plan[plan.index("FlatMapCoGroupsInArrow"):plan.index("stream#")]
+    assert "Exchange" not in coded and "Bucketed: true" in plan
