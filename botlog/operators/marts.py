@@ -63,9 +63,12 @@ def _counts_by(requests: DataFrame, suspicious: DataFrame, key: str, key_expr) -
 
 
 def traffic_over_time(requests: DataFrame, suspicious: DataFrame,
-                      width_seconds: int = traits.TIME_BIN_SECONDS) -> DataFrame:
-    """(time_bin, total_requests, suspicious_requests) per non-empty bin."""
-    t = _counts_by(requests, suspicious, "time_bin", traits.time_bin(F.col("timestamp"), width_seconds))
+                      width_seconds: int = traits.TIME_BIN_SECONDS, local: bool = False) -> DataFrame:
+    """(time_bin, total_requests, suspicious_requests) per non-empty bin; with
+    ``local`` bins start on the wall clock of each request's own offset."""
+    ts = F.col("timestamp")
+    start = traits.local_time_bin(ts, F.col("tz_offset"), width_seconds) if local else traits.time_bin(ts, width_seconds)
+    t = _counts_by(requests, suspicious, "time_bin", start)
     return t.filter(F.col("time_bin").isNotNull())
 
 

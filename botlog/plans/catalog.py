@@ -20,7 +20,7 @@ from botlog.operators import daily, evaluate, features, forest, iforest, marts,
 from botlog.operators.ranking import exact_percentiles
 from botlog.plans import jobs
 from botlog.session import ensure_utc, scratch_path
-from botlog.streaming import start_traffic_stream
+from botlog.streaming import start_flag_stream, start_ingest_stream, start_session_stream, start_traffic_stream
 from botlog.sources import access_log_lines
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +386,13 @@ def _traffic_over_time(spark, sf):
     return finish(marts.traffic_over_time(r, sus))
 
 
+@query("traffic_over_time_local")
+def _traffic_over_time_local(spark, sf):
+    """Traffic by ten minutes of the log's own wall clock."""
+    r, _, sus = _sus(spark, sf)
+    return finish(marts.traffic_over_time(r, sus, local=True))
+
+
 @query("ua_stats")
 def _ua_stats(spark, sf):
     r, _, sus = _sus(spark, sf)
@@ -633,6 +640,39 @@ def _traffic_over_time_stream(spark, sf):
     return finish(spark.read.parquet(sink).select("time_bin", "requests"))
 
 
+def _landed(spark, sf) -> str:
+    """The derived log as text files of a folder."""
+    src = scratch_path(spark, "stream-src")
+    lines(spark, sf).write.text(src)
+    return src
+
+
+@query("stream_ingest")
+def _stream_ingest(spark, sf):
+    """The derived log through the ingest stream, several batches, read back from the store."""
+    src, store = _landed(spark, sf), scratch_path(spark, "stream-store")
+    start_ingest_stream(spark, src, store, scratch_path(spark, "stream-ckpt"), max_files_per_trigger=4).awaitTermination()
+    return finish(sources.read_parsed_log(spark, store))
+
+
+@query("stream_flags")
+def _stream_flags(spark, sf):
+    """Requests flagged as they arrive, by a stored score table."""
+    scores, store = scratch_path(spark, "scores"), scratch_path(spark, "flag-store")
+    unlabelled_scores(stored(spark, sf)).write.parquet(scores)
+    start_flag_stream(spark, _landed(spark, sf), scores, store, scratch_path(spark, "stream-ckpt")).awaitTermination()
+    r = spark.read.parquet(store)
+    return finish(r.select("ip", "timestamp", "path", F.col("is_suspicious").cast("int").alias("is_suspicious")))
+
+
+@query("sessions_stream")
+def _sessions_stream(spark, sf):
+    """Sessions of the streamed log that the watermark has closed."""
+    sink = scratch_path(spark, "session-sink")
+    start_session_stream(spark, _landed(spark, sf), sink).awaitTermination()
+    return finish(spark.read.parquet(sink).select("ip", "first_request", "last_request", "requests"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Access log -> requests -> per-IP features -> isolation forest (best
     contamination by F1 against the user-agent flag) -> the 20 most
@@ -705,3 +745,15 @@ def _hybrid_detection(spark, sf):
 @query("rf_cross_validation")
 def _rf_cross_validation(spark, sf):
     return jobs.cross_validate(_features(spark, sf))
+
+
+@query("hybrid_rule_hits")
+def _hybrid_rule_hits(spark, sf):
+    """The rule part of the hybrid detection: what the forest is not asked about."""
+    return jobs.rule_hits(_features(spark, sf)).select("ip", "ua_bot_flag", "anomaly_score", "is_bot", "detected_by")
+
+
+@query("cross_validation_folds")
+def _cross_validation_folds(spark, sf):
+    """The fold of every address."""
+    return jobs.with_folds(_features(spark, sf)).select("ip", F.col("_fold").alias("fold"))

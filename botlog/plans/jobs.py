@@ -192,6 +192,12 @@ def supervised_job(feats: DataFrame, feature_cols=features.V2_FEATURES, label: s
     return SupervisedResult(fit, split, feats)
 
 
+def rule_hits(feats: DataFrame) -> DataFrame:
+    """Addresses whose user agent names a bot, as hits by rule."""
+    return feats.filter(F.col("ua_bot_flag") == 1).select(
+        *feats.columns, F.lit(None).cast("double").alias("anomaly_score"), F.lit(1).alias("is_bot"), F.lit("rule").alias("detected_by"))
+
+
 def hybrid_job(feats: DataFrame, feature_cols=features.V2_FEATURES, contamination: float = 0.05, n_trees: int = 100,
                seed: int = 42) -> DataFrame:
     """Rules first, the forest on the rest: addresses whose user agent names a
@@ -200,8 +206,7 @@ def hybrid_job(feats: DataFrame, feature_cols=features.V2_FEATURES, contaminatio
     "forest". Every address of ``feats`` has one row; without any unflagged
     address there is no forest and only the rule decides."""
     cols = list(feature_cols)
-    by_rule = feats.filter(F.col("ua_bot_flag") == 1).select(
-        *feats.columns, F.lit(None).cast("double").alias("anomaly_score"), F.lit(1).alias("is_bot"), F.lit("rule").alias("detected_by"))
+    by_rule = rule_hits(feats)
     rest = feats.filter(F.coalesce(F.col("ua_bot_flag"), F.lit(0)) != 1)
     if rest.isEmpty():
         return by_rule
@@ -214,6 +219,11 @@ def hybrid_job(feats: DataFrame, feature_cols=features.V2_FEATURES, contaminatio
         F.when(F.col("is_anomaly") == 1, "forest").alias("detected_by")))
 
 
+def with_folds(feats: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``_fold``, a hash of the address: it does not depend on partitioning."""
+    return feats.withColumn("_fold", F.pmod(forest.hash52("ip", seed), F.lit(folds)))
+
+
 def cross_validate(feats: DataFrame, folds: int = 5, feature_cols=features.V2_FEATURES, label: str = "ua_bot_flag",
                    seed: int = 42, n_trees: int = 100, max_depth: int = 30) -> DataFrame:
     """(fold, n_train, n_test, precision, recall, f1, auc) of the random
@@ -221,7 +231,7 @@ def cross_validate(feats: DataFrame, folds: int = 5, feature_cols=features.V2_FE
     folds do not depend on partitioning; AUC is null where a fold has one
     class. One fit per fold, and one row of metrics each reaches the driver."""
     evaluate.require_positive_labels(feats, label)
-    x = feats.withColumn("_fold", F.pmod(forest.hash52("ip", seed), F.lit(folds))).checkpoint(eager=True)
+    x = with_folds(feats, folds, seed).checkpoint(eager=True)
     rows = []
     for k in range(folds):
         test = x.filter(F.col("_fold") == k).drop("_fold")

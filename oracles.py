@@ -414,3 +414,24 @@ oracle("traffic_over_time_stream", """
 , mx AS (SELECT MAX(ts) AS m FROM req),
 sb AS (SELECT ts - ts % 600 AS b, COUNT(*) AS requests FROM req WHERE ts IS NOT NULL GROUP BY 1)
 SELECT MAKE_TIMESTAMP(b * 1000000) AS time_bin, requests FROM sb, mx WHERE b + 600 <= m - 1800""")
+oracle("sessions_stream", """
+, mx AS (SELECT MAX(ts) AS m FROM t),
+cuts AS (SELECT ip, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY ip ORDER BY ts) <= 1800 THEN 0 ELSE 1 END AS b
+  FROM t WHERE ts IS NOT NULL),
+sess AS (SELECT ip, ts, SUM(b) OVER (PARTITION BY ip ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM cuts),
+ses AS (SELECT ip, MIN(ts) AS a, MAX(ts) AS z, COUNT(*) AS requests FROM sess GROUP BY ip, s)
+SELECT ip, MAKE_TIMESTAMP(a * 1000000) AS first_request, MAKE_TIMESTAMP(z * 1000000) AS last_request, requests
+FROM ses, mx WHERE z + 1800 <= m - 1800""")
+_ORACLES["stream_ingest"] = _ORACLES["parse_log_lines"]
+_ORACLES["stream_flags"] = _ORACLES["request_suspicious_flag"]
+
+# --- parts of the model keys that are no model -----------------------------------
+oracle("traffic_over_time_local", """
+, w AS (SELECT ip, ts, CASE WHEN left(tz_offset, 1) = '-' THEN -1 ELSE 1 END
+    * (CAST(substr(tz_offset, 2, 2) AS INT) * 3600 + CAST(substr(tz_offset, 4, 2) AS INT) * 60) AS off FROM reqn WHERE ts IS NOT NULL)
+SELECT MAKE_TIMESTAMP((CAST(FLOOR((ts + off) / 600) AS BIGINT) * 600 - off) * 1000000) AS time_bin, COUNT(*) AS total_requests,
+  COUNT(*) FILTER (WHERE ip IN (SELECT ip FROM sus)) AS suspicious_requests FROM w GROUP BY 1""")
+oracle("hybrid_rule_hits", """
+SELECT ip, ua_bot_flag, CAST(NULL AS DOUBLE) AS anomaly_score, 1 AS is_bot, 'rule' AS detected_by FROM f2 WHERE ua_bot_flag = 1""")
+oracle("cross_validation_folds", """
+SELECT ip, CAST('0x' || md5(ip || ':42')[1:13] AS BIGINT) % 5 AS fold FROM f2""")
