@@ -36,6 +36,8 @@ from botlog.llm import common
 DEPTH = 8
 #: Share of a block's words that must be repeated for it to go.
 COVERED = 0.5
+#: What stands between the blocks of a page.
+SEPARATOR = "\n\n"
 #: Elements nested deeper belong to their ancestors, as in browsers.
 DEEPEST = 512
 #: Characters of HTML in one shard.
@@ -240,19 +242,19 @@ def repeated_words(streams: list[list[str]], keys: np.ndarray) -> list[np.ndarra
     return np.split(np.cumsum(covered[:-1]) > 0, np.cumsum(lengths)[:-1]) if lengths else []
 
 
-def main_text(blocks: list[tuple[int, str]], repeated: np.ndarray) -> str:
-    """Blocks that stay, joined by newlines; ``repeated`` marks the words of the page's stream."""
+def main_text(blocks: list[tuple[int, str]], repeated: np.ndarray, separator: str = SEPARATOR) -> str:
+    """Blocks that stay, joined by ``separator``; ``repeated`` marks the words of the page's stream."""
     kept, at = [], 0
     for (zone, text), words in zip(blocks, _streams(blocks)):
         mark = repeated[at:at + len(words)]
         at += len(words)
         if zone == MAIN or mark.sum() < COVERED * max(1, len(words)):
             kept.append(text)
-    return "\n".join(kept)
+    return separator.join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            shard_chars: int = SHARD_CHARS) -> DataFrame:
+            shard_chars: int = SHARD_CHARS, separator: str = SEPARATOR) -> DataFrame:
     """(id, url, text, n_chars) for each row of ``pages``.
 
     Null and empty pages give the empty text. Pages without a URL or with one
@@ -324,7 +326,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         own = shard["key"].to_numpy()
         _, first, which = np.unique(own, return_index=True, return_inverse=True)  # equal rows are one page
         marks = repeated_words([streams[k] for k in first], np.unique(keys["k"].to_numpy()).view(np.uint64))
-        texts = [main_text(b, marks[w]) for b, w in zip(pages_, which)]
+        texts = [main_text(b, marks[w], separator) for b, w in zip(pages_, which)]
         return pa.table([shard["i"], shard["u"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                         schema=out)
 

@@ -69,7 +69,7 @@ def test_unmarked_boilerplate_goes_by_repetition_across_shards(spark):
         if u and "a.example.com" in u and i != 105:
             want.append((i, u, blocks[1][1]))
         else:
-            want.append((i, u, "\n".join(t for _, t in blocks)))
+            want.append((i, u, "\n\n".join(t for _, t in blocks)))
     for shard in (G.SHARD_CHARS, 2000):
         got = G.extract(df, shard_chars=shard).collect()
         assert sorted([(r.page_id, r.url, r.text) for r in got], key=str) == sorted(want, key=str)
@@ -83,7 +83,7 @@ def test_query(spark, sf):
     assert len(got) == len(rows)
     for r in got:
         assert r.url == rows[r.page_id].url
-        assert r.text == "\n".join(t for z, t in G.blocks_of(rows[r.page_id].html) if z == G.MAIN) and r.text
+        assert r.text == "\n\n".join(t for z, t in G.blocks_of(rows[r.page_id].html) if z == G.MAIN) and r.text
 
 
 def test_plain_story_beside_an_article_card(spark):
@@ -98,5 +98,5 @@ def test_plain_story_beside_an_article_card(spark):
     df = spark.createDataFrame(rows + [(21, "https://a.example.com/21", "")], "page_id long, url string, html string")
     for shard in (G.SHARD_CHARS, 1000):
         got = {r.page_id: r.text for r in G.extract(df, shard_chars=shard).collect()}
-        assert {i: got[i].split("\n") for i in range(12)} == {i: [story[i], card[i]] for i in range(12)}
+        assert {i: got[i].split("\n\n") for i in range(12)} == {i: [story[i], card[i]] for i in range(12)}
         assert got[20] == G.blocks_of(rows[-1][2])[0][1]  # a copy of another page's card goes from a plain block
