@@ -273,6 +273,9 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(
         ":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
-    return found.select("doc_id", *[F.col("n")[k].alias(f"n_{KINDS[k]}") for k in range(4)],
-                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"),
-                        listed("elsewhere").alias("elsewhere"))
+    # All spans, once each, by kind and start: a term near one entity and far from another is one span.
+    every = F.array_sort(F.array_distinct(F.transform(F.concat("spans", "elsewhere"), lambda s: F.struct(s["kind"], s["start"], s["end"]))))
+    return found.withColumn("every", every).select(
+        "doc_id", *[F.col("n")[k].alias(f"n_{KINDS[k]}") for k in range(4)],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), listed("every").alias("spans"),
+        listed("elsewhere").alias("elsewhere"))

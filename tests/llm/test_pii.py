@@ -32,8 +32,8 @@ def test_long_runs_take_linear_time():
         P.base_spans(t)
 
 
-def brute(rows):
-    """Spans by dictionaries over the whole corpus."""
+def brute(rows, flagged=None):
+    """Spans by dictionaries over the whole corpus; the flagged words are added to ``flagged``."""
     words, near, ents = {}, {}, {}
     for r, (_, t) in enumerate(rows):
         t = t or ""
@@ -54,6 +54,8 @@ def brute(rows):
         share = len(where) / words[w]
         if len(where) >= P.LEAST_TOGETHER and share >= P.LEAST_SHARE and \
                 P.np.log2(len(where) * n / (words[w] * ents[v])) >= P.LEAST_BITS:
+            if flagged is not None:
+                flagged.add(w)
             for r, s, e in where:
                 was = extra.setdefault(r, {}).get((s, e))
                 extra[r][s, e] = max(was or "", "remove" if share >= P.REMOVE else "generalise")
@@ -61,6 +63,18 @@ def brute(rows):
              + sorted((4, s, e, a) for (s, e), a in extra.get(r, {}).items())) for r, (i, t) in enumerate(rows)]
 
 
+def brute_everywhere(rows):
+    """(id, base spans and every word that is flagged anywhere and touches none of them), in contract order."""
+    flagged = set()
+    brute(rows, flagged)
+    out = []
+    for i, t in rows:
+        base = plain_base(t or "")
+        free = [m for m in P._WORD.finditer(t or "") if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        out.append((i, base + [(4, m.start(), m.end()) for m in free if m[0].lower() in flagged]))
+    return out
+
+
 def corpus():
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(500)]
@@ -87,16 +101,34 @@ def test_against_brute_force(docs_of):
     assert P.personal_spans(docs_of(rows).limit(0)).count() == 0
 
 
+def check_query(got, rows):
+    for i, spans in brute_everywhere(rows):
+        base = ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e in spans if k < 4)
+        assert [got[i][f"n_{k}"] for k in P.KINDS[:4]] == [sum(s[0] == k for s in spans) for k in range(4)]
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert got[i].spans == ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+
+
+def test_query_has_all_spans_once(spark, docs_of, tmp_path):
+    """Flagged terms near their entity, far from it, and in texts that do not name it."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(500)]
+    fill = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, fill(40)) for i in range(100)]
+    rows += [(200 + i, f"{fill(9)} quimby account ZX48213 of q@corp.example.com {fill(30)} {'quimby' * (i == 0)}") for i in range(6)]
+    rows += [(300, "Quimby called"), (301, f"{fill(3)} zx48213 {fill(9)} far@x.example.org {fill(9)} Zx48213"), (303, None), (304, "")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in P.op5_personal_data(spark, str(tmp_path)).collect()}
+    check_query(got, rows)
+    assert got[300].spans == "term:0:6" and got[301].spans.count("term") == 2
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: r for r in P.op5_personal_data(spark, sf).collect()}
     assert len(got) == len(rows)
-    for i, spans in brute(rows):
-        base = ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e, _ in spans if k < 4)
-        assert [got[i][f"n_{k}"] for k in P.KINDS[:4]] == [sum(s[0] == k for s in spans) for k in range(4)]
-        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert got[i].spans == ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e, _ in spans)
+    check_query(got, rows)
     assert any(r.n_email for r in got.values())
 
 
