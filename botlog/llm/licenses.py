@@ -96,9 +96,11 @@ def _sql_canonical(t: str) -> str:
 
 def _sql() -> str:
     rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    full = ", ".join(f"('{i}', '{k}')" for i, k in FULL)
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical('text')}) AS k, min(license_id) AS license_id
-  FROM (VALUES {rows}) AS v(license_id, text) GROUP BY 1),
+WITH known AS (SELECT k, min(license_id) AS license_id FROM (
+    SELECT license_id, sha256({_sql_canonical('text')}) AS k FROM (VALUES {rows}) AS v(license_id, text)
+    UNION ALL SELECT license_id, k FROM (VALUES {full}) AS f(license_id, k)) GROUP BY k),
 d AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS digest FROM documents)
 SELECT doc_id, digest, license_id FROM d LEFT JOIN known ON digest = k
 """

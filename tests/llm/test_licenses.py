@@ -89,5 +89,9 @@ def test_full_texts_are_known_and_notices_labelled(spark, docs_of):
                 rows.append((10 + k, f.read()))
             want[10 + k] = i
     assert {r.doc_id: r.license_id for r in L.license_lookup(docs_of(rows)).collect()} == want
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {i: found for i, _, found in con.execute(L.SQL).fetchall()} == want  # the oracle knows the full texts too
     kinds = {(r.license_id, r.kind) for r in L.known_table(spark).collect()}
     assert {("Apache-2.0", "notice"), ("GPL-3.0", "notice"), ("CC-BY-NC-4.0", "notice"), ("MIT", "notice"), ("MIT", "text")} <= kinds
