@@ -7,9 +7,16 @@ running Karp-Rabin hashing from long windows down to the seed length. The
 share of a passage's words that the tiles cover does not depend on the order
 of the tiles, so passages whose sentences were moved about are caught.
 
-The test set is the query set: it is cut by a hash of the passage into blocks
-of a bounded size, each block is broadcast, and every document passes each
-block once, where it lies, without a shuffle.
+The lengths to try are found by bisection: a match of some length holds one
+of every shorter length, so a pair costs one search for each distinct tile
+length (at most about the root of twice the shorter text) and not a pass for
+every length.
+
+The test set is the query set: equal passages are one, under their smallest
+id, so a passage listed many times takes one place. The distinct passages are
+stored once, cut by a hash into blocks of a bounded size; each block is
+broadcast, and every document passes each block once, where it lies, without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlog.llm import common
+from botlog.session import scratch_path
 
 #: Words of a seed, and of the shortest tile.
 SEED_WORDS = 5
@@ -87,31 +95,46 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED_WORDS) -> list[tu
         return out
     free_d, free_i = doc > 0, item > 0
     rd, ri, lift = _Rolling(doc), _Rolling(item), max(len(doc), len(item))
-    size = min(len(doc), len(item))
-    while size >= least:
-        used_d = np.concatenate([[0], np.cumsum(~free_d)])
-        used_i = np.concatenate([[0], np.cumsum(~free_i)])
-        open_d = np.flatnonzero(used_d[size:] == used_d[:-size])
-        open_i = np.flatnonzero(used_i[size:] == used_i[:-size])
-        if not len(open_d) or not len(open_i):
-            runs = [np.diff(np.flatnonzero(np.concatenate([[True], ~f, [True]]))).max(initial=1) - 1 for f in (free_d, free_i)]
-            size = min(size - 1, *map(int, runs))  # no free run is longer
-            continue
+    most = min(len(doc), len(item))
+
+    def windows(size: int):
+        """Free windows of ``size`` whose hashes meet: starts and hashes of both sides."""
+        open_d, open_i = (np.flatnonzero(used[size:] == used[:-size]) for used in (used_d, used_i))
         hd, hi = rd.windows(size, lift)[open_d], ri.windows(size, lift)[open_i]
         hit = np.isin(hd, hi)
-        if hit.any():
-            order = np.argsort(hi, kind="stable")
-            hi, open_i = hi[order], open_i[order]
-            for s, h in zip(open_d[hit].tolist(), hd[hit]):
-                if not free_d[s:s + size].all():
-                    continue
-                for t in open_i[np.searchsorted(hi, h, "left"):np.searchsorted(hi, h, "right")].tolist():
-                    if free_i[t:t + size].all() and np.array_equal(doc[s:s + size], item[t:t + size]):
-                        free_d[s:s + size] = False
-                        free_i[t:t + size] = False
-                        out.append((s, t, size))
-                        break
-        size -= 1
+        return (open_d[hit], hd[hit], open_i, hi) if hit.any() else None
+
+    while most >= least:
+        used_d, used_i = (np.concatenate([[0], np.cumsum(~f)]) for f in (free_d, free_i))
+        size, met = least - 1, None
+        while size < most:  # the longest length at which windows meet
+            middle = (size + most + 1) // 2
+            found = windows(middle)
+            if found is None:
+                most = middle - 1
+            else:
+                size, met = middle, found
+        if met is None:
+            break
+        starts, hd, open_i, hi = met
+        order = np.argsort(hi, kind="stable")
+        hi, open_i = hi[order], open_i[order]
+        next_i: dict[int, int] = {}
+        for s, lo, hi_ in zip(starts.tolist(), np.searchsorted(hi, hd, "left").tolist(), np.searchsorted(hi, hd, "right").tolist()):
+            # A marked stretch is at least as long as the window: it covers an end of it or none of it.
+            if not (free_d[s] and free_d[s + size - 1]):
+                continue
+            at = next_i.get(lo, lo)
+            while at < hi_ and not (free_i[open_i[at]] and free_i[open_i[at] + size - 1]):
+                at += 1
+            next_i[lo] = at  # what is marked stays so
+            for t in open_i[at:hi_].tolist():
+                if free_i[t] and free_i[t + size - 1] and np.array_equal(doc[s:s + size], item[t:t + size]):
+                    free_d[s:s + size] = False
+                    free_i[t:t + size] = False
+                    out.append((s, t, size))
+                    break
+        most = size - 1
     return out
 
 
@@ -134,19 +157,18 @@ class TestSet:
         self.hashes, self.owner = h[order], owner[order]
         self.distinct = np.unique(h)
 
-    def best(self, text: str) -> tuple:
-        """(item, coverage, tiles) of the passage that the text covers most;
-        ties go to the passage that comes first."""
+    def covered(self, text: str) -> list[tuple]:
+        """(item, coverage, tiles) of every passage that shares a seed with the text."""
         if not len(self.distinct):
-            return None, 0.0, 0
+            return []
         words = words_of(text)
         ids = np.fromiter(map(self.vocab.get, words, itertools.repeat(0)), np.int64, len(words))
         if len(ids) < self.least:
-            return None, 0.0, 0
+            return []
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         starts = np.flatnonzero(known[self.least:] - known[:-self.least] == self.least)
         if not len(starts):
-            return None, 0.0, 0
+            return []
         h = np.zeros(len(starts), np.uint64)
         for k in range(self.least):
             h = h * _BASE + ids[starts + k].astype(np.uint64)
@@ -154,9 +176,9 @@ class TestSet:
         seeded = self.distinct[at] == h
         starts, h = starts[seeded], h[seeded]
         if not len(starts):
-            return None, 0.0, 0
+            return []
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        best = (None, 0.0, 0)
+        out = []
         seeds: dict[int, list[int]] = {}
         for s, a, b in zip(starts.tolist(), lo.tolist(), hi.tolist()):
             for o in np.unique(self.owner[a:b]).tolist():
@@ -171,64 +193,88 @@ class TestSet:
             cuts = np.flatnonzero(np.diff(inside) > 1) + 1
             doc = np.insert(ids[inside], cuts, 0)
             found = tiles(doc, self.items[o], self.least)
-            coverage = sum(n for _, _, n in found) / len(self.items[o])
-            if coverage > best[1]:
-                best = (self.ids[o], coverage, len(found))
-        return best
+            out.append((self.ids[o], sum(n for _, _, n in found) / len(self.items[o]), len(found)))
+        return out
+
+
+def _rank(found: tuple) -> tuple:
+    """Order of (item, coverage, tiles): the most covered first, then by item, null last."""
+    return -found[1], found[0] is None, found[0] or 0
+
+
+def passages(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(t, i): the distinct passages, each under its smallest id (null if it has
+    none); null and empty texts are one."""
+    return (items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+            .groupBy("t").agg(F.min("i").alias("i")))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    size = F.length(common.utf8(text_col)) + 16
-    total = items.agg(F.sum(size).alias("n")).first()["n"] or 0
+    spark = items.sparkSession
+    distinct = common.written(passages(items, id_col, text_col), "tiling-passages")
+    total = distinct.agg(F.sum(F.length(common.utf8("t")) + 16).alias("n")).first()["n"] or 0
     n = int(total // block_bytes) + 1
-    narrow = items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).distinct()
-    for k in range(n):  # each block is bounded by its share of the hash
-        part = narrow.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        yield sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+    path = scratch_path(spark, "tiling-blocks")
+    (distinct.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")).repartition("block")
+     .write.partitionBy("block").parquet(path))
+    stored = spark.read.schema("t string, i long, block int").parquet(path)
+    for k in range(n):  # each block is bounded by its share of the hash, and reads its own files
+        yield [(r["i"], r["t"]) for r in stored.where(F.col("block") == k).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, seed_words: int = SEED_WORDS,
                   coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", leak_col: str = "_leak") -> DataFrame:
     """Columns ``keep`` (all by default) of every row of ``docs`` and a struct
-    ``leak_col`` (a name that none of them has) of item_id, coverage, n_tiles
-    and contaminated. Long texts are read whole.
-
-    The passage covered most counts; ties go to the smallest item_id (null
-    last). Null and empty texts have coverage 0 and a null item. Passages of
-    fewer than ``seed_words`` words hold no seed and never match. Repeated
+    ``leak_col`` (a name that none of them has) of item_id, coverage, n_tiles,
+    contaminated and ``items``: (item_id, coverage, n_tiles) of every distinct
+    passage covered to ``coverage`` or more, the most covered first.
+
+    item_id, coverage and n_tiles are those of the passage covered most, below
+    the threshold too; ties go to the smallest item_id (null last). Passages of
+    equal text are one, under their smallest id (:func:`passages` says which).
+    Long texts are read whole. Null and empty texts have coverage 0, a null item and
+    no items. Passages of fewer than ``seed_words`` words hold no seed and never match. Repeated
     rows are each answered; an empty test set contaminates nothing."""
     spark = docs.sparkSession
     common.prepare(spark)
     keep = docs.columns if keep is None else keep
     cols = [F.col(f"`{c}`") for c in keep]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    now = docs.select(F.struct(*cols).alias("row"), text.alias("t"), F.lit(None).cast("long").alias("item"),
-                      F.lit(0.0).alias("cov"), F.lit(0).alias("n"))
-    for items in _blocks(benchmark, item_col, item_text, block_bytes):
-        held = spark.sparkContext.broadcast(items)
+    item = "struct<item_id: bigint, coverage: double, n_tiles: int>"
+    now = docs.select(F.struct(*cols).alias("row"), text.alias("t"), F.lit(None).cast(item).alias("best"),
+                      F.array().cast(f"array<{item}>").alias("items"))
+    for block_items in _blocks(benchmark, item_col, item_text, block_bytes):
+        held = spark.sparkContext.broadcast(block_items)
 
         def run(batches, held=held):
             with np.errstate(over="ignore"):
                 block = TestSet(held.value, seed_words)
                 for b in batches:
-                    old = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
-                    out = []
-                    for t, was in zip(b.column(1).to_pylist(), old):
-                        new = block.best(t)
-                        first = new[1] == was[1] and new[0] is not None and (was[0] is None or new[0] < was[0])
-                        out.append(new if new[1] > was[1] or first else was)
+                    bests, lists = [], []
+                    for t, best, items in zip(*(b.column(c).to_pylist() for c in ("t", "best", "items"))):
+                        found = block.covered(t)
+                        was = [tuple(x.values()) for x in ([best] if best else [])]
+                        bests.append(_named(min(was + found, key=_rank, default=None)))
+                        all_ = [tuple(x.values()) for x in items] + [x for x in found if x[1] >= coverage]
+                        lists.append([_named(x) for x in sorted(all_, key=_rank)])
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0), b.column(1), pa.array([x[0] for x in out], pa.int64()),
-                         pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())],
-                        names=b.schema.names)
+                        [b.column("row"), b.column("t"), pa.array(bests, _ITEM), pa.array(lists, pa.list_(_ITEM))], names=b.schema.names)
 
         now = now.mapInArrow(run, now.schema)
-    leak = F.struct(F.col("item").alias("item_id"), F.col("cov").alias("coverage"), F.col("n").alias("n_tiles"),
-                    (F.col("cov") >= coverage).alias("contaminated"))
+    cov = F.coalesce(F.col("best.coverage"), F.lit(0.0))
+    leak = F.struct(F.col("best.item_id").alias("item_id"), cov.alias("coverage"),
+                    F.coalesce(F.col("best.n_tiles"), F.lit(0)).alias("n_tiles"), (cov >= coverage).alias("contaminated"), "items")
     return now.select(*[F.col("row").getField(c).alias(c) for c in keep], leak.alias(leak_col))
 
 
+_ITEM = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32())])
+
+
+def _named(found: tuple | None) -> dict | None:
+    return found and dict(zip(("item_id", "coverage", "n_tiles"), found))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the rows that cover ``coverage`` or more of a test passage."""
     leak = common.unused(docs.columns, "_leak")
@@ -237,6 +283,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
 
 @common.query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document the test passage it covers most."""
+    """For every document the test passage it covers most, and the ids of all it covers to the threshold."""
     out = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), ["doc_id"])
-    return out.select("doc_id", "_leak.*")
+    return out.select("doc_id", *(f"_leak.{c}" for c in ("item_id", "coverage", "n_tiles", "contaminated")),
+                      F.col("_leak.items.item_id").alias("item_ids"))
