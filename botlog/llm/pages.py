@@ -11,6 +11,13 @@ it also has an article or not. Blocks inside the article stay whether they
 repeat or not (a text or a line of it may be printed on two pages), and
 boilerplate markup goes even where it is unique.
 
+A class is a hint, not a fact. Words of a state ("share-enabled", "has-sidebar")
+and containers that name themselves content ("post-content") are no hints; an
+article's own header belongs to it; a paragraph of an article under a class
+of the layout ("related") is put to the vote: long prose without links counts
+as a plain block, which the array decides, all else goes. A form around an
+article, or around all prose of a page, is a wrapper and no form.
+
 A host's pages are dealt into shards of bounded size, so a host with a third
 of all pages is many tasks. Repeats between shards are found first, by the
 hash of the first ``DEPTH`` words of every suffix with map-side combine, and
@@ -23,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +66,37 @@ _HINT = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|b
 footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notifications?|alerts?|overlay|pager|pagination|
 popup|promos?|promotions?|recommended|recommendations|related|search|share|sharing|sidebar|signup|skip|social|sponsors?|sponsored|
 subscribe|subscription|teasers?|toolbar|widgets?)(?:[\s_-]|$)""".replace("\n", ""))
+#: Hints that name a place in the layout; on a paragraph of an article they are not enough.
+_LAYOUT = frozenset("""breadcrumb breadcrumbs footer header menu modal nav navbar navigation overlay pager pagination popup
+recommended recommendations related search share sharing sidebar skip social toolbar widget widgets""".split())
+_CONTENT = re.compile(r"(?i)(?:article|entry|main|page|post|story)[_-]?(?:body|content|text)")
+_STATE = re.compile(r"(?i)(?:has|is|no|not|with|without)[_-].*|.*[_-](?:enabled|disabled|on|off|open|closed|visible|active)")
+_TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
+#: Words of prose: a block put to the vote has as many, and a form that is a wrapper holds such a block.
+PROSE = 2 * DEPTH
 _COMMENTS = re.compile(r"(?i)(?:^|[\s_-])(?:" + _COMMENT_HINT + r")(?:[\s_-]|$)")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
-MAIN, PLAIN, DROP = 2, 1, 0
+_ARTICLE, _FORM_END = re.compile(r"(?i)<(?:article|main)\b"), re.compile(r"(?i)</form\b")
+VOTE, MAIN, PLAIN, DROP = 3, 2, 1, 0
+
+
+def _hints(value: str, hint: re.Pattern, in_main: bool) -> set[str]:
+    """Hint words of a class or id attribute, in lower case."""
+    names = value.split()
+    if any(_CONTENT.fullmatch(x) for x in names):
+        return set()
+    words = {m[0].strip("_- \t\r\n\f").lower() for x in names if not _STATE.fullmatch(x) for m in _each(hint, x)}
+    return words - {"header"} if in_main else words
+
+
+def _each(hint: re.Pattern, name: str):
+    """Matches of ``hint`` that may share the dash between them."""
+    m = hint.search(name)
+    while m:
+        yield m
+        m = hint.search(name, max(m.end() - 1, m.start() + 1))
 
 
 def _zone(tag: str, attrs: str, zone: int, in_main: bool) -> int:
@@ -75,7 +109,10 @@ def _zone(tag: str, attrs: str, zone: int, in_main: bool) -> int:
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 hint = _COMMENTS if tag in ("article", "main") else _HINT
-                if hint.search(value):
+                found = _hints(value, hint, in_main)
+                if found and in_main and tag in _TEXT_TAGS and found <= _LAYOUT:
+                    now = VOTE
+                elif found:
                     return DROP
             elif name == "role":
                 if value.lower() in _ROLES:
@@ -90,18 +127,33 @@ def _zone(tag: str, attrs: str, zone: int, in_main: bool) -> int:
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(zone, text) of every block of a page that holds text, in page order.
     Broken markup is read as far as it goes; elements left open end with their parents."""
+    out, forms = _walk(page, False)
+    if not out and forms:
+        inside, _ = _walk(page, True)
+        if any(len(t.split()) >= PROSE for _, t in inside):
+            return inside
+    return out
+
+
+def _walk(page: str, open_forms: bool) -> tuple[list[tuple[int, str]], bool]:
+    """Blocks of a page, and whether a form was left out; ``open_forms`` reads forms as plain containers."""
     out: list[tuple[int, str]] = []
+    forms, linked, marks = False, False, None
     held: list[str] = []
     stack: list[tuple[str, int]] = [("", PLAIN)]
     i, n, no_more = 0, len(page), {}
     low = None
 
     def flush():
+        nonlocal linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            if text:
-                out.append((stack[-1][1], text))
+            text, zone = " ".join(entities.unescape("".join(held)).split()), stack[-1][1]
+            if zone == VOTE:
+                zone = DROP if linked or len(text.split()) < PROSE else PLAIN
+            if text and zone != DROP:
+                out.append((zone, text))
             held.clear()
+        linked = False
 
     while i < n:
         j = page.find("<", i)
@@ -167,7 +219,16 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                         break
         if tag in VOID_TAGS or attrs.endswith("/") and tag in ("svg", "path", "use"):
             continue
-        zone = _zone(tag, attrs, stack[-1][1], any(z == MAIN for _, z in stack))
+        kind = tag
+        if tag == "form":
+            if marks is None:
+                marks = [[m.start() for m in x.finditer(page)] + [n] for x in (_ARTICLE, _FORM_END)]
+            inner, end = (x[bisect_left(x, i)] for x in marks)
+            if open_forms or inner < end:
+                kind = "div"  # a wrapper around the page's text
+            forms = forms or kind == "form"
+        linked = linked or tag == "a"
+        zone = _zone(kind, attrs, stack[-1][1], any(z == MAIN for _, z in stack))
         if tag in RAW_TAGS:  # its content is no markup
             if low is None:
                 low = page.lower()
@@ -179,7 +240,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if len(stack) < DEEPEST:
             stack.append((tag, zone))
     flush()
-    return out
+    return out, forms
 
 
 def host_of(url):

@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -19,9 +20,40 @@ def test_blocks_and_zones():
     assert G.blocks_of('<p class="x') == []
 
 
+def test_hints_are_no_facts():
+    prose = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen."
+    of = lambda body: G.blocks_of(f"<body>{body}</body>")
+    main = lambda body: of(f"<article>{body}</article>")
+    assert main('<div class="entry-header"><h1>Title</h1></div><p>x') == [(G.MAIN, "Title"), (G.MAIN, "x")]
+    assert of('<div class="entry-header"><h1>Site</h1></div><p>x') == [(G.PLAIN, "x")]
+    assert of(f'<div class="post-content share-enabled"><p>{prose}</div>') == [(G.PLAIN, prose)]
+    assert main(f'<div class="has-sidebar no-comments"><p>{prose}</div>') == [(G.MAIN, prose)]
+    # A paragraph under a layout class: prose is for the array to decide, links and short lines go.
+    assert main(f'<p class="related">{prose}<p>x') == [(G.PLAIN, prose), (G.MAIN, "x")]
+    assert main(f'<p class="related"><a href="/">{prose}</a><p class="share">Tell a friend<p>x') == [(G.MAIN, "x")]
+    assert main(f'<p class="related-ad">{prose}<div class="related"><p>{prose}</div><p class="notice">{prose}<p>x') == [(G.MAIN, "x")]
+    # Forms that are wrappers, and forms that are not.
+    assert of(f"<form><nav>Menu</nav><p>{prose}</p><input><button>Go</button></form>") == [(G.PLAIN, prose)]
+    assert of("<form><p>Please log in</p><label>Name</label><input></form>") == []
+    assert of(f"<form><article><p>x</article></form><form><p>{prose}</form><div>y</div>") == [(G.MAIN, "x"), (G.PLAIN, "y")]
+    assert main(f"<p>x</p><form><p>{prose}</form>") == [(G.MAIN, "x")]
+
+
+def test_related_paragraphs_go_by_repetition(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(30))
+    same, own, story = text(), [text() for _ in range(10)], [text() for _ in range(10)]
+    page = "<article><p>{}</p><p class='related'>{}</p><p class='related'>{}</p></article>"
+    rows = [(i, f"https://a.example.com/{i}", page.format(story[i], own[i], same)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (G.SHARD_CHARS, 1000):
+        got = {r.page_id: r.text for r in G.extract(df, shard_chars=shard).collect()}
+        assert got == {i: f"{story[i]}\n\n{own[i]}" for i in range(10)}
+
+
 def test_broken_markup_takes_linear_time():
     for t in ("<" * 200_000, '<a "' * 100_000, "<a '>" * 100_000, "<p>" * 100_000, "<div>" * 5_000, "</p>" * 100_000, "<!--" * 100_000,
-              "<script>" * 50_000, "&" * 300_000, '<a b="x>' * 50_000):
+              "<script>" * 50_000, "<form>" * 50_000, "<article><form></form>" * 30_000, '<p class="' + "nav-" * 100_000 + '">', "&" * 300_000, '<a b="x>' * 50_000):
         G.blocks_of(t)
 
 
@@ -77,13 +109,46 @@ def test_unmarked_boilerplate_goes_by_repetition_across_shards(spark):
     assert G.extract(df.limit(0)).count() == 0
 
 
+class Plain(HTMLParser):
+    """Text of the article elements of a page by the standard parser: blocks end at block tags."""
+
+    BLOCK = {"article", "h1", "h2", "h3", "p", "ul", "ol", "li", "div", "blockquote", "section"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out, self.held = 0, [], []
+        self.feed(html)
+        self.close()
+
+    def block(self):
+        text = " ".join("".join(self.held).split())
+        self.out += [text] * bool(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCK:
+            self.block()
+        if tag == "br":
+            self.held.append(" ")
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
+
+
 def test_query(spark, sf):
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = G.op1_html_extraction(spark, sf).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r.url == rows[r.page_id].url
-        assert r.text == "\n\n".join(t for z, t in G.blocks_of(rows[r.page_id].html) if z == G.MAIN) and r.text
+        assert r.url == rows[r.page_id].url and r.text
+        assert r.text == "\n\n".join(Plain(rows[r.page_id].html).out) and r.n_chars == len(r.text)
 
 
 def test_plain_story_beside_an_article_card(spark):
