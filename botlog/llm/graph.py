@@ -2,7 +2,8 @@
 small-star rounds (Kiveris et al., "Connected Components in MapReduce and
 Beyond", SoCC 2014). Every round is two aggregates with map-side combine and
 two equi-joins on pairs of longs; nothing is gathered on the driver but one
-row of totals."""
+row of totals. A node with a third of all edges, and a root with a third of
+all nodes, meets its rows in ``PARTS`` tasks, not in one."""
 
 from __future__ import annotations
 
@@ -12,6 +13,22 @@ from pyspark.sql import functions as F
 from botlog.session import checkpoint_root
 
 
+#: Parts into which the rows of one key are dealt.
+PARTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, by: str, out: str) -> DataFrame:
+    """``rows`` and in ``out`` the smallest ``value`` (nulls aside) of all rows of their ``key``.
+
+    The rows of a key are dealt by ``by`` into ``PARTS``: smallest values are found by part, then
+    by key, and joined back by part, so no task sees more of a key than one part of it."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    parts = dealt.groupBy(key, "part").agg(F.min(value).alias("least"))
+    least = parts.groupBy(key).agg(F.min("least").alias(out))
+    known = parts.select(key, "part").join(least, key)  # at most PARTS rows a key
+    return dealt.join(known, [key, "part"]).drop("part")
+
+
 def _totals(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return r["n"], r["x"]
@@ -19,16 +36,15 @@ def _totals(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (both.where("v > u").join(least, "u").where("v > m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = with_least(both, "u", "v", "v", "m").where("v > u").select("v", F.least("u", "m").alias("m"))
+    return least.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # The smallest neighbour keeps its edge, the others move to it.
+    least = with_least(down, "u", "v", "v", "m")
+    return least.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

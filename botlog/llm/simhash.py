@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlog.llm import common
-from botlog.llm.graph import components
+from botlog.llm.graph import components, with_least
 
 #: Most fingerprints of one chunk; a task holds two.
 CHUNK = 8192
@@ -179,10 +179,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_
     fps = common.written(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
     nodes = common.written(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     roots = components(fingerprint_links(nodes.select("fp"), max_distance))
-    rooted = (nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    mapped = rooted.join(least, "root").select("fp", "component_id", "root")
+    linked = common.written(nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "simhash-linked")
+    linked = with_least(linked, "root", "least_id", "fp", "component_id").select("fp", "component_id", "root")
+    mapped = (nodes.join(linked, "fp", "left")
+              .select("fp", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return fps.join(mapped, "fp").select(id_col, "h", "fp", "component_id", "root")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botlog.llm import common
-from botlog.llm.graph import components
+from botlog.llm.graph import components, with_least
 
 N_PROJECTIONS = 32
 #: Half width of a window, in units of the projected distance at the threshold.
@@ -162,8 +162,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     rooted = (classes.select("node", "rep", "n").join(roots, "node", "left").join(linked, "node", "left")
               .select("node", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                       F.coalesce("root", "node").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = rooted.join(least, "root").select("node", "n_links", "component_id")
+    known = with_least(common.written(rooted, "vector-roots"), "root", "rep", "node", "component_id")
+    known = known.select("node", "n_links", "component_id")
     return (rows.join(known, "node", "left")
             .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "id").alias("component_id"))
