@@ -8,8 +8,8 @@ user-agent flag as the label, trained on the executors: by Spark ML up to
   the bucketed prefix sums (no single-partition window), so the split is
   exact, reproducible and independent of partitioning.
 * balanced class weights: n_train / (2 * n_train_class), as a weight column.
-* 100 trees, sqrt feature subsets, bootstrap, fixed seed; grown on at most
-  ``MAX_FIT_ROWS`` rows, which bounds the model.
+* 100 trees, sqrt feature subsets, bootstrap, fixed seed; class counts, split
+  thresholds and trees come from all training rows.
 """
 
 from __future__ import annotations
@@ -29,11 +29,6 @@ from botlog.operators.ranking import order_statistics_by
 from botlog.session import checkpoint_root
 
 
-#: Training rows a forest is grown on, about: a hash sample of the training
-#: set beyond it. Trees without a depth limit grow with their rows, and the
-#: model lives on the driver, so this bounds the driver's memory. Every row is
-#: still scored.
-MAX_FIT_ROWS = 2_000_000
 #: Training rows up to which Spark ML grows the forest. Its work is a full set
 #: of bin counts for each node and partition, whatever the node's rows.
 SPARK_ML_ROWS = 2_000
@@ -102,8 +97,7 @@ class ForestFit:
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``bot_probability`` (P(label = 1)) and ``predicted_bot``."""
         if isinstance(self.model, trees.Forest):
-            out = df.fillna(0, subset=self.features)
-            return (out.withColumn("_s", self.model.scores(df, self.features))
+            return (self.model.scored(df.fillna(0, subset=self.features), self.features)
                     .withColumns({"bot_probability": F.col("_s.p"), "predicted_bot": F.col("_s.y")}).drop("_s"))
         v = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(
             df.fillna(0, subset=self.features))
@@ -120,22 +114,24 @@ class ForestFit:
 
 def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_trees: int = 100,
                       seed: int = 42, max_depth: int = 30, max_bins: int = 128, id_col: str = "ip",
-                      max_fit_rows: int = MAX_FIT_ROWS, spark_ml_rows: int = SPARK_ML_ROWS) -> ForestFit:
-    """Train with balanced class weights on ``train``, or on about
-    ``max_fit_rows`` of its rows chosen by a hash of the id. Beyond
+                      max_fit_rows: int | None = None, spark_ml_rows: int = SPARK_ML_ROWS) -> ForestFit:
+    """Train with balanced class weights on all rows of ``train``. Beyond
     ``spark_ml_rows`` rows with labels 0 and 1 the trees are grown by
-    :mod:`botlog.operators.trees`, where rows of one id are drawn together."""
+    :mod:`botlog.operators.trees`, where rows of one id are drawn together;
+    other labels, more bins or more features too where Spark ML would take its
+    thresholds from a sample. ``max_fit_rows`` bounds the rows of a node that one
+    task fits by itself (None: by the size of the table); the trees do not
+    depend on it."""
     features = list(features)
     checkpoint_root(train.sparkSession)
-    counts = class_counts(train, label)  # guard, share and weights from one pass
-    if sum(counts.values()) > max_fit_rows:
-        share = max_fit_rows / sum(counts.values())
-        train = train.filter(hash52(id_col, seed + 1) < F.lit(int(share * 2 ** 52)))
-        counts = class_counts(train, label)
+    counts = class_counts(train, label)  # guard and weights from one pass
     if not counts.get(1):
         raise ValueError(f"no positive {label} in the training data: cannot train a supervised model")
-    if sum(counts.values()) > spark_ml_rows and set(counts) <= {0, 1} and max_bins <= 256 and len(features) < 128:
-        return ForestFit(_fit_trees(train, features, label, counts, n_trees, seed, max_depth, max_bins, id_col), features, label)
+    most = min(spark_ml_rows, max_fit_rows or spark_ml_rows)
+    if not (set(counts) <= {0, 1} and max_bins <= 256 and len(features) < 128):
+        most = max(max_bins ** 2, 10_000)  # rows up to which Spark ML reads all of them for the thresholds
+    if sum(counts.values()) > most and all(c is not None and 0 <= c < 1_000 and c == int(c) for c in counts):
+        return ForestFit(_fit_trees(train, features, label, counts, n_trees, seed, max_depth, max_bins, id_col, max_fit_rows), features, label)
     wcol = F.lit(0.0)
     for cls, val in balanced_weights(counts).items():
         wcol = F.when(F.col(label) == cls, F.lit(val)).otherwise(wcol)
@@ -151,16 +147,16 @@ def fit_random_forest(train: DataFrame, features, label: str = "ua_bot_flag", n_
 
 
 def _fit_trees(train: DataFrame, features, label: str, counts: dict, n_trees: int, seed: int, max_depth: int, max_bins: int,
-               id_col: str) -> trees.Forest:
+               id_col: str, local_rows: int | None) -> trees.Forest:
     weights = balanced_weights(counts)
     plan = trees.Plan(n_trees, seed, max_depth, max_bins, len(features), math.ceil(math.sqrt(len(features))),
-                      np.array([weights.get(0, 0.0), weights[1]]))
+                      np.array([weights.get(c, 0.0) for c in range(int(max(weights)) + 1)]))
     rows = train.fillna(0, subset=features)
     of_row = F.xxhash64(*features)
     key = F.when(F.col(id_col).isNull(), of_row).otherwise(F.xxhash64(id_col)) if id_col in train.columns else of_row
     data = rows.select(key.alias("_k"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
                        F.col(label).cast("int").alias("_y"))
-    return trees.fit(data, plan, sum(counts.values()))
+    return trees.fit(data, plan, sum(counts.values()), local_rows)
 
 
 def top_importances(importances: DataFrame, n: int = 5) -> DataFrame:

@@ -5,19 +5,23 @@ the nodes of a forest without a depth limit grow with its rows, and most hold
 a handful of them. Here the wide nodes are split that way and the
 narrow ones where their rows are:
 
-1. the rows are binned (at most ``max_bins`` per feature, the candidate
-   thresholds Spark ML uses: found on its bounded sample, midpoints between
-   values) and stored in blocks spread over the cluster;
-2. while nodes hold more than ``LOCAL_ROWS`` rows, a task counts (feature, bin,
-   class) of the rows it reads for them, the counts of a node are added after
-   a shuffle and its split is chosen there;
+1. the rows are binned (at most ``max_bins`` per feature, candidate thresholds
+   by Spark ML's rule, midpoints between values, but from all rows and not from
+   its sample) and stored in blocks spread over the cluster;
+2. while nodes hold more than :func:`narrow_rows` rows, a task counts (feature,
+   bin, class) of the rows it reads for them, the counts of a node are added
+   after a shuffle and its split is chosen there;
 3. each row then goes to the narrow node it reaches in each tree, and the
-   subtree of a node is grown by the task that has its rows.
-
-Draws and feature subsets are hashes (of row key and tree; of tree and path),
-so the forest depends neither on partitioning nor on ``LOCAL_ROWS``. As in
-Spark ML: Poisson(1) bootstrap counts, Gini impurity over weighted classes, a
-split needs a gain above zero, and sibling leaves of one predicted class merge.
+   subtree of a node is grown by the task that has its rows;
+4. up to ``HELD_NODES`` nodes the driver holds the forest and scoring broadcasts
+   it; beyond, the subtrees stay where they are stored and the rows to score go
+   to them, so the driver holds the wide nodes only.
+
+Draws and feature subsets are hashes (of row key and tree; of tree and path)
+and votes are summed as integers, so the forest and its scores depend neither on
+partitioning nor on where a node is grown or kept. As in Spark ML: Poisson(1)
+bootstrap counts, Gini impurity over weighted classes, a split needs a gain
+above zero, and sibling leaves of one predicted class merge.
 """
 
 from __future__ import annotations
@@ -30,9 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from botlog.operators.ranking import prefix_counts_with_totals
 from botlog.session import ship_package
 
-LOCAL_ROWS = 16_384      # bootstrap rows of a node whose subtree one task grows
+LOCAL_ROWS = 16_384      # bootstrap rows of a node whose subtree one task grows, at least
+TOP_NODES = 1_024        # of a table's rows, the share that such a node may hold: bounds the wide nodes
+SORTED_ROWS = 16_384     # rows whose values the driver sorts for the thresholds
+HELD_NODES = 8_000_000   # nodes of a forest that the driver holds (15 bytes each)
+VOTE = 2 ** 48           # a tree's whole vote
 BLOCK_ROWS = 16_384      # rows of a stored block
 LEVEL_NODES = 8_192      # nodes that one pass over the rows counts for
 CHUNK_NODES = 32        # nodes whose counts are laid out at once
@@ -51,6 +60,16 @@ class Plan:
     subset: int              # features tried at a node
     weights: np.ndarray      # by class
 
+    @property
+    def code(self):
+        """Type of a stored bin, class or draw."""
+        return np.uint8 if max(self.max_bins, len(self.weights)) <= 256 else np.uint16
+
+
+def narrow_rows(n_rows: int) -> int:
+    """Bootstrap rows up to which one task grows a node's subtree."""
+    return max(LOCAL_ROWS, n_rows // TOP_NODES)
+
 
 def mix(x) -> np.ndarray:
     """64-bit finaliser of splitmix64."""
@@ -89,6 +108,56 @@ def candidates(values: np.ndarray, weights: np.ndarray, max_bins: int) -> np.nda
     return np.array(out[:max_bins - 1])
 
 
+def all_thresholds(data: DataFrame, plan: Plan) -> list[np.ndarray]:
+    """:func:`candidates` of every feature over all rows of (_x, _y), without gathering them: prefix sums
+    over the distinct values give the ranks of the chosen values, and only those values are collected."""
+    own = [f"n{c}" for c in range(len(plan.weights))]
+    cells = data.select("_y", F.posexplode("_x").alias("f", "v")).groupBy("f", "v").agg(
+        *[F.count_if(F.col("_y") == c).alias(n) for c, n in enumerate(own)])
+    table, totals = prefix_counts_with_totals(cells, "v", {**{n: F.col(n) for n in own}, "d": F.lit(1)}, by=["f"])
+    distinct = {f: t["d"] for (f,), t in totals["_groups"].items()}
+    stride = sum(w * totals["_groups"][0,][n] for w, n in zip(plan.weights.tolist(), own)) / plan.max_bins
+
+    def weight(column):
+        return sum((F.lit(w) * column(n) for w, n in zip(plan.weights.tolist(), own)), F.lit(0.0))
+
+    at = table.select("f", "v", (F.col("cum_d") - 1).alias("rank"), weight(lambda n: F.col(f"cum_{n}") - F.col(n)).alias("before"),
+                      weight(lambda n: F.col(f"cum_{n}")).alias("upto"))
+    # the rows where the weight passes a multiple of the stride, up to rounding
+    passes = F.floor(F.col("upto") / stride + 1e-9) > F.floor(F.col("before") / stride - 1e-9)
+    found: dict[int, list] = {}
+    for r in at.filter(passes & F.col("f").isin([f for f, d in distinct.items() if d > plan.max_bins])).collect():
+        found.setdefault(r["f"], []).append(r)
+    ranks = {f: _step_ranks(sorted(found[f], key=lambda r: r["rank"]), d, stride, plan.max_bins) if d > plan.max_bins else range(d - 1)
+             for f, d in distinct.items()}
+    wanted = [(f, r) for f, chosen in ranks.items() for r in sorted({x for j in chosen for x in (j, j + 1)})]
+    if not wanted:
+        return [np.empty(0)] * plan.n_features
+    value = {(r["f"], r["rank"]): r["v"] for r in at.join(
+        F.broadcast(data.sparkSession.createDataFrame(wanted, "f int, rank long")), ["f", "rank"]).select("f", "rank", "v").collect()}
+    return [np.array([value[f, j] + (value[f, j + 1] - value[f, j]) / 2 for j in ranks[f]]) for f in range(plan.n_features)]
+
+
+def _step_ranks(passing: list, distinct: int, stride: float, max_bins: int) -> list[int]:
+    """The ranks :func:`candidates` puts a threshold after: next to each step the value whose weight up to it is
+    nearest, the later of two; a value that several steps share leaves the next ones to the values after it."""
+    upto = np.array([r["upto"] for r in passing])
+    out: list[int] = []
+    last, target = -1, stride
+    while len(out) < max_bins - 1:
+        i = int(np.searchsorted(upto, target))
+        if i == len(passing):
+            break
+        r = passing[i]
+        lower = r["rank"] > 0 and abs(r["before"] - target) < abs(r["upto"] - target)
+        last = max(last + 1, r["rank"] - lower)
+        if last > distinct - 2:
+            break
+        out.append(last)
+        target += stride
+    return out
+
+
 def count(plan: Plan, bins, y, w, at, feats) -> np.ndarray:
     """classes x nodes x subset x bins: bootstrap rows; ``at`` is the node of each row."""
     m, k, c = len(feats), plan.subset, len(plan.weights)
@@ -123,7 +192,8 @@ def choose(plan: Plan, counts: np.ndarray, feats: np.ndarray):
 
 @dataclass
 class Nodes:
-    """Nodes of a tree or subtree; the children of node i are ``child[i]`` and the next."""
+    """Nodes of a tree or subtree; the children of node i are ``child[i]`` and the next. A leaf with a
+    negative child stands for the subtree stored for node -1 - ``child[i]``."""
     feature: np.ndarray                       # -1: leaf
     bin: np.ndarray
     child: np.ndarray
@@ -150,7 +220,7 @@ class Nodes:
         waiting = np.flatnonzero(feature >= 0)
         while len(waiting):
             a = self.child[waiting]
-            merge = (feature[a] < 0) & (feature[a + 1] < 0) & (says[a] == says[a + 1])
+            merge = (feature[a] < 0) & (feature[a + 1] < 0) & (says[a] == says[a + 1]) & (self.child[a] >= 0) & (self.child[a + 1] >= 0)
             if not merge.any():
                 break
             feature[waiting[merge]] = -1
@@ -163,7 +233,7 @@ class Nodes:
             level = np.concatenate([self.child[level], self.child[level] + 1])
         new = np.cumsum(keep) - 1
         inner = feature >= 0
-        child = np.where(inner, new[np.where(inner, self.child, 0)], 0)
+        child = np.where(inner, new[np.where(inner, self.child, 0)], np.minimum(self.child, 0))
         return Nodes(feature[keep], self.bin[keep], child[keep].astype(np.int32), self.counts[keep], self.gain[keep])
 
     def importances(self, plan: Plan) -> np.ndarray:
@@ -199,7 +269,7 @@ def grow(plan: Plan, tree: int, path: int, depth: int, bins, y, w) -> Nodes:
     levels, n = [], 1
     while len(paths):
         m = len(paths)
-        feature, cut, gain = np.full(m, -1, np.int8), np.zeros(m, np.uint8), np.zeros(m)
+        feature, cut, gain = np.full(m, -1, np.int16), np.zeros(m, plan.code), np.zeros(m)
         child, split_left = np.zeros(m, np.int32), np.zeros((m, c))
         mixed = np.flatnonzero((counts > 0).sum(1) > 1) if depth < plan.max_depth else np.empty(0, np.int64)
         place = np.full(m, -1, np.int64)
@@ -233,17 +303,17 @@ def grow(plan: Plan, tree: int, path: int, depth: int, bins, y, w) -> Nodes:
 # --- the forest over Spark's rows ------------------------------------------------
 
 
-def _pack(thresholds, batch: pa.RecordBatch):
+def _pack(plan: Plan, thresholds, batch: pa.RecordBatch):
     x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.uint8), to_bins(x, thresholds)
+    return batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(plan.code), to_bins(plan, x, thresholds)
 
 
-def to_bins(x: np.ndarray, thresholds) -> np.ndarray:
+def to_bins(plan: Plan, x: np.ndarray, thresholds) -> np.ndarray:
     """rows x features: how many of the feature's thresholds each value is above."""
-    return np.column_stack([np.searchsorted(t, x[:, i], side="left") for i, t in enumerate(thresholds)]).astype(np.uint8)
+    return np.column_stack([np.searchsorted(t, x[:, i], side="left") for i, t in enumerate(thresholds)]).astype(plan.code)
 
 
-def stored_blocks(data: DataFrame, thresholds) -> DataFrame:
+def stored_blocks(data: DataFrame, plan: Plan, thresholds) -> DataFrame:
     """(keys, y, bins): the binned rows of (_k, _x, _y), ``BLOCK_ROWS`` to a block, stored."""
     spark = data.sparkSession
 
@@ -255,7 +325,7 @@ def stored_blocks(data: DataFrame, thresholds) -> DataFrame:
                 [pa.array([np.concatenate(c).tobytes()], pa.binary()) for c in zip(*held)], names=["keys", "y", "bins"])
         for b in batches:
             if b.num_rows:
-                held.append(_pack(thresholds, b))
+                held.append(_pack(plan, thresholds, b))
                 n += b.num_rows
             if n >= BLOCK_ROWS:
                 yield block()
@@ -267,10 +337,10 @@ def stored_blocks(data: DataFrame, thresholds) -> DataFrame:
             .mapInArrow(run, "keys binary, y binary, bins binary").checkpoint(eager=True))
 
 
-def _blocks(batches, n_features: int):
+def _blocks(batches, plan: Plan):
     for b in batches:
         for keys, y, bins in zip(*(c.to_pylist() for c in b.columns)):
-            yield np.frombuffer(keys, np.int64), np.frombuffer(y, np.uint8), np.frombuffer(bins, np.uint8).reshape(-1, n_features)
+            yield np.frombuffer(keys, np.int64), np.frombuffer(y, plan.code), np.frombuffer(bins, plan.code).reshape(-1, plan.n_features)
 
 
 def _reached(plan: Plan, tree: int, nodes: Nodes, chosen: np.ndarray, keys, y, bins):
@@ -290,7 +360,7 @@ def wide_splits(blocks: DataFrame, plan: Plan, tops: dict, chosen: dict, paths:
 
     def counted(batches):
         sums = {}
-        for keys, y, bins in _blocks(batches, plan.n_features):
+        for keys, y, bins in _blocks(batches, plan):
             for t, nodes in chosen.items():
                 at, b, yy, w = _reached(plan, t, tops[t], nodes, keys, y, bins)
                 yy = yy.astype(np.int64)
@@ -320,12 +390,12 @@ def subtrees(blocks: DataFrame, plan: Plan, tops: dict, chosen: dict, paths: dic
     width = plan.n_features + 2
 
     def dealt(batches):
-        for keys, y, bins in _blocks(batches, plan.n_features):
+        for keys, y, bins in _blocks(batches, plan):
             out = []
             for t, nodes in chosen.items():
                 at, b, yy, w = _reached(plan, t, tops[t], nodes, keys, y, bins)
                 order = np.argsort(at, kind="stable")
-                rows, at = np.column_stack([b, yy, w])[order], at[order]
+                rows, at = np.column_stack([b, yy, w]).astype(plan.code)[order], at[order]
                 ends = np.searchsorted(at, np.arange(len(nodes) + 1))
                 out += [(t, i, rows[ends[i]:ends[i + 1]].tobytes()) for i in range(len(nodes)) if ends[i] < ends[i + 1]]
             if out:
@@ -334,11 +404,11 @@ def subtrees(blocks: DataFrame, plan: Plan, tops: dict, chosen: dict, paths: dic
 
     def grown(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         t, i = int(key[0]), int(key[1])
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in part["rows"]])
+        rows = np.concatenate([np.frombuffer(x, plan.code).reshape(-1, width) for x in part["rows"]])
         s = grow(plan, t, int(paths[t][i]), int(depths[t][i]), rows[:, :-2], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64))
         s = s.pruned(plan.weights)
-        return pd.DataFrame({"tree": [t], "node": [int(chosen[t][i])], "feature": [s.feature.astype(np.int8).tobytes()],
-                             "bin": [s.bin.astype(np.uint8).tobytes()], "child": [s.child.astype(np.int32).tobytes()],
+        return pd.DataFrame({"tree": [t], "node": [int(chosen[t][i])], "feature": [s.feature.tobytes()],
+                             "bin": [s.bin.tobytes()], "child": [s.child.astype(np.int32).tobytes()],
                              "counts": [s.counts.astype(np.int32).tobytes()], "importance": [s.importances(plan).tolist()]})
 
     spark = blocks.sparkSession
@@ -368,50 +438,130 @@ class _Top:
                 getattr(self, name).append(v)
         return [first, first + 1]
 
-    def nodes(self) -> Nodes:
-        return Nodes(np.array(self.feature, np.int8), np.array(self.bin, np.uint8), np.array(self.child, np.int32),
+    def nodes(self, plan: Plan) -> Nodes:
+        return Nodes(np.array(self.feature, np.int16), np.array(self.bin, plan.code), np.array(self.child, np.int32),
                      np.array(self.counts), np.array(self.gain))
 
 
+def _stored_nodes(plan: Plan, r) -> Nodes:
+    """Nodes of a row of :func:`subtrees`."""
+    n = len(r["feature"]) // 2
+    return Nodes(np.frombuffer(r["feature"], np.int16), np.frombuffer(r["bin"], plan.code), np.frombuffer(r["child"], np.int32),
+                 np.frombuffer(r["counts"], np.int32).reshape(n, -1), np.zeros(n))
+
+
+def votes(plan: Plan, counts: np.ndarray) -> np.ndarray:
+    """rows x classes: the share of each class in a leaf's counts, in parts of ``VOTE``: integers, so that
+    the order of the trees does not show in their sum."""
+    c = counts * plan.weights
+    total = c.sum(1, keepdims=True)
+    return np.rint(np.divide(c, total, out=np.zeros_like(c), where=total > 0) * VOTE).astype(np.int64)
+
+
+def _said(summed: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"p": summed[:, 1] / np.maximum(summed.sum(1), 1), "y": summed.argmax(1).astype(np.int32)})
+
+
 @dataclass
 class Forest:
-    """A grown forest: bins' thresholds, trees as node arrays, and the importances of its features."""
+    """A grown forest: bins' thresholds, trees as node arrays, and the importances of its features. With
+    ``below``, the trees are the wide nodes and the leaves next to them, and the subtrees are its rows."""
     plan: Plan
     thresholds: list[np.ndarray]
     trees: list[Nodes] = field(repr=False)
     importance: np.ndarray
+    below: DataFrame | None = None
+
+    def scored(self, df: DataFrame, features) -> DataFrame:
+        """Adds ``_s``, a struct (p, y): the mean share of class 1 in the leaves a row reaches, and the likeliest class."""
+        return df.withColumn("_s", self.scores(df, features)) if self.below is None else self._scored_apart(df, features)
 
     def scores(self, df: DataFrame, features) -> Column:
-        """Struct (p, y): the mean share of class 1 in the leaves a row reaches, and the likeliest class."""
+        """:meth:`scored` as a column, of a forest that the driver holds."""
         ship_package(df.sparkSession)
-        bc = df.sparkSession.sparkContext.broadcast((self.plan.weights, self.thresholds, self.trees))
+        bc = df.sparkSession.sparkContext.broadcast((self.plan, self.thresholds, self.trees))
 
         @F.pandas_udf("p double, y int")
         def score(*cols: pd.Series) -> pd.DataFrame:
-            weights, thresholds, grown = bc.value
-            bins = to_bins(np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]), thresholds)
-            votes = np.zeros((len(bins), len(weights)))
-            for t in grown:
-                c = t.counts[t.walk(bins)] * weights
-                total = c.sum(1, keepdims=True)
-                votes += np.divide(c, total, out=np.zeros_like(c), where=total > 0)
-            p = votes / np.maximum(votes.sum(1, keepdims=True), 1e-300)
-            return pd.DataFrame({"p": p[:, 1], "y": votes.argmax(1).astype(np.int32)})
+            plan, thresholds, grown = bc.value
+            bins = to_bins(plan, np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]), thresholds)
+            return _said(sum(votes(plan, t.counts[t.walk(bins)]) for t in grown))
 
         return score(*[F.col(c).cast("double") for c in features])
 
-
-def fit(data: DataFrame, plan: Plan, n_rows: int, local_rows: int = LOCAL_ROWS) -> Forest:
+    def _scored_apart(self, df: DataFrame, features) -> DataFrame:
+        """The rows, in blocks, go to the stored subtree they reach in each tree; the votes go back to the
+        block. A group holds the rows that reach one subtree, or the votes of one block."""
+        ship_package(df.sparkSession)
+        plan, thresholds, tops = self.plan, self.thresholds, self.trees
+        kept = df.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+        names, types = ["block", "tree", "node", "ids", "bins", "votes"], (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+        def block(held):
+            ids, bins = (np.concatenate(c) for c in zip(*held))
+            first, own, out = int(ids[0]), np.zeros((len(ids), len(plan.weights)), np.int64), []
+            for t, top in enumerate(tops):
+                at = top.walk(bins)
+                node = -1 - top.child[at].astype(np.int64)
+                here = node < 0
+                own[here] += votes(plan, top.counts[at[here]])
+                i = np.flatnonzero(~here)
+                i = i[np.argsort(node[i], kind="stable")]
+                reached, starts = np.unique(node[i], return_index=True)
+                out += [(first, t, int(k), part.astype(np.int32).tobytes(), bins[part].tobytes(), None)
+                        for k, part in zip(reached, np.split(i, starts[1:]))]
+            out.append((first, -1, first, ids.tobytes(), None, own.tobytes()))  # a group of its own
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+
+        def dealt(batches):
+            held, n = [], 0
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    held.append((b.column(0).to_numpy(), to_bins(plan, x, thresholds)))
+                    n += b.num_rows
+                if n >= BLOCK_ROWS:
+                    yield block(held)
+                    held, n = [], 0
+            if held:
+                yield block(held)
+
+        def walked(rows: pd.DataFrame, subtree: pd.DataFrame) -> pd.DataFrame:
+            if len(subtree) and len(rows):
+                s = _stored_nodes(plan, subtree.iloc[0])
+                rows["votes"] = [votes(plan, s.counts[s.walk(np.frombuffer(b, plan.code).reshape(-1, plan.n_features))]).tobytes()
+                                 for b in rows["bins"]]
+            return rows[["block", "tree", "ids", "votes"]]
+
+        def added(part: pd.DataFrame) -> pd.DataFrame:
+            own = part[part["tree"] < 0].iloc[0]
+            ids = np.frombuffer(own["ids"], np.int64)
+            total = np.frombuffer(own["votes"], np.int64).reshape(len(ids), -1).copy()
+            for i, v in part.loc[part["tree"] >= 0, ["ids", "votes"]].itertuples(index=False):
+                total[np.frombuffer(i, np.int32)] += np.frombuffer(v, np.int64).reshape(-1, total.shape[1])
+            return pd.concat([pd.DataFrame({"_row": ids}), _said(total)], axis=1)
+
+        rows = kept.select("_row", F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+        below = self.below.withColumn("node", F.col("node").cast("long"))
+        said = (rows.mapInArrow(dealt, "block long, tree int, node long, ids binary, bins binary, votes binary").groupBy("tree", "node")
+                .cogroup(below.groupBy("tree", "node")).applyInPandas(walked, "block long, tree int, ids binary, votes binary")
+                .groupBy("block").applyInPandas(added, "_row long, p double, y int"))
+        return kept.join(said, "_row").select(*df.columns, F.struct("p", "y").alias("_s"))
+
+
+def fit(data: DataFrame, plan: Plan, n_rows: int, local_rows: int | None = None, sorted_rows: int = SORTED_ROWS,
+        held_nodes: int = HELD_NODES) -> Forest:
     """Grow a forest on the rows (_k long: row key, _x array<double>, _y int: class) of ``data``."""
     spark = data.sparkSession
     ship_package(spark)
-    most = max(plan.max_bins ** 2, 10_000)  # Spark ML's sample for the thresholds
-    some = data if n_rows <= most else data.filter(
-        F.pmod(F.xxhash64("_k", F.lit(plan.seed)), F.lit(2 ** 31)) < int(most / n_rows * 2 ** 31))
-    rows = some.select("_x", "_y").collect()
-    x, w = np.array([r["_x"] for r in rows]), plan.weights[[r["_y"] for r in rows]]
-    thresholds = [candidates(x[:, i], w, plan.max_bins) for i in range(plan.n_features)]
-    blocks = stored_blocks(data, thresholds)
+    local_rows = local_rows or narrow_rows(n_rows)
+    if n_rows <= sorted_rows:
+        rows = data.select("_x", "_y").collect()
+        x, w = np.array([r["_x"] for r in rows]), plan.weights[[r["_y"] for r in rows]]
+        thresholds = [candidates(x[:, i], w, plan.max_bins) for i in range(plan.n_features)]
+    else:
+        thresholds = all_thresholds(data, plan)
+    blocks = stored_blocks(data, plan, thresholds)
 
     tops = {t: _Top(len(plan.weights)) for t in range(plan.n_trees)}
     wide, narrow = [], []
@@ -420,7 +570,7 @@ def fit(data: DataFrame, plan: Plan, n_rows: int, local_rows: int = LOCAL_ROWS)
         level, wide = wide[:LEVEL_NODES], wide[LEVEL_NODES:]
         chosen = _by_tree(level)
         paths = {t: np.array([tops[t].path[i] for i in at], np.int64) for t, at in chosen.items()}
-        for r in wide_splits(blocks, plan, {t: tops[t].nodes() for t in chosen}, chosen, paths):
+        for r in wide_splits(blocks, plan, {t: tops[t].nodes(plan) for t in chosen}, chosen, paths):
             t = r["tree"]
             for i in tops[t].split(int(chosen[t][r["place"]]), r):
                 c = tops[t].counts[i]
@@ -429,26 +579,31 @@ def fit(data: DataFrame, plan: Plan, n_rows: int, local_rows: int = LOCAL_ROWS)
 
     below: dict[int, dict[int, Nodes]] = {t: {} for t in tops}
     importance = {t: np.zeros(plan.n_features) for t in tops}
-    grown = {t: tops[t].nodes() for t in tops}
+    grown = {t: tops[t].nodes(plan) for t in tops}
+    found, apart = None, False
     if narrow:
         chosen = _by_tree(narrow)
         found = subtrees(blocks, plan, {t: grown[t] for t in chosen}, chosen,
                          {t: np.array([tops[t].path[i] for i in at], np.int64) for t, at in chosen.items()},
                          {t: np.array([tops[t].depth[i] for i in at], np.int64) for t, at in chosen.items()})
-        for r in found.toLocalIterator():
-            n = len(r["feature"])
-            below[r["tree"]][r["node"]] = Nodes(
-                np.frombuffer(r["feature"], np.int8), np.frombuffer(r["bin"], np.uint8), np.frombuffer(r["child"], np.int32),
-                np.frombuffer(r["counts"], np.int32).reshape(n, -1), np.zeros(n))
+        size = F.floor(F.octet_length("feature") / 2)
+        apart = found.agg(F.sum(size).alias("n")).first()["n"] > held_nodes
+        if apart:
+            for r in found.filter(size > 1).select("tree", "node").toLocalIterator():
+                grown[r["tree"]].child[r["node"]] = -1 - r["node"]
+        for r in found.select("tree", "importance").toLocalIterator():
             importance[r["tree"]] += np.array(r["importance"])
+        for r in (found.filter(size == 1) if apart else found).toLocalIterator():  # a leaf may merge with its sibling
+            below[r["tree"]][r["node"]] = _stored_nodes(plan, r)
 
     trees, shares = [], np.zeros(plan.n_features)
     for t in tops:
         whole = grown[t].under(dict(sorted(below.pop(t).items()))).pruned(plan.weights)
         own = importance[t] + whole.importances(plan)  # its own subtrees' nodes have no gain here
         shares += own / own.sum() if own.sum() > 0 else 0
-        trees.append(Nodes(whole.feature, whole.bin, whole.child, whole.counts.astype(np.int32), np.empty(0)))
-    return Forest(plan, thresholds, trees, shares / shares.sum() if shares.sum() > 0 else shares)
+        few = whole.counts.max(initial=0) < 2 ** 31
+        trees.append(Nodes(whole.feature, whole.bin, whole.child, whole.counts.astype(np.int32 if few else np.int64), np.empty(0)))
+    return Forest(plan, thresholds, trees, shares / shares.sum() if shares.sum() > 0 else shares, found.filter(size > 1) if apart else None)
 
 
 def _by_tree(nodes) -> dict[int, np.ndarray]:

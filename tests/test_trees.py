@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from botlog.operators import evaluate, forest, trees
-from botlog.plans import jobs
+from botlog.operators import evaluate, features, forest, trees
+from botlog.plans import catalog, jobs
 
 COLS = ["a", "b", "c", "d"]
 
@@ -127,3 +127,104 @@ def test_held_out_rows_are_scored_once(spark):
     assert "ExistingRDD" in plan and "UDF" not in plan and "Python" not in plan
     m = res.test_metrics.first()
     assert (m.n_train, m.n_test) == (res.split.filter("is_test = 0").count(), ev.count())
+
+
+def test_thresholds_come_from_all_rows(spark):
+    """More rows than Spark ML's sample: ties over many steps, few values, a rare value, equal steps and negative values."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    x = np.column_stack([rng.normal(size=n), np.where(rng.random(n) < 0.6, 3.0, rng.integers(0, 4000, n)), rng.integers(0, 3, n),
+                         np.arange(n) % 64]).astype(float)
+    x[:, 2][:2] = 9.0
+    y = rng.integers(0, 2, n)
+    df = spark.createDataFrame([(f"ip{i}", *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))],
+                               "ip string, a double, b double, c double, d double, ua_bot_flag int")
+    plan = _plan(n_trees=1, max_depth=2)
+    got = trees.fit(_data(df.repartition(5)), plan, n).thresholds
+    want = [trees.candidates(x[:, i], plan.weights[y], 16) for i in range(4)]
+    assert want[2].tolist() == [0.5, 1.5, 5.5] and len(want[0]) == len(want[3]) == 15
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-12)
+
+
+def test_thresholds_over_all_rows_of_many_tables(spark):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        n, bins = int(rng.integers(40, 400)), int(rng.integers(3, 40))
+        x = np.column_stack([rng.integers(0, rng.integers(1, 300), n), rng.zipf(1.4, n), rng.integers(-5, 5, n) * 0.5, np.zeros(n)]).astype(float)
+        y = (rng.random(n) < 0.2).astype(int)
+        df = spark.createDataFrame([(list(map(float, v)), int(t)) for v, t in zip(x, y)], "_x array<double>, _y int")
+        plan = _plan(max_bins=bins, weights=np.array([1.0, 4.0]))  # whole weights: no ties by rounding
+        for a, i in zip(trees.all_thresholds(df, plan), range(4), strict=True):
+            assert a.tolist() == trees.candidates(x[:, i], plan.weights[y], bins).tolist()
+
+
+def test_every_training_row_is_fitted_whatever_a_task_may_hold(spark):
+    df = _table(spark)
+    whole = forest.fit_random_forest(df, COLS, n_trees=8, spark_ml_rows=0)
+    bound = forest.fit_random_forest(df, COLS, n_trees=8, spark_ml_rows=0, max_fit_rows=100)
+    for fit in (whole, bound):
+        drawn = [t.counts[0].sum() for t in fit.model.trees]
+        assert 1400 < np.mean(drawn) < 1600
+    assert [t.numNodes for t in whole.model.trees] == [t.numNodes for t in bound.model.trees]
+    probability = lambda fit: [r[0] for r in fit.predict(df).orderBy("ip").select("bot_probability").collect()]
+    assert probability(whole) == probability(bound)
+
+
+def test_forest_too_large_for_the_driver_scores_where_it_is_stored(spark):
+    df, plan = _table(spark), _plan()
+    held = trees.fit(_data(df), plan, 1500, local_rows=150)
+    apart = trees.fit(_data(df.repartition(5)), plan, 1500, local_rows=150, held_nodes=0)
+    assert held.below is None and apart.below.count() > 6
+    assert sum(t.numNodes for t in apart.trees) < sum(t.numNodes for t in held.trees) / 4
+    np.testing.assert_allclose(held.importance, apart.importance, rtol=1e-9)
+    rows = df.unionByName(df.limit(300)).withColumn("ip", F.when(F.col("a") > -1, F.col("ip")))  # rows twice, null ids
+    scored = apart.scored(rows.repartition(3), COLS)
+    assert scored.columns == [*rows.columns, "_s"]
+    order = lambda d: sorted((tuple(r[:5]), r._s.p, r._s.y) for r in d.select(*COLS, "ua_bot_flag", "_s").collect())
+    assert order(scored) == order(held.scored(rows, COLS))
+    assert apart.scored(rows.limit(0), COLS).count() == 0
+
+
+def test_more_classes_and_bins_keep_to_all_rows(spark):
+    df = _table(spark, 3000).withColumn("ua_bot_flag", F.when(F.col("b") > 1, 2).otherwise(F.col("ua_bot_flag")))
+    fit = forest.fit_random_forest(df, COLS, n_trees=10, max_bins=16)
+    assert not isinstance(fit.model, trees.Forest)  # Spark ML reads all rows of a table this small for its thresholds
+    big = df.crossJoin(spark.range(6).withColumnRenamed("id", "k")).withColumn("ip", F.concat_ws("-", "ip", "k")).drop("k")
+    fit = forest.fit_random_forest(big, COLS, n_trees=10, max_bins=16)
+    assert isinstance(fit.model, trees.Forest) and len(fit.model.plan.weights) == 3
+    right = fit.predict(big).filter(F.col("predicted_bot") == F.col("ua_bot_flag")).count()
+    assert right > 0.8 * 18_000
+    wide = forest.fit_random_forest(df.withColumn("ua_bot_flag", F.col("ua_bot_flag") % 2), COLS, n_trees=4, max_bins=40)
+    x = np.array([r[0] for r in df.select("a").collect()])
+    assert isinstance(wide.model, trees.Forest) and len(wide.model.thresholds[0]) == 39
+    plan = _plan(n_trees=2, max_bins=400)
+    fine = trees.fit(_data(df.withColumn("ua_bot_flag", F.col("ua_bot_flag") % 2)), plan, 3000, local_rows=500)
+    assert len(fine.thresholds[0]) > 390 and int(trees.to_bins(plan, x[:, None], fine.thresholds[:1]).max()) > 390
+    assert max(int(t.bin.max()) for t in fine.trees) > 255
+
+
+@pytest.mark.parametrize("key", ["rf_fit"])
+def test_query_fits_every_training_row(spark, monkeypatch, key):
+    """Each fit gets all rows that are not held out, and the thresholds of all of them: more than Spark ML's sample."""
+    n, cols = 30_000, list(features.V2_FEATURES)
+    u = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10 ** 6)) / 10 ** 6
+    table = spark.range(n).select(F.concat(F.lit("ip"), "id").alias("ip"), (u(0) < 0.3).cast("int").alias("ua_bot_flag"),
+                                  *[(u(i + 1) + u(0) * int(i == 2)).alias(c) for i, c in enumerate(cols)])
+    seen, real = [], trees.fit
+
+    def spied(data, plan, n_rows, *a, **k):
+        small = trees.Plan(2, plan.seed, 3, plan.max_bins, plan.n_features, plan.subset, plan.weights)
+        got = real(data, small, n_rows, *a, **k)
+        seen.append((data.count(), n_rows, got.thresholds, small, data.select("_x", "_y").collect()))
+        return got
+
+    monkeypatch.setattr(trees, "fit", spied)
+    monkeypatch.setattr(catalog, "_features", lambda spark, sf: table)
+    assert catalog.all_queries()[key](spark, "sf").count() > 0
+    assert len(seen) == (5 if key == "rf_cross_validation" else 1)
+    for rows, n_rows, thresholds, plan, xy in seen:
+        assert rows == n_rows and 0.65 * n < rows < 0.85 * n
+        x, w = np.array([r["_x"] for r in xy]), plan.weights[[r["_y"] for r in xy]]
+        for i in (0, 2, 12):
+            np.testing.assert_allclose(thresholds[i], trees.candidates(x[:, i], w, plan.max_bins), rtol=1e-12)
