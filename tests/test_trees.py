@@ -204,7 +204,7 @@ def test_more_classes_and_bins_keep_to_all_rows(spark):
     assert max(int(t.bin.max()) for t in fine.trees) > 255
 
 
-@pytest.mark.parametrize("key", ["rf_fit", "feature_importance", "rf_cross_validation", "rf_predictions", "rf_roc_curve", "rf_test_confusion"])
+@pytest.mark.parametrize("key", ["rf_fit", "feature_importance", "rf_cross_validation", "rf_predictions", "rf_roc_curve", "rf_test_confusion", "rf_test_report"])
 def test_query_fits_every_training_row(spark, monkeypatch, key):
     """Each fit gets all rows that are not held out, and the thresholds of all of them: more than Spark ML's sample."""
     n, cols = 30_000, list(features.V2_FEATURES)
