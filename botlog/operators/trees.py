@@ -587,7 +587,7 @@ def fit(data: DataFrame, plan: Plan, n_rows: int, local_rows: int | None = None,
                          {t: np.array([tops[t].path[i] for i in at], np.int64) for t, at in chosen.items()},
                          {t: np.array([tops[t].depth[i] for i in at], np.int64) for t, at in chosen.items()})
         size = F.floor(F.octet_length("feature") / 2)
-        apart = found.agg(F.sum(size).alias("n")).first()["n"] > held_nodes
+        apart = (found.agg(F.sum(size).alias("n")).first()["n"] or 0) > held_nodes  # no row may be drawn
         if apart:
             for r in found.filter(size > 1).select("tree", "node").toLocalIterator():
                 grown[r["tree"]].child[r["node"]] = -1 - r["node"]

@@ -228,3 +228,11 @@ def test_query_fits_every_training_row(spark, monkeypatch, key):
         x, w = np.array([r["_x"] for r in xy]), plan.weights[[r["_y"] for r in xy]]
         for i in (0, 2, 12):
             np.testing.assert_allclose(thresholds[i], trees.candidates(x[:, i], w, plan.max_bins), rtol=1e-12)
+
+
+def test_a_tree_without_any_drawn_row(spark):
+    df = _table(spark, 2).withColumn("ua_bot_flag", (F.col("ip") == "ip0").cast("int"))
+    keys = np.array([r._k for r in _data(df).collect()], np.int64)
+    seed = next(s for s in range(1000) if not trees.draws(keys, 0, s).any())
+    fit = forest.fit_random_forest(df, COLS, n_trees=1, seed=seed, spark_ml_rows=0)
+    assert [(r.bot_probability, r.predicted_bot) for r in fit.predict(df).collect()] == [(0.0, 0)] * 2
